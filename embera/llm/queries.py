@@ -45,6 +45,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "text_score", "meta_score", "quality_score", "keep")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -52,13 +59,56 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of the pages' archive in which some records were damaged or lost."""
+    from . import warc_audit as W
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    clean, rotten = (W.warc_record(F.col("page_id"), F.col("url"), html) for html in (F.col("html"), F.translate("html", "ae", "ea")))
+    hurt = F.coalesce(F.pmod("page_id", F.lit(41)) == 7, F.lit(False))
+    gone = F.coalesce(F.pmod("page_id", F.lit(67)) == 11, F.lit(False))
+    found = F.when(hurt, F.sha2(rotten, 256)).otherwise(F.lit(""))
+    archive = W.checkpointed(W.laid_out(pages.select(clean.alias("record"), "page_id", found.alias("found"), gone.alias("gone")), ["page_id", "found", "gone"]))
+    first = archive.select("offset", "length", "digest")
+    second = archive.where(~F.col("gone")).select("offset", "length", F.when(F.col("found") != "", F.col("found")).otherwise(F.col("digest")).alias("digest"))
+    bad = W.audit(first, second).select(F.col("offset").alias("at"), "other_digest", "status")
+    joined = archive.join(bad, F.col("offset") == F.col("at"), "left")
+    return joined.select("page_id", F.col("offset").alias("record_offset"), F.col("length").alias("record_bytes"), F.col("digest").alias("record_sha256"), "other_digest", F.coalesce("status", F.lit("intact")).alias("status"))
+
+
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, weight): 1 for documents labelled good, a quarter for bad or toxic ones, a half if labels are null."""
+    good = F.when(F.col("quality").isNull(), 0.5).when((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 0.25).otherwise(1.0)
+    return table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.avg(good).alias("weight"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"), label_weights(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprint_documents
 
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op5_secret_scan, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": r"""
@@ -75,4 +125,51 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(size) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op6_warc_fixity": r"""
+WITH r AS (
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
+    coalesce(html, '') AS html, chr(13) || chr(10) || chr(13) || chr(10) AS tail FROM pages
+), d AS (
+  SELECT page_id, sha256(head || html || tail) AS digest, strlen(head || html || tail) AS len,
+    CASE WHEN page_id % 67 = 11 THEN NULL WHEN page_id % 41 = 7 THEN sha256(head || translate(html, 'ae', 'ea') || tail) ELSE sha256(head || html || tail) END AS found FROM r
+)
+SELECT page_id, CAST(coalesce(sum(len) OVER (ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset, CAST(len AS BIGINT) AS record_bytes, digest AS record_sha256,
+  CASE WHEN found <> digest THEN found END AS other_digest,
+  CASE WHEN found IS NULL THEN 'lost' WHEN found <> digest THEN 'damaged' ELSE 'intact' END AS status
+FROM d""",
+    "op8_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), bare AS (
+  SELECT doc_id, site, pos, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines
+), wide AS (
+  SELECT line, arg_min(doc_id, (doc_id, pos)) AS first_doc, min(pos) FILTER (true) AS any_pos, min((doc_id, pos)) AS first FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+), marked AS (
+  SELECT b.doc_id, b.pos, b.raw, w.line IS NOT NULL AND (b.doc_id, b.pos) <> w.first AS gone FROM bare b LEFT JOIN wide w ON b.line = w.line
+), kept AS (
+  SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM marked GROUP BY doc_id
+)
+SELECT doc_id, n_removed, length(text) AS kept_chars, sha256(text) AS kept_sha256 FROM kept""",
+    "op9_source_mix": r"""
+WITH l AS (
+  SELECT doc_id, avg(CASE WHEN quality IS NULL THEN 0.5 WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 0.25 ELSE 1.0 END) AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), d AS (
+  SELECT d.doc_id, d.source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(d.doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / greatest(coalesce(l.weight, 1.0), 1e-9) AS key
+  FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id
+), s AS (
+  SELECT source, sum(size) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source
+), c AS (
+  SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(w) OVER () AS all_w FROM s
+), f AS (
+  SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (all_w - coalesce(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) > ratio AS capped FROM c
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN cap ELSE w * (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / (all_w - coalesce(sum(w) FILTER (capped) OVER (), 0)) END AS target FROM f
+), p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(epochs * size + least(greatest(CAST(round(target - epochs * source_size) AS BIGINT) - before, 0), size) AS BIGINT) AS taken FROM p""",
 }
