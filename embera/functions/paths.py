@@ -27,7 +27,7 @@ def base_file_path(key: Column) -> Column:
 def page_of_key(key: Column) -> Column:
     """The number after the first |page= if the whole rest is one; else null."""
     at = F.locate(PAGE, key)
-    rest = F.expr("substring(x, 1)") if False else F.substr(key, at + F.lit(len(PAGE)))
+    rest = F.substr(key, at + F.lit(len(PAGE)))
     return F.when(at > 0, F.when(rest.rlike(r"^-?\d{1,10}$"), rest.try_cast("int")))
 
 
