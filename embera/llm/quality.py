@@ -197,6 +197,6 @@ def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
         for part in parts:
             yield pd.concat(run(iter([part])), ignore_index=True) if len(part[0]) else pd.DataFrame({c: pd.Series(dtype=float) for c in "tmq"})
 
-    scored = F.pandas_udf(whole, "t double, m double, q double")
+    scored = F.pandas_udf(whole, "t double, m double, q double").asNondeterministic()  # a filter on it must not run it twice
     out = docs.withColumn("_s", scored(*_text_columns(docs)))
     return out.select(*docs.columns, F.col("_s.t").alias("text_score"), F.col("_s.m").alias("meta_score"), F.col("_s.q").alias("quality_score"), (F.col("_s.q") >= model.cut).alias("keep"))
