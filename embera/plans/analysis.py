@@ -44,7 +44,7 @@ def model_outputs(df: DataFrame, encoder: Encoder, content_col: str = "content")
             yield pd.Series(encoder.encode_images([bytes(c) if c is not None else b"" for c in contents]), dtype=object)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    out = df.withColumn("output", F.pandas_udf(run, "array<float>")(content_col)).drop(content_col)
+    out = df.withColumn("output", F.pandas_udf(run, "array<float>").asNondeterministic()(content_col)).drop(content_col)
     return out.where(F.exists("output", lambda x: x != 0))
 
 

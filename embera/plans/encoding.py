@@ -94,7 +94,7 @@ def with_vectors(df: DataFrame, encoder: Encoder, content_col: str = "content",
             yield pd.Series(got, dtype=object)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(content_col)).drop(content_col)
+    return df.withColumn("embedding", F.pandas_udf(run, "array<float>").asNondeterministic()(content_col)).drop(content_col)
 
 
 def failures(df: DataFrame, path_col: str = "file_path") -> DataFrame:

@@ -161,5 +161,5 @@ ORACLES = {
 s AS (SELECT vec_id, own, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM p GROUP BY ALL)
 SELECT own AS label, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY own""",
     "vector_hash_roundtrip": "SELECT vec_id, CAST(4 * ceil(len(embedding) * 4 / 3.0) AS INTEGER) AS n_text, true AS same FROM embeddings",
-    "percent_labels": f"{_S} SELECT vec_id, printf('%.1f%%', sign(similarity) * floor(abs(similarity) * 1000 + 0.5) / 10) AS percent FROM s",
+    "percent_labels": f"{_S} SELECT vec_id, printf('%.1f%%', sign(similarity) * floor(abs(similarity) * 1000 + 0.5) / 10 + 0.0) AS percent FROM s",
 }

@@ -9,7 +9,7 @@ from embera.operators import clusters, conflicts, evaluation, probe, routing, se
 
 
 def test_search(spark):
-    df = spark.createDataFrame([("d/a.jpg", [1.0, 0, 0, 0]), ("d/b.png", [0.6, 0.8, 0, 0]), ("d/sub/c.tiff", [0, 1.0, 0, 0]), ("d/z.jpg", [0.0] * 4), ("d/n.jpg", None)], "file_path string, embedding array<float>")
+    df = spark.createDataFrame([("d/a.jpg", [1.0, 0.0, 0.0, 0.0]), ("d/b.png", [0.6, 0.8, 0.0, 0.0]), ("d/sub/c.tiff", [0.0, 1.0, 0.0, 0.0]), ("d/z.jpg", [0.0] * 4), ("d/n.jpg", None)], "file_path string, embedding array<float>")
     got = search.rank(search.score(df, [1, 0, 0, 0]), "file_path").collect()
     assert [(r["file_path"], round(r["similarity"], 6)) for r in got] == [("d/a.jpg", 1.0), ("d/b.png", 0.6), ("d/sub/c.tiff", 0.0)]
     assert search.exclude(df, "file_path", "D/A.JPG").count() == 4

@@ -215,7 +215,7 @@ def test_comic_search(spark, store, tmp_path):
 
 
 def test_analyses(spark):
-    images = spark.createDataFrame([("a", [1.0, 0, 0, 0]), ("b", [0, 1.0, 0, 0])], "file_path string, embedding array<float>")
+    images = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0, 0.0])], "file_path string, embedding array<float>")
 
     class Words(HashingEncoder):
         def encode_text(self, text):

@@ -19,9 +19,9 @@ def test_cache_stream(spark, tmp_path):
 def test_conflict_stream(spark, tmp_path):
     kind = "id long, path string, class string, created timestamp, k string"
     batches = [[(1, "a", "cat", NOON, "k"), (2, "b", "dog", NOON + timedelta(seconds=30), "k")], [(3, "c", "cat", NOON + timedelta(hours=2), "k")], [(4, "d", "cat", NOON + timedelta(hours=4), "k")]]
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for i, b in enumerate(batches):
+    for b in batches:
         spark.createDataFrame(b, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
         q = conflict_stream(stream, 1.0, "k").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
