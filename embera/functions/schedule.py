@@ -39,15 +39,21 @@ def best_epoch(metrics: DataFrame) -> DataFrame:
 def train_validation_split(df: DataFrame, path_col: str, share: float, seed: int = 42) -> DataFrame:
     """``df`` with ``part``: the floor(n * share) rows of the smallest hash are validation.
 
-    The hash bounds the sort: one rank over (hash, path) columns only.
+    The cut is found in counts by hash range first, so nothing is sorted as a whole.
     """
-    n = df.count()
     mark = F.xxhash64(F.col(path_col), F.lit(seed))
-    cut = df.select(mark.alias("h"), F.col(path_col).alias("p")).orderBy("h", "p").limit(int(n * share)).agg(F.max(F.struct("h", "p")).alias("cut")).first()["cut"]
-    if cut is None:
+    bins = df.groupBy(F.shiftright(mark, 44).alias("bin")).agg(F.count("*").alias("n"))
+    along = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # 2**20 rows at most
+    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    wanted = F.floor(F.sum("n").over(Window.partitionBy(F.lit(1))) * share)
+    edge = bins.withColumn("wanted", wanted).where("before < wanted and before + n >= wanted").select("bin", (F.col("wanted") - F.col("before")).alias("skip")).first()
+    if edge is None:
         return df.withColumn("part", F.lit("train"))
-    inside = (mark < cut["h"]) | ((mark == cut["h"]) & (F.col(path_col) <= cut["p"]))
-    return df.withColumn("part", F.when(inside, "validation").otherwise("train"))
+    # only the rows of one bin are put in order
+    inside = df.where(F.shiftright(mark, 44) == edge["bin"]).select(F.struct(mark.alias("h"), F.col(path_col).alias("p")).alias("x")).orderBy("x").limit(edge["skip"])
+    cut = inside.agg(F.max("x").alias("x")).first()["x"]
+    first = (mark < cut["h"]) | ((mark == cut["h"]) & (F.col(path_col) <= cut["p"]))
+    return df.withColumn("part", F.when(first, "validation").otherwise("train"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
