@@ -33,6 +33,8 @@ from .shared import checkpointed
 
 #: Documents in a range, and members of a fingerprint's group that one task compares.
 RANGE, GROUP = 4000, 2000
+#: Ranges at most: their starts come to the driver. A range is streamed, so its length costs time, not memory.
+MOST_RANGES = 8192
 _LEAST = -(2**63)
 
 
@@ -138,7 +140,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     ids = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("key"))
     n = ids.count()
     # range starts are doc_ids, taken from quantiles of the ids alone; one per RANGE documents
-    ranges = max(1, n // RANGE)
+    ranges = max(1, min(MOST_RANGES, n // RANGE))
     cuts = ids.select(F.percentile_approx("key", [i / ranges for i in range(ranges)] if ranges > 1 else [0.0], 100 * ranges).alias("q")).first()["q"] if n else []
     least = ids.agg(F.min("key")).first()[0] if n else 0
     starts = sorted({least, *(c for c in cuts or [] if c >= least)})
