@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     spread = checkpointed(spread_lines(lines, min_sites).select("line"))
     found = checkpointed(lines.join(spread, "line").select("line", "k_id", "k_hash", "k_len", "pos").distinct())
     place = F.struct("k_id", "k_hash", "k_len", "pos")
-    first = found.groupBy("line").agg(F.min(place).alias("first"))
+    first = checkpointed(found.groupBy("line").agg(F.min(place).alias("first")))  # apart, so that Spark may split the join's hot lines
     gone = found.join(first, "line").where(~place.eqNullSafe(F.col("first"))).groupBy("k_id", "k_hash", "k_len").agg(F.collect_list("pos").alias("_gone"))
     named = docs.select("*", *(c.alias(f"_{n}") for c, n in zip(_key(docs), ("id", "hash", "len"), strict=True)))
     joined = named.join(gone, named._id.eqNullSafe(gone.k_id) & (named._hash == gone.k_hash) & (named._len == gone.k_len), "left")
