@@ -88,8 +88,10 @@ def conflict_members(conflicts: DataFrame) -> DataFrame:
     return conflicts.select("first_id", F.explode("ids").alias("id"))
 
 
-def describe(conflicts: DataFrame) -> DataFrame:
-    """Adds ``summary``: span in seconds, times of day and classes."""
+def describe(conflicts: DataFrame, window_minutes: float) -> DataFrame:
+    """Adds ``message`` and ``summary``: counts, the span in seconds, times of day and classes."""
     clock = lambda c: F.date_format(F.timestamp_micros(c), "HH:mm:ss")
-    text = F.format_string("%d files within %d s (%s to %s): %s", F.size("file_paths"), F.floor((F.col("window_end") - F.col("window_start")) / 1_000_000), clock(F.col("window_start")), clock(F.col("window_end")), F.array_join("classes", ", "))
-    return conflicts.withColumn("summary", text)
+    seconds = F.round((F.col("window_end") - F.col("window_start")) / 1_000_000).cast("long")
+    summary = F.format_string("Files created within %ds (%s - %s) predicted as different classes: [%s]", seconds, clock(F.col("window_start")), clock(F.col("window_end")), F.array_join("classes", ", "))
+    message = F.format_string(f"Timestamp conflict: %d images within {window_minutes:g}min window predicted as %d different classes", F.size("file_paths"), F.size("classes"))
+    return conflicts.withColumn("message", message).withColumn("summary", summary)

@@ -83,7 +83,7 @@ def carry_out(plan: DataFrame, move: bool = False) -> DataFrame:
 
 def cluster_plan(assigned: DataFrame, target: str) -> DataFrame:
     """Copies by cluster number."""
-    return assigned.withColumn("destination", F.concat_ws("/", F.lit(target.rstrip("/")), F.format_string("cluster_%d", F.col("cluster")), file_name(F.col("path"))))
+    return assigned.withColumn("destination", F.concat_ws("/", F.lit(target.rstrip("/")), F.format_string("Cluster %d", F.col("cluster") + 1), file_name(F.col("path"))))
 
 
 def tag_plan(tagged: DataFrame, target: str) -> DataFrame:
