@@ -40,6 +40,9 @@ def test_structures():
     assert sorted(kinds) == ["der", "der", "jwt", "sshkey"]
     for k, a, b in S.confirmed(text):
         assert text[a:b] in (pem, JWT, base64.b64encode(SSH).decode(), KEY.hex()), k
+    lines = "\n".join(pem[i : i + 64] for i in range(0, len(pem), 64))
+    for text, want in ((f"x {lines}\nAnd more text", lines), (f"{pem.rstrip('=')}\nWord\nNext line", pem.rstrip("="))):
+        assert [(k, text[a:b]) for k, a, b in S.confirmed(text)] == [("der", want)]
     # the same lengths of letters, but no structure
     assert list(S.confirmed(f"{pem[:-8]}AAAAAAA= eyJhbGciOi.eyJhbGci.abc " + "30" * 40)) == []
 
