@@ -94,7 +94,9 @@ def tag_plan(tagged: DataFrame, target: str) -> DataFrame:
 def history(df: DataFrame, key_cols: list[str], query_col: str, time_col: str, most: int = 10) -> DataFrame:
     """The last ``most`` different queries per key, in either case, newest first."""
     last = df.groupBy(*key_cols, F.lower(query_col).alias("_q")).agg(F.max_by(query_col, time_col).alias("query"), F.max(time_col).alias("used"))
-    w = Window.partitionBy(*key_cols).orderBy(F.desc("used"), "query") if key_cols else Window.orderBy(F.desc("used"), "query")
+    if not key_cols:  # a sort that keeps ``most`` rows per task; only those are numbered
+        last = last.orderBy(F.desc("used"), "query").limit(most)
+    w = Window.partitionBy(*key_cols or [F.lit(1)]).orderBy(F.desc("used"), "query")
     return last.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).drop("_q")
 
 
