@@ -152,14 +152,14 @@ ORACLES = {
     "vec_euclid_to_query": f"{_S} SELECT vec_id, round(list_distance(e, q), 6) AS distance FROM s, q",
     "vec_dim_guard": "SELECT CAST(0 AS BIGINT) AS n_results, false AS fits",
     "zero_vector_filter": "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 10 <> 0 GROUP BY label",
-    "zero_shot_tags": f"{_T} SELECT vec_id, rank, round(score, 5) AS score FROM t WHERE rank <= 5",
+    "zero_shot_tags": f"{_T} SELECT vec_id, CAST(rank AS INTEGER) AS rank, round(score, 5) AS score FROM t WHERE rank <= 5",
     "tag_counts": f"{_T} SELECT 'label' || label AS tag, count(*) AS n FROM t WHERE rank <= 5 AND round(score, 5) >= 0.3 GROUP BY label",
     "nearest_centroid_assign": _C + ", d AS (SELECT vec_id, e.label, c.label AS cl, list_distance(embedding::DOUBLE[], c.c) AS d FROM embeddings e, c), b AS (SELECT vec_id, label, arg_min(cl, (d, cl)) AS cluster FROM d GROUP BY ALL) SELECT label, cluster, count(*) AS n FROM b GROUP BY ALL",
     "centroid_means": _C + " SELECT label, CAST(pos - 1 AS INTEGER) AS pos, mean FROM m",
     "cluster_members": "SELECT label, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label",
     "silhouette_by_label": """WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, own, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM p GROUP BY ALL)
-SELECT own AS label, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY own""",
+SELECT CAST(own AS BIGINT) AS label, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY own""",
     "vector_hash_roundtrip": "SELECT vec_id, CAST(4 * ceil(len(embedding) * 4 / 3.0) AS INTEGER) AS n_text, true AS same FROM embeddings",
     "percent_labels": f"{_S} SELECT vec_id, printf('%.1f%%', sign(similarity) * floor(abs(similarity) * 1000 + 0.5) / 10 + 0.0) AS percent FROM s",
 }
