@@ -23,6 +23,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -35,6 +36,8 @@ from .shared import checkpointed
 RANGE, GROUP = 4000, 2000
 #: Ranges at most: their starts come to the driver. A range is streamed, so its length costs time, not memory.
 MOST_RANGES = 8192
+#: Hex digits of a fingerprint that number the bits of the bitmap of groups.
+BITS = 6
 _LEAST = -(2**63)
 
 
@@ -56,18 +59,45 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.string())], names=["doc_id", "fingerprint"])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        forms = [canonical(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(xxhash.xxh3_128_hexdigest, forms), pa.string()), pa.array(forms, pa.binary())], names=["doc_id", "fingerprint", "form"])
+def _members(bits):
+    """Compressed canonical forms of the documents whose fingerprint may be in a group: its bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, words = zstandard.ZstdCompressor(level=1), bits.value
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                form = canonical(text.as_py())
+                mark = xxhash.xxh3_128_hexdigest(form)
+                at = int(mark[:BITS], 16)
+                if int(words[at >> 6]) >> (at & 63) & 1:
+                    out.append((doc, mark, pack.compress(form)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "fingerprint", "form"])
+
+    return run
+
+
+def _bitmap(groups: DataFrame) -> np.ndarray:
+    """One bit for each beginning (BITS hex digits) of a fingerprint, set if a group begins so.
+
+    The bitmap is 2 MB whatever the corpus. Where many groups fill it, more texts than needed
+    are moved, and the join still decides.
+    """
+    at = F.conv(F.substring("fingerprint", 1, BITS), 16, 10).cast("long")
+    words = groups.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (4 * BITS - 6), dtype=np.int64)
+    for r in words.collect():  # at most 2**18 rows
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
 
 
 def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members, sorted by fingerprint and part, first document first, whose bytes aren't those of the first."""
-    key, first = None, b""
+    key, first, unpack = None, b"", zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for mark, part, doc, form in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for mark, part, doc, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            form = unpack.decompress(packed)
             if (mark, part) != key:
                 key, first = (mark, part), form
             elif form != first:
@@ -78,14 +108,15 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def collisions(docs: DataFrame) -> DataFrame:
     """(fingerprint, sha256, doc_id) of documents whose bytes differ from the first one of their fingerprint.
 
-    Only groups of two or more move their texts. A large group is split into parts, and
+    Only groups of two or more move their texts, which a bitmap of their fingerprints tells in the scan. A large group is split into parts, and
     its first document goes to each part.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = rows.mapInArrow(_fingerprints, "doc_id long, fingerprint string")
     groups = checkpointed(marks.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"))
     dealt = groups.select("fingerprint", "first", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"))
-    members = rows.mapInArrow(_members, "doc_id long, fingerprint string, form binary").join(dealt, "fingerprint")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(groups))
+    members = rows.mapInArrow(_members(bits), "doc_id long, fingerprint string, form binary").join(dealt, "fingerprint")
     leads = F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))
     members = members.withColumn("lead", leads).withColumn("part", F.explode(F.when(leads, F.expr("sequence(0, parts - 1)")).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))))
     sorted_members = members.repartition("fingerprint", "part").sortWithinPartitions("fingerprint", "part", F.desc("lead"), "doc_id")

@@ -45,11 +45,15 @@ def test_bytes_are_compared(spark, monkeypatch):
 
     def clash(batches):
         for b in batches:
-            yield P.pa.RecordBatch.from_arrays([b.column(0), P.pa.array(["0"] * b.num_rows)], names=["doc_id", "fingerprint"])
+            yield P.pa.RecordBatch.from_arrays([b.column(0), P.pa.array(["0" * 32] * b.num_rows)], names=["doc_id", "fingerprint"])
 
-    def members(batches):
-        for b in batches:
-            yield P.pa.RecordBatch.from_arrays([b.column(0), P.pa.array(["0"] * b.num_rows), P.pa.array([P.canonical(t.as_py()) for t in b.column(1)], P.pa.binary())], names=["doc_id", "fingerprint", "form"])
+    def members(bits):
+        def run(batches):
+            for b in batches:
+                forms = [P.zstandard.compress(P.canonical(t.as_py())) for t in b.column(1)]
+                yield P.pa.RecordBatch.from_arrays([b.column(0), P.pa.array(["0" * 32] * b.num_rows), P.pa.array(forms, P.pa.binary())], names=["doc_id", "fingerprint", "form"])
+
+        return run
 
     monkeypatch.setattr(P, "_fingerprints", clash)
     monkeypatch.setattr(P, "_members", members)
