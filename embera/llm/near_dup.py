@@ -184,21 +184,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sketched = checkpointed(rows.mapInArrow(_sketched(k), "doc_id long, n_shingles long, set_key binary, bands binary"))
     named = sketched.where("set_key is not null and doc_id is not null")
     # texts of one set: the smallest id stands for all
-    same = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("set_key", "rep")
+    # (kept apart from the joins below, so that Spark may split a key that a third of all rows share)
+    same = checkpointed(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("set_key", "rep"))
     copies = checkpointed(named.select("doc_id", "set_key").join(same, "set_key"))
     extra = copies.where("doc_id <> rep").select(F.col("doc_id").alias("id"), "set_key")
     reps = named.join(extra, (named.doc_id == extra.id) & (named.set_key == extra.set_key), "left_anti").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands")
     banded = reps.mapInArrow(_band_rows, "id long, n long, band long")
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub")
     members = checkpointed(banded.join(hubs, "band").select("hub", "id", "n").distinct())
-    total = members.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(total, "hub")
+    wide = checkpointed(members.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    placed = members.join(wide, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # a hub stands in every block of its group
     blocks = placed.where("id <> hub").select("hub", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id").union(placed.where("id = hub").select("hub", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "id"))
     texts = rows.withColumnRenamed("doc_id", "id")
     dealt = blocks.join(texts, "id").select("hub", "block", "id", "text").repartition("hub", "block").sortWithinPartitions("hub", "block", "id")
     links = checkpointed(dealt.mapInArrow(_within(k, percent), "a long, b long"))
-    wide = total.where("blocks > 1")
     if not wide.isEmpty():
         links = checkpointed(links.union(_between_blocks(links, members.join(wide, "hub"), texts, k, percent)))
     components = connected_components(links)
