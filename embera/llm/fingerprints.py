@@ -123,6 +123,18 @@ def collisions(docs: DataFrame) -> DataFrame:
     return sorted_members.select("fingerprint", "part", "doc_id", "form").mapInArrow(_different, "fingerprint string, sha256 string, doc_id long")
 
 
+def _lows(cuts: list[int]):
+    """The smallest id between cuts, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+            at, first = np.unique(np.searchsorted(np.array(cuts, dtype=np.int64), ids, side="right"), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(ids[first], pa.int64())], names=["range", "low"])
+
+    return run
+
+
 def _dealer(starts: list[int]):
     """Rows with their range; the first doc_id of a range also as what comes after the range before."""
 
@@ -170,11 +182,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("key"))
     n = ids.count()
-    # range starts are doc_ids, taken from quantiles of the ids alone; one per RANGE documents
+    # quantiles of the ids alone cut the ranges (one per RANGE documents); each starts at its smallest id
     ranges = max(1, min(MOST_RANGES, n // RANGE))
     cuts = ids.select(F.percentile_approx("key", [i / ranges for i in range(ranges)] if ranges > 1 else [0.0], 100 * ranges).alias("q")).first()["q"] if n else []
-    least = ids.agg(F.min("key")).first()[0] if n else 0
-    starts = sorted({least, *(c for c in cuts or [] if c >= least)})
+    starts = sorted(r["low"] for r in ids.mapInArrow(_lows(sorted(set(cuts or []))), "range int, low long").groupBy("range").agg(F.min("low").alias("low")).collect())
     dealt = rows.mapInArrow(_dealer(starts), "range int, ahead int, doc_id long, tie long, data binary")
     streamed = dealt.repartition("range").sortWithinPartitions("range", "ahead", "doc_id", "tie").select("range", "ahead", "doc_id", "data")
     edited = streamed.mapInArrow(_edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")

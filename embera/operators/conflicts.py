@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections import Counter, deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,36 +34,70 @@ def islands(df: DataFrame, window_us: int, time_col: str = "us", tie_col: str =
     return rows.join(ends, "_slice").withColumn("island", F.coalesce("_break", "_head")).drop("_slice", "_break", "_head")
 
 
-def _greedy(window_us: int):
-    """Conflicts of one island: from each anchor the rows less than a window later; a group of
-    two classes or more is taken whole, else the anchor moves on by one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"], kind="stable")
-        us, classes = pdf["us"].to_numpy(), pdf["class"].to_numpy()
-        end = np.searchsorted(us, us + window_us, side="left")
-        change = np.r_[classes[1:] != classes[:-1], False] if len(us) else np.array([], dtype=bool)
-        # first place from i on where the class changes: a group spans two classes if that lies inside it
-        at = np.where(change, np.arange(len(us)), len(us))
-        next_change = np.minimum.accumulate(at[::-1])[::-1]
-        out, i = [], 0
-        while i < len(us):
-            if next_change[i] + 1 < end[i]:
-                out.append((i, int(end[i])))
-                i = int(end[i])
-            else:
-                i += 1
-        ids, paths = pdf["id"].to_numpy(), pdf["path"].to_numpy()
-        return pd.DataFrame(
-            {
-                "first_id": [ids[a] for a, _ in out],
-                "ids": [ids[a:b].tolist() for a, b in out],
-                "file_paths": [paths[a:b].tolist() for a, b in out],
-                "classes": [list(dict.fromkeys(classes[a:b].tolist())) for a, b in out],
-                "window_start": [int(us[a]) for a, _ in out],
-                "window_end": [int(us[b - 1]) for _, b in out],
-            }
-        )
+class _Walk:
+    """The greedy walk over rows (id, path, class, us) in order of time.
+
+    It holds the rows less than a window after the anchor, the first row held. When the
+    next row is further away, the group is complete: two classes or more are a conflict
+    and leave together, else the anchor alone leaves.
+    """
+
+    def __init__(self, window_us: int):
+        self.window, self.held, self.classes, self.out = window_us, deque(), Counter(), []
+
+    def _settle(self) -> None:
+        if len(self.classes) > 1:
+            rows = list(self.held)
+            self.out.append((rows[0][0], [r[0] for r in rows], [r[1] for r in rows], list(dict.fromkeys(r[2] for r in rows)), rows[0][3], rows[-1][3]))
+            self.held.clear()
+            self.classes.clear()
+        else:
+            first = self.held.popleft()[2]
+            self.classes[first] -= 1
+            if not self.classes[first]:
+                del self.classes[first]
+
+    def add(self, row: tuple) -> None:
+        while self.held and row[3] - self.held[0][3] >= self.window:
+            self._settle()
+        self.held.append(row)
+        self.classes[row[2]] += 1
+
+    def end(self) -> None:
+        while self.held:
+            self._settle()
+
+    def found(self) -> pd.DataFrame:
+        rows, self.out = self.out, []
+        return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=kind) for i, (c, kind) in enumerate(_COLUMNS)})
+
+
+_COLUMNS = (("first_id", "int64"), ("ids", object), ("file_paths", object), ("classes", object), ("window_start", "int64"), ("window_end", "int64"))
+
+
+def greedy(rows: list[tuple], window_us: int) -> pd.DataFrame:
+    """Conflicts of one island's rows (id, path, class, us)."""
+    walk = _Walk(window_us)
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        walk.add(r)
+    walk.end()
+    return walk.found()
+
+
+def _streamed(window_us: int):
+    """Walks over islands one after another, rows in order; only one window's rows are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk, now = _Walk(window_us), None
+        for pdf in batches:
+            for island, *row in zip(*(pdf[c].tolist() for c in ("island", "id", "path", "class", "us")), strict=True):
+                if island != now:
+                    walk.end()
+                    now = island
+                walk.add(tuple(row))
+            yield walk.found()
+        walk.end()
+        yield walk.found()
 
     return run
 
@@ -78,10 +114,11 @@ def timestamp_conflicts(df: DataFrame, window_minutes: float, id_col: str = "id"
     window_us = round(window_minutes * 60_000_000)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("class"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("us")).where("us is not null")
     if window_us <= 0:
-        return rows.limit(0).groupBy("id").applyInPandas(_greedy(1), CONFLICT)
+        return df.sparkSession.createDataFrame([], CONFLICT)
     r = islands(rows, window_us)
     mixed = r.groupBy("island").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("island")
-    return r.join(mixed, "island").groupBy("island").applyInPandas(_greedy(window_us), CONFLICT)
+    ordered = r.join(mixed, "island").select("island", "id", "path", "class", "us").repartition("island").sortWithinPartitions("island", "us", "id")
+    return ordered.mapInPandas(_streamed(window_us), CONFLICT)
 
 
 def conflict_members(conflicts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.conflicts import _greedy
+from ..operators.conflicts import greedy
 from ..plans.encoding import Encoder, with_vectors
 from ..plans.store import CacheStore
 from ..functions.vector import is_zero
@@ -59,7 +59,7 @@ def conflict_stream(files: DataFrame, window_minutes: float, key_col: str, water
         elif state.exists:
             state.remove()
         for rows in done:
-            found = _greedy(window_us)(pd.DataFrame(rows, columns=["id", "path", "class", "us"]))
+            found = greedy(rows, window_us)
             if len(found):
                 yield pd.DataFrame({key_col: key[0], "first_id": found["first_id"], "n": found["ids"].map(len), "classes": found["classes"], "window_start": found["window_start"], "window_end": found["window_end"]})
 
