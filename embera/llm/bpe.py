@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a block of documents holds, and chunks that a task remembers.
 BLOCK_CHARS, REMEMBERED = 4_000_000, 600_000
+#: A space with white space on both sides: it may belong to the pre-token before it.
+_AMONG = regex.compile(r"\s \s")
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -146,10 +148,10 @@ class Codec:
         return [b"".join(map(self.pieces.__getitem__, ps)) for ps in split]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of every text. A space between two other characters always starts a pre-token,
-        so texts split there; texts with runs of spaces are taken by white-space runs instead."""
+        """Ids of every text. A space that isn't among other white space always starts a pre-token,
+        so texts split there; texts with other spaces are taken by white-space runs instead."""
         parts = [t.split(" ") for t in texts]
-        odd = {i for i, p in enumerate(parts) if "" in p}
+        odd = {i for i, p in enumerate(parts) if "" in p or _AMONG.search(texts[i])}
         if len(self.chunks) > REMEMBERED:  # keep what this block needs
             self.chunks = {c: self.chunks[c] for c in set().union(*(p[1:] for p in parts)) & self.chunks.keys()}
         new = set().union(*(p[1:] for i, p in enumerate(parts) if i not in odd)) - self.chunks.keys()

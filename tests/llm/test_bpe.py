@@ -38,6 +38,15 @@ def test_merges_of_lower_rank_go_first():
         assert np.frombuffer(list(codec.encode([t]))[0], dtype="<u4").tolist() == ref.encode_ordinary(t)
 
 
+def test_spaces_among_white_space():
+    ranks = {bytes([b]): b for b in range(256)} | {b"\n ": 300, b" \n": 301, b"\n \n": 302}
+    data = b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in ranks.items())
+    ref = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(data, P.PATTERN)
+    for t in ("x\n \ny", "x\n \n y", "\n \n", "a \n b", "a\n b", "a\t \n \tb c"):
+        assert np.frombuffer(list(codec.encode([t]))[0], dtype="<u4").tolist() == ref.encode_ordinary(t)
+
+
 def test_table(spark):
     texts = [None, "", "a  b", "word " * 30000, "<|endoftext|>", "x" * 5000]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] * 2, "doc_id long, text string, ids string")
