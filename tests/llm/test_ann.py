@@ -27,6 +27,7 @@ def test_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_PART", 7)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 8)).astype(np.float32)
+    x[7] *= 3  # long, so that its own copies are what lies nearest by inner product
     x[100:400] = x[7]  # a third of all rows is one vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     want, got = exact(rows, 10, 20), run(spark, rows, 10, 20)
