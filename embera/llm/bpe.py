@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Characters of text that a block of documents holds, and chunks that a task remembers.
 BLOCK_CHARS, REMEMBERED = 4_000_000, 600_000
 #: A space with white space on both sides: it may belong to the pre-token before it.
@@ -196,7 +198,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
 
     With ``check`` the ids are decoded again in the same pass and come back as ``decoded``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
@@ -214,7 +216,7 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
 
 def decode(encoded: DataFrame, vocabulary: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, decoded): the bytes that the ids stand for; null ids give empty bytes."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = small_batches(encoded).sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, "")

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .shared import small_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What begins a control string, as the rest after its first character.
 SQUARE, ANGLE = r"/?INST\]", r"/?s>|</?SYS>>|\|"
@@ -166,4 +168,4 @@ def _read_back(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 def read_back(chats: DataFrame) -> DataFrame:
     """Adds ``turns`` and ``loss_text``, parsed from ``formatted`` and ``loss_spans`` alone."""
     back = F.pandas_udf(_read_back, "turns array<struct<role string, text string>>, loss_text string")
-    return chats.withColumn("back", back("formatted", "loss_spans")).select("*", "back.turns", "back.loss_text").drop("back")
+    return small_batches(chats).withColumn("back", back("formatted", "loss_spans")).select("*", "back.turns", "back.loss_text").drop("back")

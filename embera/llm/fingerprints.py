@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, small_batches
 
 #: Documents in a range, and members of a fingerprint's group that one task compares.
 RANGE, GROUP = 4000, 2000
@@ -179,7 +179,7 @@ def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("key"))
     n = ids.count()
     # quantiles of the ids alone cut the ranges (one per RANGE documents); each starts at its smallest id

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, small_batches
 
 MIN_SITES = 10
 #: Estimates within this factor of the threshold are counted exactly; lg of the sketch's size.
@@ -68,7 +68,7 @@ def _drop_lines(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text`` (``n_chars``, if there, follows), and ``n_removed``."""
-    lines = site_lines(docs)
+    lines = site_lines(small_batches(docs))
     spread = checkpointed(spread_lines(lines, min_sites).select("line"))
     found = checkpointed(lines.join(spread, "line").select("line", "k_id", "k_hash", "k_len", "pos").distinct())
     place = F.struct("k_id", "k_hash", "k_len", "pos")

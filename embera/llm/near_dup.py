@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import connected_components
-from .shared import checkpointed
+from .shared import checkpointed, small_batches
 
 ROWS, BANDS = 6, 48
 #: Shingles in a block (8 bytes each, besides their text).
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Two texts are linked if 100 * |A and B| >= percent * |A or B| for their sets of ``k``-word
     shingles. ``component_id`` is the smallest doc_id that links reach.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketched = checkpointed(rows.mapInArrow(_sketched(k), "doc_id long, n_shingles long, set_key binary, bands binary"))
     named = sketched.where("set_key is not null and doc_id is not null")
     # texts of one set: the smallest id stands for all

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 LABELLED, UNLABELLED, ROUNDS, LOSS = 6000, 4000, 3, 0.002
 TRIGRAMS, LANGS, SOURCES = 1024, 16, 64
 _SHAPE = 6
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> CoTrained
     rest = ids.join(known, "doc_id", "left_anti").distinct().orderBy(mark, "doc_id").limit(UNLABELLED).select("doc_id", F.lit(None).cast("double").alias("y"))
     feature = F.pandas_udf(_featured, "binary")
     chosen = F.broadcast(some.unionByName(rest))  # LABELLED + UNLABELLED rows at most
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).join(chosen.withColumnRenamed("doc_id", "_id"), "_id")
+    rows = small_batches(docs).withColumn("_id", F.col("doc_id").cast("long")).join(chosen.withColumnRenamed("doc_id", "_id"), "_id")
     got = rows.select("_id", "y", feature(*_text_columns(docs)).alias("f")).dropDuplicates(["_id"]).collect()
     got.sort(key=lambda r: zlib.crc32(str(r["_id"]).encode()))
     y = np.array([r["y"] for r in got if r["y"] is not None])
@@ -198,5 +200,5 @@ def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
             yield pd.concat(run(iter([part])), ignore_index=True) if len(part[0]) else pd.DataFrame({c: pd.Series(dtype=float) for c in "tmq"})
 
     scored = F.pandas_udf(whole, "t double, m double, q double").asNondeterministic()  # a filter on it must not run it twice
-    out = docs.withColumn("_s", scored(*_text_columns(docs)))
+    out = small_batches(docs).withColumn("_s", scored(*_text_columns(docs)))
     return out.select(*docs.columns, F.col("_s.t").alias("text_score"), F.col("_s.m").alias("meta_score"), F.col("_s.q").alias("quality_score"), (F.col("_s.q") >= model.cut).alias("keep"))

@@ -7,6 +7,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows in one Arrow batch, about.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the folder that the cluster names in spark.checkpoint.dir.
@@ -21,6 +25,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding what its session sends to Python at once.
+
+    Spark's default is 10,000 rows or 64 MB a batch, which a batch of texts fills, several
+    times over in buffers and copies. BATCH_BYTES keeps that small whatever the texts' length
+    (one longer text is a batch of its own). A session that names a size keeps its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
