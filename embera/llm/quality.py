@@ -1,7 +1,7 @@
 """Quality classification by co-training of two views.
 
-The text view sees what a text is made of: hashed byte trigrams and how concentrated they
-are. The metadata view sees the page around it: language, source, length and layout. Each
+The text view sees what a text is made of: hashed byte trigrams, how concentrated they
+are, and how often words come again. The metadata view sees the page around it: language, source, length and layout. Each
 view is a logistic regression. Over ROUNDS rounds, each view labels the unlabelled
 documents it is surest of for the other view, in the proportions of the labels. Both are
 then calibrated on labelled documents that no round has trained on, and the calibrated
@@ -30,25 +30,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches
+from .sketch import word_hashes
 
 LABELLED, UNLABELLED, ROUNDS, LOSS = 6000, 4000, 3, 0.002
 TRIGRAMS, LANGS, SOURCES = 1024, 16, 64
+#: Columns of the text view; trigrams that a text is taken to have besides its own, so that a short one isn't extreme.
+TEXT, PRIOR = TRIGRAMS + 7, 64
 _SHAPE = 6
 
 
 def text_view(text: str | None) -> np.ndarray:
-    """Square roots of trigram shares, and how concentrated they are."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    out = np.zeros(TRIGRAMS + 3, dtype=np.float32)
+    """Square roots of trigram shares, how concentrated they are, and repetition among words."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    b = np.frombuffer(data, dtype=np.uint8)
+    out = np.zeros(TEXT, dtype=np.float32)
     if len(b) >= 3:
         x = b.astype(np.uint32)
         x = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
-        share = np.bincount((x * np.uint32(0x27D4EB2F)) >> np.uint32(22), minlength=TRIGRAMS) / (len(b) - 2)
+        share = np.bincount((x * np.uint32(0x27D4EB2F)) >> np.uint32(22), minlength=TRIGRAMS) / (len(b) - 2 + PRIOR)
         out[:TRIGRAMS] = np.sqrt(share) * 4
-        out[TRIGRAMS:] = share.max() * 5, (share**2).sum() * 10, np.log2(1 / (share**2).sum()) / 4
+        out[TRIGRAMS : TRIGRAMS + 3] = share.max() * 5, (share**2).sum() * 10, np.log2(1 / (share**2).sum()) / 4
+    out[TRIGRAMS + 3 :] = word_repetition(data)
     return out
 
 
+def word_repetition(data: bytes) -> tuple[float, float, float, float]:
+    """Of a text's words: the share equal to the word before, the root of that share, the share of
+    pairs of neighbours that have come before, and the largest share of one word beyond its first place."""
+    h = word_hashes(data.lower())
+    n = len(h)
+    if n < 2:
+        return 0.0, 0.0, 0.0, 0.0
+    same = float((h[1:] == h[:-1]).mean())
+    pairs = len(np.unique(h[1:] * np.uint64(0x9E3779B97F4A7C15) ^ h[:-1]))
+    most = int(np.unique(h, return_counts=True)[1].max())
+    return same, same**0.5, 1 - pairs / (n - 1), (most - 1) / n
+
+
 def meta_view(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
     """Language, source, length and layout of the page."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -178,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> CoTrained
     y = np.array([r["y"] for r in got if r["y"] is not None])
     if len(y) < 30 or y.min() == y.max():
         return None
-    matrix = lambda own: np.frombuffer(b"".join(bytes(r["f"]) for r in got if (r["y"] is not None) == own), dtype="<f2").reshape(-1, TRIGRAMS + 3 + 8 + _SHAPE + LANGS + SOURCES).astype(np.float32)
-    split = lambda m: (m[:, : TRIGRAMS + 3], m[:, TRIGRAMS + 3 :])
+    matrix = lambda own: np.frombuffer(b"".join(bytes(r["f"]) for r in got if (r["y"] is not None) == own), dtype="<f2").reshape(-1, TEXT + 8 + _SHAPE + LANGS + SOURCES).astype(np.float32)
+    split = lambda m: (m[:, :TEXT], m[:, TEXT:])
     return CoTrained(split(matrix(True)), y, split(matrix(False)))
 
 

@@ -22,6 +22,14 @@ def test_held_out_accuracy(spark):
         assert ((got[view] >= 0.5) == good).mean() >= least, view
 
 
+def test_repetition_and_short_texts():
+    assert Q.word_repetition(b"") == Q.word_repetition(b"one") == (0.0, 0.0, 0.0, 0.0)
+    assert Q.word_repetition(b"a b c d") == (0.0, 0.0, 0.0, 0.0)
+    same, root, pairs, most = Q.word_repetition(b"No no\nNO no no")
+    assert (same, root, pairs, most) == (1.0, 1.0, 0.75, 0.8)
+    assert len(Q.text_view(None)) == len(Q.text_view("ab")) == len(Q.text_view("a b c")) == Q.TEXT
+
+
 def test_without_labels_and_bad_rows(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (3, "x" * 200000, "de", None), (None, "abc", "en", "s"), (2, "again", "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as keep2")
