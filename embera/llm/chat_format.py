@@ -62,6 +62,20 @@ def fingerprint(paths: set[str] | frozenset[str]) -> str:
 MAPPINGS = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
 
 
+def layout_of(paths: set[str], nested: bool = False) -> str | None:
+    """The layout of these field paths, by their hash; None if no mapping knows it.
+
+    Where paths of other layouts stand beside (``conv_id``, ``text``, ...), it is the
+    layout of the most paths that are all there, the first of these in LAYOUTS. With
+    ``nested``, layouts that spread a conversation over several rows are left out.
+    """
+    usable = {name: own for name, (own, how) in LAYOUTS.items() if how is not None or not nested}
+    name = MAPPINGS.get(fingerprint(paths))
+    if name not in usable:
+        name = max((n for n, own in usable.items() if own <= paths), key=lambda n: len(usable[n]), default=None)
+    return name
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     """Field paths of a schema; a step into an array is written []."""
     if isinstance(kind, T.StructType):
@@ -82,9 +96,10 @@ def json_paths(value: object, at: str = "") -> set[str]:
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) from a table whose schema is one of LAYOUTS."""
-    name = MAPPINGS.get(fingerprint(schema_paths(df.schema)))
+    paths = schema_paths(df.schema)
+    name = layout_of(paths)
     if name is None:
-        raise ValueError(f"no mapping for the layout {fingerprint(schema_paths(df.schema))}")
+        raise ValueError(f"no mapping for the layout {fingerprint(paths)}")
     how = LAYOUTS[name][1]
     if how is None:
         return df.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -103,8 +118,9 @@ def _from_json(raw: pd.Series) -> pd.DataFrame:
             row = json.loads(value) if value is not None else None
         except ValueError:
             row = None
-        mark = fingerprint(json_paths(row)) if isinstance(row, dict) else None
-        name = MAPPINGS.get(mark)
+        paths = json_paths(row) if isinstance(row, dict) else None
+        mark = fingerprint(paths) if paths is not None else None
+        name = layout_of(paths, nested=True) if paths is not None else None
         how = LAYOUTS[name][1] if name else None
         if how is None:
             turns = None

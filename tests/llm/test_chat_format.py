@@ -37,6 +37,9 @@ def test_layouts(spark):
     assert sorted(r["conv_id"] for r in unknown.collect()) == [90, 91, 92, 93]
     table = spark.createDataFrame([(5, [("human", "hi")])], "conv_id long, conversations array<struct<from string, value string>>")
     assert C.canonical_turns(table).collect()[0].asDict() == {"conv_id": 5, "turn": 0, "role": "user", "text": "hi"}
+    both = json.dumps({"prompt": "hi", "response": "yo", "conv_id": 4, "turn": 0, "role": "x", "text": "other"})
+    turns, unknown = C.turns_from_json(spark.createDataFrame([(1, both)], "conv_id long, j string"), "j")
+    assert [r["text"] for r in turns.orderBy("turn").collect()] == ["hi", "yo"] and not unknown.collect()
 
 
 def test_empty_and_extra_columns(spark):
