@@ -15,7 +15,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -32,12 +32,16 @@ ASSIGN_WORD = re.compile(r"(?i:pass|secret|token|api)", re.ASCII)
 #: Runs are maximal, so a minimum in the pattern keeps just the runs that are long enough.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidates to decode: unbroken base64 or base64url, PEM-like bodies of several lines, longer hex in either case.
+#: Candidates to decode: first lines of base64 or base64url, which may go on over line ends, longer hex in either case.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-I]|AAAA|b3Bl)[A-Za-z0-9+/_-]{22,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=-----))(?:M[A-I]|AAAA|b3Bl)[A-Za-z0-9+/_-]{22,}")
+#: A line of a body with the line end before it, which may be written out (\\n as in JSON) and indented.
+NEXT_LINE = re.compile(r"[ \t]*(?:(?:\\+r)?\\+n|\\*(?:\r\n?|\n))[ \t]*((?!--)[A-Za-z0-9+/_-]+)")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:30|0000|6f70)[0-9A-Fa-f]{44,}")
 OPENSSH = b"openssh-key-v1\0"
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Strings of a public blob by its type, the type's name included.
+SSH_TYPES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 
 
 def der_length(data: bytes, at: int) -> tuple[int, int] | None:
@@ -125,12 +129,91 @@ def _structure(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh(data) else "sshkey" if is_ssh_blob(data) else None
 
 
-def _decode64(text: str) -> bytes | None:
-    plain = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        return base64.b64decode(plain + "=" * (-len(plain) % 4))
-    except (ValueError, binascii.Error):
+class _Body:
+    """The bytes of a base64 body from ``at`` on, over line ends, decoded as far as they are asked for."""
+
+    def __init__(self, text: str, at: int, most: int):
+        """``most``: no more bytes than that can follow."""
+        self.text, self.at, self.most, self.over = text, at, most, False
+        self.data, self.rest, self.n = bytearray(), "", 0
+        self.firsts: list[int] = []  # number of each line's first letter
+        self.starts: list[int] = []  # and its place in the text
+
+    def _pull(self) -> None:
+        m = (NEXT_LINE if self.starts else LETTERS).match(self.text, self.at)
+        if m is None:
+            self.over = True
+            letters = self.rest[: len(self.rest) - (len(self.rest) % 4 == 1)]
+            self.rest = ""
+            self.data += _decode64(letters)
+            return
+        line = m[m.lastindex or 0]
+        self.firsts.append(self.n)
+        self.starts.append(m.end() - len(line))
+        self.n, self.at, letters = self.n + len(line), m.end(), self.rest + line
+        whole = len(letters) // 4 * 4
+        self.data += _decode64(letters[:whole])
+        self.rest = letters[whole:]
+
+    def has(self, n: int) -> bool:
+        while len(self.data) < n <= self.most and not self.over:
+            self._pull()
+        return len(self.data) >= n
+
+    def end(self, n: int) -> int | None:
+        """Where the text of the first ``n`` bytes ends, padding included; None amid other letters."""
+        last = -(-n * 4 // 3) - 1
+        i = bisect.bisect_right(self.firsts, last) - 1
+        at = self.starts[i] + last - self.firsts[i] + 1
+        if LETTERS.match(self.text, at) and not self.text.startswith("--", at):
+            return None
+        for _ in range(-n % 3):
+            at += self.text.startswith("=", at)
+        return at
+
+    def skip(self, at: int) -> int | None:
+        """The end of the length-prefixed string at ``at``."""
+        if not self.has(at + 4):
+            return None
+        end = at + 4 + int.from_bytes(self.data[at : at + 4], "big")
+        return end if self.has(end) else None
+
+
+def _decode64(letters: str) -> bytes:
+    return base64.b64decode(letters.replace("-", "+").replace("_", "/") + "=" * (-len(letters) % 4))
+
+
+def _body_end(body: _Body) -> tuple[str, int] | None:
+    """(kind, end in the text) of the key at the body's start, cut at the length that its own structure gives."""
+    head = _decode64(body.text[body.at : body.at + 24])
+    if head[0] == 0x30:
+        n = head[1]
+        size = n & 0x7F if n & 0x80 else 0
+        # without its length and the tag of a first element nothing more is decoded
+        if size > 4 or n == 0x80 or head[2 + size] not in (0x02, 0x30):
+            return None
+        n = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else n)
+        return ("der", end) if body.has(n) and is_der_key(bytes(body.data[:n])) and (end := body.end(n)) is not None else None
+    if head.startswith(OPENSSH):
+        at: int | None = len(OPENSSH)
+        for _ in range(3):  # cipher, derivation and its options
+            if (at := body.skip(at)) is None:
+                return None
+        if not body.has(at + 4):
+            return None
+        keys, at = int.from_bytes(body.data[at : at + 4], "big"), at + 4
+        for _ in range(keys + 1):  # public blobs, and the private part
+            if (at := body.skip(at)) is None:
+                return None
+        return ("openssh", end) if (end := body.end(at)) is not None else None
+    if (at := body.skip(0)) is None or (strings := SSH_TYPES.get(bytes(body.data[4:at]))) is None:
         return None
+    n = 1
+    while n < strings or body.end(at) is None:
+        if (at := body.skip(at)) is None:
+            return None
+        n += 1
+    return "sshkey", body.end(at)
 
 
 def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
@@ -139,13 +222,17 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in JWT.finditer(text):
             if is_jwt(m[0]):
                 yield "jwt", m.start(), m.end()
+    done = over = 0
     for m in BASE64.finditer(text):
-        # text on the next line may look like more of the key: the whole, all but the last line, the first
-        for part in dict.fromkeys((m[0], m[0].rpartition("\n")[0].rstrip("\r"), m[0].partition("\n")[0].rstrip("\r"))):
-            data = _decode64(part) if part else None
-            if data is not None and (kind := _structure(data)):
-                yield kind, m.start(), m.start() + len(part)
-                break
+        # inner lines of a key that is found are no candidates; after a failure the next line is one
+        if m.start() < done:
+            continue
+        body = _Body(text, m.start(), over - m.start() if m.start() < over else len(text))
+        if found := _body_end(body):
+            kind, done = found
+            yield kind, m.start(), done
+        if body.over:
+            over = body.at  # lines that have been read to their end aren't read again for a longer key
     for m in LONG_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := _structure(bytes.fromhex(m[0]))):
             yield kind, m.start(), m.end()

@@ -47,6 +47,30 @@ def test_structures():
     assert list(S.confirmed(f"{pem[:-8]}AAAAAAA= eyJhbGciOi.eyJhbGci.abc " + "30" * 40)) == []
 
 
+def test_keys_among_other_lines():
+    found = lambda t: [(k, t[a:b]) for k, a, b in S.confirmed(t)]
+    blobs = [base64.b64encode(b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes([i]) * 32))).decode() for i in range(4)]
+    assert all(len(b) == 68 and "=" not in b for b in blobs)
+    assert found("\n".join(blobs)) == [("sshkey", b) for b in blobs]
+    pem = base64.b64encode(KEY).decode()
+    bare = pem.rstrip("=")
+    wrapped = lambda end: end.join(bare[i : i + 64] for i in range(0, len(bare), 64))
+    assert found(f"{wrapped(chr(10))}\nWord\nother\nlast") == [("der", wrapped("\n"))]
+    false = "MIIE" + "x" * 60
+    assert found(f"{false}\n{false}\n{wrapped(chr(10))}\n{blobs[0]}") == [("der", wrapped("\n")), ("sshkey", blobs[0])]
+    for end in ("\\n", "\\r\\n", "\\\\n", "\r\n", "\n    ", " \\\n\t"):
+        body = wrapped(end) + pem[len(bare) :]
+        assert found(f'"-----BEGIN RSA PRIVATE KEY-----{end}{body}{end}-----END RSA PRIVATE KEY-----{end}"') == [("der", body)], end
+    assert found(f"-----BEGIN KEY-----{bare}-----END KEY-----") == [("der", bare)]
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    private = base64.b64encode(S.OPENSSH + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(SSH) + string(b"p" * 64)).decode().rstrip("=")
+    body = "\\n".join(private[i : i + 70] for i in range(0, len(private), 70))
+    assert found(f"{body}\\nWord\\nword") == [("openssh", body)]
+    # a long run of false candidates that claim great lengths is read once
+    long = "MIR/////MIIC" + "A" * 52
+    assert found("\n".join([long] * 20000)) == []
+
+
 def test_table(spark):
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, spans int")
     for r in S.scan_secrets(df).collect():
