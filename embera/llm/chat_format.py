@@ -14,8 +14,14 @@ that cover the assistant texts.
 Defined results: a null text or role is empty. Turns are ordered by turn (null first),
 then role, then text, so repeated rows stay, side by side. Rows without conv_id form the
 conversation of null conv_id, as in GROUP BY. A conversation is one training example, so
-it has to fit one record. Unknown layouts give no turns and keep their fingerprint. An
-empty table gives an empty table.
+it has to fit one record. A null or empty array of messages gives no turns. Content may
+be a text, a list of parts (texts, or objects with a ``text``), which are joined, or a
+number or truth value, which is written as JSON. Rows of JSON that are no object, are
+nested too deep to parse, or whose roles, messages or contents are of other kinds are
+unknown, like those of unknown layouts; they give no turns and keep their fingerprint
+(null if they can't be parsed). Lone surrogates of JSON texts become U+FFFD. A dot,
+bracket or backslash in a field name is escaped in its path. Extra columns and fields
+change nothing. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ SQUARE, ANGLE = r"/?INST\]", r"/?s>|</?SYS>>|\|"
 LAYOUTS: dict[str, tuple[frozenset[str], object]] = {
     "turn_rows": (frozenset({"conv_id", "turn", "role", "text"}), None),
     "messages": (frozenset({"messages[].role", "messages[].content"}), ("messages", "role", "content")),
+    "message_parts": (frozenset({"messages[].role", "messages[].content[].text"}), ("messages", "role", "content")),
     "dialogue": (frozenset({"conversations[].from", "conversations[].value"}), ("conversations", "from", "value")),
     "instruction": (frozenset({"instruction", "output"}), [("user", "instruction"), ("assistant", "output")]),
     "instruction_input": (frozenset({"instruction", "input", "output"}), [("user", "instruction"), ("user", "input"), ("assistant", "output")]),
@@ -76,10 +83,15 @@ def layout_of(paths: set[str], nested: bool = False) -> str | None:
     return name
 
 
+def _step(name: str) -> str:
+    """A field's name as a step of a path: what would read as another step is escaped."""
+    return re.sub(r"([\\.\[])", r"\\\1", name)
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
     """Field paths of a schema; a step into an array is written []."""
     if isinstance(kind, T.StructType):
-        return set().union(*(schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name) for f in kind.fields)) if kind.fields else {at}
+        return set().union(*(schema_paths(f.dataType, f"{at}.{_step(f.name)}" if at else _step(f.name)) for f in kind.fields)) if kind.fields else {at}
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, f"{at}[]")
     return {at}
@@ -88,46 +100,83 @@ def schema_paths(kind: T.DataType, at: str = "") -> set[str]:
 def json_paths(value: object, at: str = "") -> set[str]:
     """Field paths of a parsed JSON value; null fields don't count as present."""
     if isinstance(value, dict):
-        return set().union(*(json_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
+        return set().union(*(json_paths(v, f"{at}.{_step(k)}" if at else _step(k)) for k, v in value.items())) if value else set()
     if isinstance(value, list):
         return set().union(*(json_paths(v, f"{at}[]") for v in value)) if value else set()
     return set() if value is None else {at}
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) from a table whose schema is one of LAYOUTS."""
-    paths = schema_paths(df.schema)
+    """(conv_id, turn, role, text) from a table whose schema is one of LAYOUTS; ``id_col`` stands for conv_id."""
+    paths = {"conv_id" if p == _step(id_col) else p for p in schema_paths(df.schema)}
     name = layout_of(paths)
     if name is None:
         raise ValueError(f"no mapping for the layout {fingerprint(paths)}")
     how = LAYOUTS[name][1]
+    conv_id = F.col(f"`{id_col}`").alias("conv_id")
     if how is None:
-        return df.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+        return df.select(conv_id, F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     if isinstance(how, tuple):
         array, role, text = how
-        turns = df.select(F.col(id_col).alias("conv_id"), F.posexplode(array).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t")[role].alias("role"), F.col("t")[text].alias("text"))
+        turns = df.select(conv_id, F.posexplode(array).alias("turn", "t"))
+        content = F.col("t")[text]
+        if name == "message_parts":
+            content = F.array_join(F.transform(content, lambda p: F.coalesce(p["text"].cast("string"), F.lit(""))), "")
+        turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t")[role].cast("string").alias("role"), content.cast("string").alias("text"))
         return turns.withColumn("role", F.coalesce(F.create_map(*(F.lit(x) for kv in SPEAKERS.items() for x in kv))[F.col("role")], F.col("role")))
     parts = [F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for i, (role, path) in enumerate(how)]
-    return df.select(F.col(id_col).alias("conv_id"), F.explode(F.filter(F.array(*parts), lambda p: p["text"].isNotNull())).alias("p")).select("conv_id", "p.*")
+    return df.select(conv_id, F.explode(F.filter(F.array(*parts), lambda p: p["text"].isNotNull())).alias("p")).select("conv_id", "p.*")
+
+
+class _Odd(Exception):
+    """A value that no mapping can turn into text."""
+
+
+def _sound(text: str) -> str:
+    """``text`` with pairs of surrogates joined and lone ones as U+FFFD."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _content(value: object) -> str | None:
+    if value is None or isinstance(value, str):
+        return value if value is None else _sound(value)
+    if isinstance(value, (bool, int, float)):
+        return json.dumps(value)
+    if isinstance(value, list):
+        parts = [p.get("text") if isinstance(p, dict) else p for p in value]
+        if all(p is None or isinstance(p, str) for p in parts):
+            return _sound("".join(p or "" for p in parts))
+    raise _Odd
+
+
+def _role(value: object) -> str | None:
+    if value is not None and not isinstance(value, str):
+        raise _Odd
+    return value if value is None else _sound(SPEAKERS.get(value, value))
+
+
+def _turns(row: dict, how: object) -> list[dict]:
+    """Turns of a parsed row by a mapping; _Odd if a value doesn't fit it."""
+    if isinstance(how, tuple):
+        messages = row.get(how[0])
+        if not isinstance(messages, list) or not all(m is None or isinstance(m, dict) for m in messages):
+            raise _Odd
+        return [{"role": _role(m.get(how[1])), "text": _content(m.get(how[2]))} for m in messages if m is not None]
+    return [{"role": role, "text": _content(row[path])} for role, path in how if row.get(path) is not None]
 
 
 def _from_json(raw: pd.Series) -> pd.DataFrame:
     out = []
     for value in raw:
+        mark = turns = None
         try:
             row = json.loads(value) if value is not None else None
-        except ValueError:
-            row = None
-        paths = json_paths(row) if isinstance(row, dict) else None
-        mark = fingerprint(paths) if paths is not None else None
-        name = layout_of(paths, nested=True) if paths is not None else None
-        how = LAYOUTS[name][1] if name else None
-        if how is None:
+            if isinstance(row, dict):
+                paths = json_paths(row)
+                mark, name = fingerprint(paths), layout_of(paths, nested=True)
+                turns = _turns(row, LAYOUTS[name][1]) if name else None
+        except (ValueError, RecursionError, _Odd):
             turns = None
-        elif isinstance(how, tuple):
-            turns = [{"role": SPEAKERS.get(m.get(how[1]), m.get(how[1])), "text": m.get(how[2])} for m in row[how[0]] if isinstance(m, dict)]
-        else:
-            turns = [{"role": role, "text": None if row.get(path) is None else str(row[path])} for role, path in how if row.get(path) is not None]
         out.append((mark, turns))
     return pd.DataFrame(out, columns=["fingerprint", "turns"])
 
@@ -135,7 +184,7 @@ def _from_json(raw: pd.Series) -> pd.DataFrame:
 def turns_from_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
     """(turns, unknown): rows of JSON strings of any mix of layouts; unknown has (conv_id, fingerprint)."""
     _read = F.pandas_udf(_from_json, "fingerprint string, turns array<struct<role string, text string>>")
-    read = df.select(F.col(id_col).alias("conv_id"), _read(F.col(json_col).cast("string")).alias("r"))
+    read = df.select(F.col(f"`{id_col}`").alias("conv_id"), _read(F.col(f"`{json_col}`").cast("string")).alias("r"))
     turns = read.select("conv_id", F.posexplode("r.turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
     return turns, read.where("r.turns is null").select("conv_id", "r.fingerprint")
 

@@ -46,3 +46,57 @@ def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string, head string, size int, formatted string")
     assert C.read_back(C.format_chat(C.canonical_turns(empty))).collect() == []
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_json_that_does_not_fit(spark):
+    say = lambda role, content: json.dumps({"messages": [{"role": role, "content": content}, {"role": "assistant", "content": "yo"}]})
+    rows = [
+        say("user", 7),
+        say("user", [{"type": "text", "text": "h"}, {"type": "image"}, "i"]),
+        say("user", True),
+        say("user", {"a": 1}),
+        say(["user"], "hi"),
+        say(None, None),
+        json.dumps({"messages[]": {"role": "user", "content": "hi"}}),
+        json.dumps({"messages": None}),
+        json.dumps({"messages": []}),
+        json.dumps({"messages": [{"role": "user", "content": "a"}, 5]}),
+        '{"prompt": "\\ud800 a", "response": "\\ud83d\\ude00"}',
+        "[" * 3000 + "]" * 3000,
+        '{"a": ' + "[" * 100_000,
+        json.dumps({"prompt": 1.5, "response": ["x"]}),
+        json.dumps({"conversations": [{"from": "human", "value": "x" * 200_000}, None]}),
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "conv_id long, j string").selectExpr("*", "'x' as turn", "'y' as role", "'z' as r", "'w' as fingerprint", "'v' as turns", "'u' as t")
+    turns, unknown = C.turns_from_json(df, "j")
+    got = {}
+    for r in turns.orderBy("conv_id", "turn").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    yo = ("assistant", "yo")
+    assert got == {
+        0: [("user", "7"), yo],
+        1: [("user", "hi"), yo],
+        2: [("user", "true"), yo],
+        5: [(None, None), yo],
+        10: [("user", "� a"), ("assistant", "\U0001f600")],
+        14: [("user", "x" * 200_000)],
+    }
+    assert sorted(r["conv_id"] for r in unknown.collect()) == [3, 4, 6, 7, 8, 9, 11, 12, 13]
+    back = C.read_back(C.format_chat(turns)).where("conv_id = 14").collect()[0]
+    assert back["turns"][0]["text"] == "x" * 200_000
+
+
+def test_tables_of_other_kinds(spark):
+    """Another id column, contents that aren't text, parts, null and empty arrays, names with dots."""
+    rows = spark.createDataFrame([(3, 0, "user", 5)], "chat long, turn int, role string, text int")
+    assert C.canonical_turns(rows, "chat").collect()[0].asDict() == {"conv_id": 3, "turn": 0, "role": "user", "text": "5"}
+    nested = spark.createDataFrame([(1, [("user", 4)]), (2, None), (3, [])], "conv_id long, messages array<struct<role string, content int>>").selectExpr("*", "'x' as turn", "'y' as t")
+    assert [tuple(r) for r in C.canonical_turns(nested).collect()] == [(1, 0, "user", "4")]
+    parts = spark.createDataFrame([(1, [("user", [("text", "a"), ("text", None), ("text", "b")])])], "conv_id long, messages array<struct<role string, content array<struct<type string, text string>>>>")
+    assert [tuple(r) for r in C.canonical_turns(parts).collect()] == [(1, 0, "user", "ab")]
+    odd = spark.createDataFrame([(1, "a", "b")], ["conv_id", "messages[].role", "messages[].content"])
+    try:
+        C.canonical_turns(odd)
+        raise AssertionError("a column of that name is no array")
+    except ValueError:
+        pass
