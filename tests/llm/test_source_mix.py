@@ -75,3 +75,37 @@ def test_weights_matter(spark):
     got = M.mix_sources(df, weight, weights=(1, 1), share=0.5).where("source = 'b'").collect()
     good = sum(r["taken"] for r in got if r["doc_id"] % 2 == 0)
     assert good > 2 * sum(r["taken"] for r in got if r["doc_id"] % 2)
+
+
+def test_any_extra_column_and_repeated_rows(spark):
+    """Names that the operator uses inside, rows that are repeated, and texts of one doc_id in two sources."""
+    names = ["_id", "_md5", "_size", "_words", "_mark", "row", "own_id", "own_source", "own_md5", "size", "words", "parts", "epochs", "part", "taken", "target", "text_md5", "cut", "count", "key", "u", "weight", "bucket", "a.b"]
+    rows = [(i, f"w{i} x y z", f"s{i % 2}") for i in range(20)] + [(3, "w3 x y z", "s1")] * 2 + [(3, "w3 x y z", "s0"), (None, "a b", None), (None, "a b", None), (50, None, "s0"), (51, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"'x' as `{n}`" for n in names))
+    picks = {}
+    for r in M.mix_sources(df).collect():
+        key = r["doc_id"], r["source"]
+        picks[key] = picks.get(key, 0) + r["taken"]
+    got = M.mixed_documents(df)
+    assert got.columns == df.columns
+    seen = {}
+    for r in got.collect():
+        seen[r["doc_id"], r["source"]] = seen.get((r["doc_id"], r["source"]), 0) + len(r["text"].split())
+    assert seen == {k: v for k, v in picks.items() if v}
+
+
+def test_odd_weights(spark):
+    df = spark.range(40).selectExpr("id as doc_id", "'a b c' as text", "'s' as source")
+    weight = spark.range(40).selectExpr("id as doc_id", "case id % 5 when 0 then double('NaN') when 1 then double('Infinity') when 2 then null when 3 then -1.0 else 0.5 end as weight")
+    got = M.mix_sources(df, weight, share=0.5).collect()
+    assert len(got) == 40 and abs(sum(r["taken"] for r in got) - 60) <= 1
+    assert sum(r["taken"] for r in got if r["doc_id"] % 5 == 3) == 0  # the least of all weights come last
+
+
+def test_many_sources_in_ranges(spark):
+    """Ranks and sums of sources by range are those of one order."""
+    sizes = {f"host{i:04d}": 1 + (i * 37) % 91 for i in range(300)} | {None: 5}
+    df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long").repartition(6)
+    want = targets(sizes)
+    for r in M.source_targets(df, (3, 1, 2), 1.5, 2.0).collect():
+        assert abs(r["target"] - want[r["source"]]) < 1e-6
