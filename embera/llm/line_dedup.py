@@ -4,16 +4,20 @@ The sites (sources) of every line hash are counted with HyperLogLog sketches, wh
 by aggregation. Lines whose estimate lies near the threshold get an exact distinct count.
 A line on ``min_sites`` sites or more is boilerplate: it stays in the first document that
 has it (smallest doc_id) at its first place, and is removed elsewhere, so no text is lost
-for good. Documents themselves all stay, if need be with an empty text.
+for good. Documents themselves all stay, if need be with an empty text. The threshold is a
+few sites, not a share of them, so it means the same in a corpus of any size.
 
-Lines are compared by a 64-bit hash of the line without blanks at its ends. Joins by line
-hash are plain equi-joins, which Spark broadcasts or splits by measured size; a document's
-removals are gathered by document.
+Lines are compared by a 64-bit hash of the line without blanks at its ends. Documents are
+split once, and their lines (hash, site, place) are kept. For an exact count the sites of
+a line are made distinct before lines are brought together, so a line that a third of all
+rows have brings one row per site. Joins by line hash are plain equi-joins, which Spark
+broadcasts or splits by measured size; a document's removals are gathered by document.
 
 Defined results: a null text stays null; blank lines are never removed; a null source is
 the site of the empty name; documents without doc_id come first. Repeated rows share their
 removals: a line that stays in one stays in its exact repetition of the same doc_id.
-Extra columns pass through. An empty table gives an empty table.
+Extra columns pass through, whatever their names (an own ``n_removed`` is replaced). An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .shared import checkpointed, small_batches
 
-MIN_SITES = 10
+MIN_SITES = 5
 #: Estimates within this factor of the threshold are counted exactly; lg of the sketch's size.
-NEAR, LG_K = 1.25, 12
+NEAR, LG_K = 1.5, 12
 BLANKS = " \t\r"
 
 
@@ -47,10 +51,11 @@ def site_lines(docs: DataFrame) -> DataFrame:
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line, sites): lines on ``min_sites`` sites or more, with their count."""
-    pairs = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    estimated = checkpointed(pairs.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites / NEAR))
+    sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    estimated = checkpointed(sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites / NEAR))
     near = estimated.where(F.col("sites") <= min_sites * NEAR).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("sites"))
+    pairs = lines.select("line", "site").distinct()
+    exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites"))
     far = estimated.where(F.col("sites") > min_sites * NEAR)
     return far.unionByName(exact.where(F.col("sites") >= min_sites))
 
@@ -68,16 +73,16 @@ def _drop_lines(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text`` (``n_chars``, if there, follows), and ``n_removed``."""
-    lines = site_lines(small_batches(docs))
+    lines = checkpointed(site_lines(small_batches(docs)))
     spread = checkpointed(spread_lines(lines, min_sites).select("line"))
     found = checkpointed(lines.join(spread, "line").select("line", "k_id", "k_hash", "k_len", "pos").distinct())
     place = F.struct("k_id", "k_hash", "k_len", "pos")
     first = checkpointed(found.groupBy("line").agg(F.min(place).alias("first")))  # apart, so that Spark may split the join's hot lines
-    gone = found.join(first, "line").where(~place.eqNullSafe(F.col("first"))).groupBy("k_id", "k_hash", "k_len").agg(F.collect_list("pos").alias("_gone"))
-    named = docs.select("*", *(c.alias(f"_{n}") for c, n in zip(_key(docs), ("id", "hash", "len"), strict=True)))
-    joined = named.join(gone, named._id.eqNullSafe(gone.k_id) & (named._hash == gone.k_hash) & (named._len == gone.k_len), "left")
+    gone = found.join(first, "line").where(~place.eqNullSafe(F.col("first"))).groupBy("k_id", "k_hash", "k_len").agg(F.collect_list("pos").alias("places"))
+    # a caller's columns travel as one, so that no name of theirs meets one of ours
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for c, n in zip(_key(docs), ("own_id", "own_hash", "own_len"), strict=True)))
+    joined = named.join(gone, named.own_id.eqNullSafe(gone.k_id) & (named.own_hash == gone.k_hash) & (named.own_len == gone.k_len), "left").select("row", "places")
     drop = F.pandas_udf(_drop_lines, "string")
-    out = joined.withColumn("text", drop(F.col("text").cast("string"), "_gone")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "n_removed")
+    out = joined.select("row", drop(F.col("row.text").cast("string"), "places").alias("left"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
+    changed = {"text": F.col("left"), "n_chars": F.when(F.col("n_removed") > 0, F.length("left").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_removed"), "n_removed")

@@ -143,7 +143,7 @@ WITH lines AS (
 ), bare AS (
   SELECT doc_id, site, pos, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines
 ), wide AS (
-  SELECT line, arg_min(doc_id, (doc_id, pos)) AS first_doc, min(pos) FILTER (true) AS any_pos, min((doc_id, pos)) AS first FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+  SELECT line, arg_min(doc_id, (doc_id, pos)) AS first_doc, min(pos) FILTER (true) AS any_pos, min((doc_id, pos)) AS first FROM bare WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 5
 ), marked AS (
   SELECT b.doc_id, b.pos, b.raw, w.line IS NOT NULL AND (b.doc_id, b.pos) <> w.first AS gone FROM bare b LEFT JOIN wide w ON b.line = w.line
 ), kept AS (
