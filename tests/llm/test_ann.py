@@ -25,6 +25,7 @@ def test_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF", 20)
     monkeypatch.setattr(ann, "ROW_PART", 50)
     monkeypatch.setattr(ann, "QUERY_PART", 7)
+    monkeypatch.setattr(ann, "COPIES", 100)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 8)).astype(np.float32)
     x[7] *= 3  # long, so that its own copies are what lies nearest by inner product
@@ -46,3 +47,37 @@ def test_bad_vectors_and_few_rows(spark):
     assert run(spark, rows, 20, 20) == {0: [(1, 0.5), (2, 0.5), (4, -1.0)]}
     assert run(spark, [(0, [1.0, 2.0])], 5, 20) == {}
     assert run(spark, [(1, None)], 5, 20) == {}
+
+
+def test_repeated_queries_and_candidates(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 4)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = run(spark, rows, 5, 20)
+    # a query's row that is repeated is one query, and not its own neighbour
+    assert run(spark, rows + [rows[20], rows[20]], 5, 20)[20] == want[20]
+    # a repeated candidate counts as often as it is there
+    near = want[20][0][0]
+    assert run(spark, rows + [rows[near]], 5, 20)[20] == [want[20][0], want[20][0], *want[20][1:4]]
+    # one vec_id with two vectors has two lists
+    two = ann.search(spark.createDataFrame(rows + [(20, x[7].tolist())], "vec_id long, embedding array<float>"), 5, 20).where("query_id = 20").collect()
+    assert sorted(r["rank"] for r in two) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
+def test_overflow_is_nearest_and_clashes_are_ignored(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 0.0]), (2, [5.0, 5.0]), (3, [-1e200, 1.0]), (4, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.search(df, 4, 20).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 2, 4, 3] and got[0][1] == float("inf") and got[3][1] == float("-inf")
+    names = ["v", "vector", "leaf", "shelf", "query", "mark", "id", "n", "often", "rank", "row_part", "query_part", "leaves", "score", "query_id"]
+    clash = df.selectExpr("*", *(f"'x' as `{n}`" for n in names))
+    assert ann.search(clash, 4, 20).count() == 4
+
+
+def test_recall_is_measured_on_other_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 10)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 16)) * 3
+    x = centres[rng.integers(30, size=3000)] + rng.standard_normal((3000, 16)) * 0.3
+    index = ann.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 10, 5)
+    assert index.recall >= 0.9 and int(index.sizes.sum()) == 3000 and index.visits < len(index.sizes)
