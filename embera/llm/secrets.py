@@ -33,12 +33,15 @@ ASSIGN_WORD = re.compile(r"(?i:pass|secret|token|api)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates to decode: first lines of base64 or base64url, which may go on over line ends, longer hex in either case.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A header begins with a brace, perhaps white space, and a quotation mark: eyJ, or eyA, eyI, ew... with white space.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:ey[AIJ]|ew)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=-----))(?:M[A-I]|AAAA|b3Bl)[A-Za-z0-9+/_-]{22,}")
 #: A line of a body with the line end before it, which may be written out (\\n as in JSON) and indented.
 NEXT_LINE = re.compile(r"[ \t]*(?:(?:\\+r)?\\+n|\\*(?:\r\n?|\n))[ \t]*((?!--)[A-Za-z0-9+/_-]+)")
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:30|0000|6f70)[0-9A-Fa-f]{44,}")
+#: Keys nest a few levels deep; more than this isn't one.
+DEPTH = 32
 OPENSSH = b"openssh-key-v1\0"
 #: Strings of a public blob by its type, the type's name included.
 SSH_TYPES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
@@ -75,7 +78,7 @@ def is_der_key(data: bytes) -> bool:
             first = first if first is not None else tag
             elements += 1
             if tag & 0x20:
-                if depth > 8:
+                if depth > DEPTH:
                     return False
                 todo.append((inner[0], inner[1], depth + 1))
             elif tag not in (0x02, 0x03, 0x04, 0x05, 0x06) and tag & 0xC0 != 0x80:
@@ -218,7 +221,7 @@ def _body_end(body: _Body) -> tuple[str, int] | None:
 
 def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose decoded content has the structure of a key or token."""
-    if "eyJ" in text:
+    if "eyJ" in text or "eyA" in text or "eyI" in text or "ew" in text:
         for m in JWT.finditer(text):
             if is_jwt(m[0]):
                 yield "jwt", m.start(), m.end()

@@ -79,3 +79,21 @@ def test_table(spark):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[0] == k for s in spans) for k in S.KINDS[:3])
         assert set(r["base_spans"].split(",")) <= set(r["spans"].split(","))
     assert S.scan_secrets(df.limit(0)).collect() == []
+
+
+def test_planted_keys_in_a_table(spark):
+    """DER, OpenSSH and signed tokens of several layouts, found whole through the table path."""
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    private = base64.b64encode(S.OPENSSH + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(SSH) + string(b"p" * 64)).decode()
+    deep = b"\x02\x01\x01"
+    for _ in range(14):
+        deep = der(deep, b"\x02\x01\x02")
+    spaced = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{ "alg": "none"}', b'{\n"a": 1}')) + "."
+    broken = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{\n"alg": "RS256"}', b'{"a": 1}')) + ".c2ln"
+    want = [("der", base64.b64encode(KEY).decode()), ("openssh", private), ("sshkey", base64.b64encode(SSH).decode()), ("jwt", JWT), ("jwt", spaced), ("jwt", broken), ("der", base64.b64encode(deep).decode()), ("der", KEY.hex())]
+    texts = [f"é some text before\n{key}\n-- and after it" for _, key in want] + [f"eyJub3Qi.{private[:40]}.x ew.ew.ew"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.scan_secrets(df).collect():
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        found = [(k, texts[r["doc_id"]][int(a) : int(b)]) for k, a, b in spans if k not in S.KINDS[:3]]
+        assert found == ([want[r["doc_id"]]] if r["doc_id"] < len(want) else []), r
