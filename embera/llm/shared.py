@@ -15,12 +15,14 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it in the folder that the cluster names in spark.checkpoint.dir.
 
-    All executors share that folder, so the rows outlive a lost executor. Only a session
-    that names none (tests, a laptop) gets a temporary one.
+    All executors share that folder, so the rows outlive a lost executor. Only a local
+    session that names none (tests, a laptop) gets a temporary one; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="embera-checkpoint-"))
     return df.checkpoint(eager=True)
 
