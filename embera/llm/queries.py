@@ -60,17 +60,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica of the pages' archive in which some records were damaged or lost."""
+    """Audits a replica of the pages' archive in which some records were damaged or lost.
+
+    Both replicas' records are hashed from their own bytes, the replica's damaged ones as they are there.
+    """
     from . import warc_audit as W
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     clean, rotten = (W.warc_record(F.col("page_id"), F.col("url"), html) for html in (F.col("html"), F.translate("html", "ae", "ea")))
     hurt = F.coalesce(F.pmod("page_id", F.lit(41)) == 7, F.lit(False))
     gone = F.coalesce(F.pmod("page_id", F.lit(67)) == 11, F.lit(False))
-    found = F.when(hurt, F.sha2(rotten, 256)).otherwise(F.lit(""))
+    found = F.sha2(F.when(hurt, rotten).otherwise(clean), 256)
     archive = W.checkpointed(W.laid_out(pages.select(clean.alias("record"), "page_id", found.alias("found"), gone.alias("gone")), ["page_id", "found", "gone"]))
     first = archive.select("offset", "length", "digest")
-    second = archive.where(~F.col("gone")).select("offset", "length", F.when(F.col("found") != "", F.col("found")).otherwise(F.col("digest")).alias("digest"))
+    second = archive.where(~F.col("gone")).select("offset", "length", F.col("found").alias("digest"))
     bad = W.audit(first, second).select(F.col("offset").alias("at"), "other_digest", "status")
     joined = archive.join(bad, F.col("offset") == F.col("at"), "left")
     return joined.select("page_id", F.col("offset").alias("record_offset"), F.col("length").alias("record_bytes"), F.col("digest").alias("record_sha256"), "other_digest", F.coalesce("status", F.lit("intact")).alias("status"))
