@@ -34,6 +34,8 @@ MIN_SITES = 5
 #: Estimates within this factor of the threshold are counted exactly; lg of the sketch's size.
 NEAR, LG_K = 1.5, 12
 BLANKS = " \t\r"
+#: Boilerplate lines that are broadcast at most (their hashes, 8 bytes each).
+FEW = 1_000_000
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -75,7 +77,10 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text`` (``n_chars``, if there, follows), and ``n_removed``."""
     lines = checkpointed(site_lines(small_batches(docs)))
     spread = checkpointed(spread_lines(lines, min_sites).select("line"))
-    found = checkpointed(lines.join(spread, "line").select("line", "k_id", "k_hash", "k_len", "pos").distinct())
+    if spread.count() <= FEW:  # else Spark splits the lines that very many rows have
+        spread = F.broadcast(spread)
+    places = checkpointed(lines.join(spread, "line").select("line", "k_id", "k_hash", "k_len", "pos"))
+    found = checkpointed(places.distinct())
     place = F.struct("k_id", "k_hash", "k_len", "pos")
     first = checkpointed(found.groupBy("line").agg(F.min(place).alias("first")))  # apart, so that Spark may split the join's hot lines
     gone = found.join(first, "line").where(~place.eqNullSafe(F.col("first"))).groupBy("k_id", "k_hash", "k_len").agg(F.collect_list("pos").alias("places"))
