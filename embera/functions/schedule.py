@@ -54,9 +54,3 @@ def train_validation_split(df: DataFrame, path_col: str, share: float, seed: int
     cut = inside.agg(F.max("x").alias("x")).first()["x"]
     first = (mark < cut["h"]) | ((mark == cut["h"]) & (F.col(path_col) <= cut["p"]))
     return df.withColumn("part", F.when(first, "validation").otherwise("train"))
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of every key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

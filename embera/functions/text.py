@@ -66,10 +66,11 @@ def prompt(query: Column) -> Column:
     return F.concat(F.lit("a photo of "), query)
 
 
-def path_preview(paths: Column, most: int = 3) -> Column:
-    """The first file names, and how many more there are."""
+def path_preview(paths: Column, most: int = 3, total: Column | None = None) -> Column:
+    """The first file names, and how many more there are (of ``total``, if ``paths`` are just the first)."""
+    n = F.size(paths) if total is None else total
     shown = F.array_join(F.transform(F.slice(paths, 1, most), file_name), ", ")
-    return F.when(F.size(paths) > most, F.concat(shown, F.format_string(" ... (+%d more)", F.size(paths) - most))).otherwise(shown)
+    return F.when(n > most, F.concat(shown, F.format_string(" ... (+%d more)", n - most))).otherwise(shown)
 
 
 def clean_prompt(text: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import euclidean, vector_literal
 
-#: Rows that one side of a block of pairwise distances holds.
-BLOCK = 2000
+#: Measured points that one block of pairwise distances holds.
+BLOCK = 20_000
 
 
 def assign_nearest(df: DataFrame, centroids: Sequence[Sequence[float]], vector_col: str = "features") -> DataFrame:
@@ -31,35 +31,75 @@ def centroid_means(df: DataFrame, cluster_col: str = "cluster", vector_col: str
     return by.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("centroid"))
 
 
-def lloyd(df: DataFrame, init: Sequence[Sequence[float]], max_iterations: int = 100, vector_col: str = "features") -> tuple[DataFrame, list[list[float]]]:
-    """Lloyd's rounds from given centroids until they stay; an empty cluster keeps its centroid.
+def _cluster_sums(many: list[np.ndarray]):
+    """For each set of centroids: sums by component and numbers of the rows nearest to each, per task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, counts = [np.zeros_like(c) for c in many], [np.zeros(len(c), dtype=np.int64) for c in many]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy()).astype(float)
+            for c, total, n in zip(many, sums, counts, strict=True):
+                near = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1).argmin(axis=1)  # the lowest number on ties
+                np.add.at(total, near, x)
+                n += np.bincount(near, minlength=len(c))
+        for i, (total, n) in enumerate(zip(sums, counts, strict=True)):
+            k, width = total.shape
+            yield pd.DataFrame({"set": i, "cluster": np.repeat(np.arange(k), width), "pos": np.tile(np.arange(width), k), "total": total.ravel(), "n": np.repeat(n, width)})
+
+    return run
+
+
+def lloyd_many(df: DataFrame, inits: Sequence[Sequence[Sequence[float]]], max_iterations: int = 100, vector_col: str = "features") -> list[list[list[float]]]:
+    """Lloyd's rounds from several sets of centroids at once, until all stay; an empty cluster keeps its centroid.
 
-    Only the k centroids come to the driver.
+    A round is one pass: sums by set, cluster and component are added up per task and then by
+    Spark, and only centroids come to the driver.
     """
-    centroids = [[float(x) for x in c] for c in init]
+    now = [np.array(c, dtype=float) for c in inits]
+    rows = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
+    todo = list(range(len(now)))
     for _ in range(max_iterations):
-        new = {r["cluster"]: list(r["centroid"]) for r in centroid_means(assign_nearest(df, centroids, vector_col), "cluster", vector_col).collect()}
-        step = [new.get(i, c) for i, c in enumerate(centroids)]
-        if step == centroids:
+        if not todo:
             break
-        centroids = step
+        got = rows.mapInPandas(_cluster_sums([now[i] for i in todo]), "set int, cluster int, pos int, total double, n long")
+        got = got.groupBy("set", "cluster", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").collect()
+        new = {i: now[i].copy() for i in todo}
+        for r in got:
+            new[todo[r["set"]]][r["cluster"], r["pos"]] = r["total"] / r["n"]
+        still = [i for i in todo if not np.allclose(new[i], now[i], rtol=1e-12, atol=0)]
+        for i in todo:
+            now[i] = new[i]
+        todo = still
+    return [c.tolist() for c in now]
+
+
+def lloyd(df: DataFrame, init: Sequence[Sequence[float]], max_iterations: int = 100, vector_col: str = "features") -> tuple[DataFrame, list[list[float]]]:
+    """(rows with ``cluster``, centroids) by Lloyd's rounds from given centroids."""
+    centroids = lloyd_many(df, [init], max_iterations, vector_col)[0]
     return assign_nearest(df, centroids, vector_col), centroids
 
 
-def plus_plus(df: DataFrame, k: int, seed: int = 42, vector_col: str = "features", sample: int = 5000) -> list[list[float]]:
-    """k-means++ starting centroids from a bounded sample chosen by hash; fewer if there are fewer points."""
-    rows = df.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(F.col(vector_col), F.lit(seed))).limit(sample).select(F.col(vector_col).cast("array<double>").alias("v")).collect()
-    points = np.array([r["v"] for r in rows], dtype=float)
-    if not len(points):
-        return []
-    rng = np.random.default_rng(seed)
-    chosen = [points[rng.integers(len(points))]]
-    while len(chosen) < min(k, len(points)):
-        d = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-        if not d.sum():
+def plus_plus(df: DataFrame, k: int, seed: int = 42, vector_col: str = "features") -> list[list[float]]:
+    """k-means++ starting centroids, drawn over all different vectors; fewer if there are fewer.
+
+    A vector's chance is the square of its distance to the nearest centroid so far, times its
+    count. Each draw is a distributed one (the smallest of -log(u) / chance, u a hash of the
+    vector), so groups of copies and small clusters count as what they are.
+    """
+    v = F.col(vector_col).cast("array<double>")
+    points = df.where(v.isNotNull()).select(v.alias("v")).groupBy("v").agg(F.count("*").alias("n")).persist()
+    chosen: list[list[float]] = []
+    while len(chosen) < k:
+        near = F.least(*d) if len(d := [euclidean(F.col("v"), vector_literal(c)) for c in chosen]) > 1 else d[0] if d else F.lit(1.0)
+        u = (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(len(chosen))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        best = points.withColumn("chance", near * near * F.col("n")).where("chance > 0").orderBy(-F.log(u) / F.col("chance"), "v").select("v").limit(1).collect()
+        if not best:
             break
-        chosen.append(points[rng.choice(len(points), p=d / d.sum())])
-    return [c.tolist() for c in chosen]
+        chosen.append(list(best[0]["v"]))
+    points.unpersist()
+    return chosen
 
 
 def kmeans(df: DataFrame, k: int, max_iterations: int = 100, seed: int = 42, vector_col: str = "features") -> tuple[DataFrame, list[list[float]]]:
@@ -70,69 +110,129 @@ def kmeans(df: DataFrame, k: int, max_iterations: int = 100, seed: int = 42, vec
     return lloyd(df, init, max_iterations, vector_col)
 
 
+#: Members in one row of the inverted index.
+CHUNK = 10_000
+
+
 def members(assigned: DataFrame, id_col: str, cluster_col: str = "cluster") -> DataFrame:
-    """(cluster, n, members): the inverted index, members in order."""
-    return assigned.groupBy(F.col(cluster_col).alias("cluster")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(id_col)).alias("members"))
-
-
-def _block_sums(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distance sums of left rows to the right rows of each cluster, block by block."""
-    held: list[pd.DataFrame] = []
-
-    def done() -> pd.DataFrame:
-        g = pd.concat(held)
-        left, right = g[g["side"] == 0], g[g["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "own": [], "other": [], "total": [], "n": []}).astype({"id": "int64", "own": "int64", "other": "int64", "n": "int64"})
-        a, b = (np.stack(s["v"].to_numpy()) for s in (left, right))
-        d = np.sqrt(np.maximum(0, ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))) if len(a) * len(b) * a.shape[1] <= 4_000_000 else np.stack([np.sqrt(((x - b) ** 2).sum(axis=1)) for x in a])
-        kinds, inverse = np.unique(right["cluster"].to_numpy(), return_inverse=True)
-        one = np.eye(len(kinds))[inverse]
-        same = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None]
-        counts = one.sum(axis=0)[None] - same @ one
-        return pd.DataFrame({"id": np.repeat(left["id"].to_numpy(), len(kinds)), "own": np.repeat(left["cluster"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(left)), "total": (np.where(same, 0, d) @ one).ravel(), "n": counts.ravel().astype("int64")})
-
-    key = None
-    for pdf in groups:
-        for k, part in pdf.groupby(["i", "j"], sort=False):
-            if k != key and held:
-                yield done()
-                held = []
-            key = k
-            held.append(part)
-    if held:
-        yield done()
-
-
-def silhouettes(df: DataFrame, id_col: str, cluster_col: str = "cluster", vector_col: str = "features") -> DataFrame:
+    """(cluster, part, n, members): the inverted index, members in order inside a part.
+
+    A cluster of up to about CHUNK members is one part (0); a larger one is dealt into more
+    by hash, so that no row and no task holds a whole large cluster.
+    """
+    rows = assigned.select(F.col(cluster_col).alias("cluster"), F.col(id_col).alias("id"))
+    parts = rows.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    dealt = rows.join(parts, rows.cluster.eqNullSafe(parts.c)).select("cluster", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
+    return dealt.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("members"))
+
+
+class _Sums:
+    """Distances of a block's measured points to rows of each cluster, added up as rows stream by."""
+
+    def __init__(self, left: list[tuple]):
+        order = sorted(left, key=lambda r: r[0])
+        self.ids, self.points = np.array([r[0] for r in order]), np.array([r[2] for r in order], dtype=float)
+        self.squares = (self.points**2).sum(axis=1)
+        self.totals: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+
+    def add(self, right: list[tuple]) -> None:
+        own, cluster, x = np.array([r[0] for r in right]), np.array([r[1] for r in right]), np.array([r[2] for r in right], dtype=float)
+        for i in range(0, len(self.ids), 2000):
+            part = slice(i, i + 2000)
+            squares = self.squares[part, None] + (x**2).sum(axis=1)[None]
+            d = squares - 2 * self.points[part] @ x.T
+            for a, b in zip(*np.nonzero(d <= 1e-6 * squares), strict=True):  # where the product loses too many digits
+                d[a, b] = ((self.points[i + a] - x[b]) ** 2).sum()
+            same = self.ids[part, None] == own[None]
+            d = np.where(same, 0, np.sqrt(d))
+            for c in np.unique(cluster).tolist():
+                if c not in self.totals:
+                    self.totals[c], self.counts[c] = np.zeros(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
+                self.totals[c][part] += d[:, cluster == c].sum(axis=1)
+                self.counts[c][part] += (~same[:, cluster == c]).sum(axis=1)
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for c, total in self.totals.items():
+            yield pd.DataFrame({"id": self.ids, "other": np.int64(c), "total": total, "n": self.counts[c]})
+
+
+def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells (block, part) one after another, measured points first; the other rows stream by."""
+    key, left, right, sums = None, [], [], None
+
+    def settle() -> None:
+        nonlocal sums, right
+        if left and right:
+            sums = sums or _Sums(left)
+            sums.add(right)
+        right = []
+
+    for pdf in batches:
+        for block, part, side, id_, cluster, v in zip(*(pdf[c].tolist() for c in ("block", "part", "side", "id", "cluster", "v")), strict=True):
+            if (block, part) != key:
+                settle()
+                if sums:
+                    yield from sums.rows()
+                key, left, sums = (block, part), [], None
+            if side:
+                right.append((id_, cluster, v))
+                if len(right) == 1000:
+                    settle()
+            else:
+                left.append((id_, cluster, v))
+    settle()
+    if sums:
+        yield from sums.rows()
+
+
+def silhouettes(df: DataFrame, id_col: str, cluster_col: str = "cluster", vector_col: str = "features", at: DataFrame | None = None) -> DataFrame:
     """(id, cluster, silhouette) by Euclidean distance; points alone in their cluster are left out.
 
-    All pairs of points count, so rows are dealt into blocks and each pair of blocks is
-    one bounded group that returns sums per point and cluster, never pairs.
+    All rows count for the distances. The points that are measured (``at``, a table of their
+    ids; all, if none) are cut into blocks of about BLOCK, and every block meets all rows,
+    which stream by in its tasks: a row is copied once per block, and sums per point and
+    cluster come out, never pairs.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(cluster_col).cast("long").alias("cluster"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    at = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select(at.alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "cluster", "v")
-    right = rows.select(every.alias("i"), at.alias("j"), F.lit(1).alias("side"), "id", "cluster", "v")
-    both = left.union(right).repartition("i", "j").sortWithinPartitions("i", "j")
-    sums = both.mapInPandas(_block_sums, "id long, own long, other long, total double, n long").groupBy("id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    chosen = rows if at is None else rows.join(at.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
+    blocks = max(1, -(-chosen.count() // BLOCK))
+    parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))  # few blocks: several tasks share one
+    own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = chosen.select(own(blocks, 1).alias("block"), each(parts).alias("part"), F.lit(0).alias("side"), "id", "cluster", "v")
+    right = rows.select(each(blocks).alias("block"), own(parts, 2).alias("part"), F.lit(1).alias("side"), "id", "cluster", "v")
+    both = left.union(right).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side")
+    sums = both.mapInPandas(_block_sums, "id long, other long, total double, n long").groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.col("total") / F.col("n")
-    by = sums.where("n > 0").groupBy("id", F.col("own").alias("cluster")).agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"))
+    mine = chosen.select("id", F.col("cluster").alias("own"))
+    by = sums.where("n > 0").join(mine, "id").groupBy("id", F.col("own").alias("cluster")).agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"))
     top = F.greatest("a", "b")
     return by.where("a is not null and b is not null").select("id", "cluster", F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("silhouette"))
 
 
-def optimal_k(df: DataFrame, id_col: str, max_k: int = 10, seed: int = 42, vector_col: str = "features") -> int:
-    """The k of 2..max_k with the highest mean silhouette, the smallest on ties; 2 for two points or fewer."""
+#: Points whose silhouettes choose k.
+MEASURED = 10_000
+
+
+def optimal_k(df: DataFrame, id_col: str, max_k: int = 10, seed: int = 42, vector_col: str = "features", measured: int | None = MEASURED) -> int:
+    """The k of 2..max_k with the highest mean silhouette, the smallest on ties; 2 for two points or fewer.
+
+    Silhouettes are taken of ``measured`` points chosen by hash, among all points, or of all
+    points if it is None.
+    """
+    df = df.persist()
     n = df.count()
     if n <= 2:
         return 2
-    best, chosen = None, 2
-    for k in range(2, min(max_k, n - 1) + 1):
-        assigned, _ = kmeans(df, k, 50, seed, vector_col)
-        value = silhouettes(assigned, id_col, "cluster", vector_col).agg(F.avg("silhouette")).first()[0]
+    at = df.select(id_col).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(measured) if measured is not None and n > measured else None
+    start = plus_plus(df, min(max_k, n - 1), seed, vector_col)  # its first k are those that k draws give
+    best, chosen, tried = None, 2, range(2, len(start) + 1)
+    for k, centroids in zip(tried, lloyd_many(df, [start[:k] for k in tried], 50, vector_col), strict=True):
+        assigned = assign_nearest(df, centroids, vector_col)
+        value = silhouettes(assigned, id_col, "cluster", vector_col, at).agg(F.avg("silhouette")).first()[0]
         if value is not None and (best is None or value > best + 1e-12):
             best, chosen = value, k
+    df.unpersist()
     return chosen

@@ -15,12 +15,15 @@ def first_probes(probe: DataFrame, order: str | None = None) -> DataFrame:
     return probe.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def probe_status(probe: DataFrame, cache: DataFrame, hint: str | None = None) -> DataFrame:
-    """Every probed path with ``status`` (hit, stale, miss) and its vector if fresh.
+def probe_status(probe: DataFrame, cache: DataFrame, hint: str | None = None, unique: bool = False, order: str | None = None) -> DataFrame:
+    """Every probed path once, with ``status`` (hit, stale, miss) and its vector if fresh.
 
-    Paths compare exactly, and so do modification text and size. The join strategy is left
-    to Spark's measured sizes unless a hint names one.
+    Of a path that is probed several times the first entry counts (in ``order``); a probe
+    whose paths are ``unique``, like a listing, is spared the shuffle for that. Paths compare
+    exactly, and so do modification text and size. The join strategy is left to Spark's
+    measured sizes unless a hint names one.
     """
+    probe = probe if unique else first_probes(probe, order)
     cached = cache.select("file_path", F.col("last_modified").alias("_m"), F.col("file_size").alias("_s"), F.lit(True).alias("_there"), *(["embedding"] if "embedding" in cache.columns else []))
     joined = probe.join(cached.hint(hint) if hint else cached, "file_path", "left")
     fresh = F.col("_m").eqNullSafe(F.col("last_modified")) & F.col("_s").eqNullSafe(F.col("file_size"))
@@ -56,15 +59,31 @@ def hit_rate(probed: DataFrame) -> DataFrame:
 
 
 def cache_info(files: DataFrame, archives: DataFrame, covers: DataFrame) -> DataFrame:
-    """One row over the three caches: totals, models and ages; an archive counts as one entry."""
+    """One row over the three caches: totals, models and ages; an archive counts as one entry.
+
+    Ages are compared as times; texts that are none are left out of them.
+    """
     part = lambda d, kind: d.select("model_name", "created_at", F.lit(kind).alias("kind"))
     every = part(files, "file").unionByName(part(archives, "archive")).unionByName(part(covers, "cover"))
-    by = every.groupBy("model_name", "kind").agg(F.count("*").alias("n"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
+    time = F.try_to_timestamp("created_at")
+    aged = F.when(time.isNotNull(), F.struct(time.alias("time"), "created_at"))
+    by = every.groupBy("model_name", "kind").agg(F.count("*").alias("n"), F.min(aged).alias("oldest"), F.max(aged).alias("newest"))
     models = F.array_join(F.sort_array(F.collect_set(F.lower("model_name"))), ", ")
     count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
-    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), count("file").alias("files"), count("archive").alias("archives"), count("cover").alias("covers"), models.alias("models"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+    whole = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), count("file").alias("files"), count("archive").alias("archives"), count("cover").alias("covers"), models.alias("models"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+    return whole.select("total", "files", "archives", "covers", "models", F.col("oldest.created_at").alias("oldest"), F.col("newest.created_at").alias("newest"))
 
 
 def cache_diagnostics(cache: DataFrame) -> DataFrame:
     """Per model: rows, first and last key, and rows whose modification text isn't in UTC."""
     return cache.groupBy("model_name").agg(F.count("*").alias("n"), F.min("file_path").alias("first_path"), F.max("file_path").alias("last_path"), F.count_if(~F.endswith("last_modified", F.lit("Z"))).alias("not_utc"))
+
+
+def diagnostics_sample(probe: DataFrame, cache: DataFrame, most: int = 12) -> DataFrame:
+    """(file_path, status, last_modified, cached_modified, file_size, cached_size) of the first ``most`` probed paths."""
+    some = first_probes(probe.orderBy("file_path").limit(most))
+    cached = cache.select("file_path", F.col("last_modified").alias("cached_modified"), F.col("file_size").alias("cached_size"))
+    there = some.join(cached, "file_path", "left")
+    fresh = F.col("cached_modified").eqNullSafe(F.col("last_modified")) & F.col("cached_size").eqNullSafe(F.col("file_size"))
+    status = F.when(F.col("cached_modified").isNull() & F.col("cached_size").isNull(), "miss").when(fresh, "fresh").otherwise("stale")
+    return there.select("file_path", status.alias("status"), "last_modified", "cached_modified", "file_size", "cached_size").orderBy("file_path")

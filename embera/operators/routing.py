@@ -35,25 +35,36 @@ def files_per_class(plan: DataFrame) -> DataFrame:
     return plan.where("action = 'sort'").groupBy("class").agg(F.count("*").alias("n"))
 
 
+#: The number at the end of a name, before its extension, as ``clash_free_names`` writes it.
+NUMBERED = r" \(([1-9][0-9]{0,17})\)(\.[^.]*)?$"
+
+
 def clash_free_names(df: DataFrame, name_col: str, order: list, taken: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``target_name``: the n-th file of a name (in either case) gets `` (n)`` before its extension.
+    """``df`` with ``target_name``, unlike all others and all of ``taken(name)`` in either case.
 
-    ``taken(name)`` are names that exist; a file skips as many numbers as they use up,
-    counted from the plain name.
+    The first file of a name keeps it, if it isn't taken. Every other gets `` (n)`` before its
+    extension, with the smallest n that no file of the table, none of ``taken`` and no
+    earlier one has. (Names written for different names differ: their numbers are behind
+    them.) The n of a name's d-th copy is d plus the numbers in use before it, which a
+    window over both counts.
     """
-    key = F.lower(F.col(name_col))
-    w = Window.partitionBy(key).orderBy(*order)
-    out = df.withColumn("_i", F.row_number().over(w) - 1)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.lower(F.col(name_col)).alias("key"), F.row_number().over(Window.partitionBy(F.lower(F.col(name_col))).orderBy(*order)).alias("n"))
+    names = df.select(F.lower(F.col(name_col)).alias("name"), F.lit(False).alias("there"))
     if taken is not None:
-        plain = F.regexp_replace(F.lower("name"), r" \(\d+\)(\.[^.]*)?$", "$1")
-        used = taken.select(plain.alias("_key"), F.coalesce(F.nullif(F.regexp_extract(F.lower("name"), r" \((\d+)\)(\.[^.]*)?$", 1), F.lit("")).cast("int"), F.lit(0)).alias("_n")).groupBy("_key").agg(F.array_sort(F.collect_set("_n")).alias("_used"))
-        out = out.join(used, key == F.col("_key"), "left")
-        # the (i+1)-th number from 0 on that isn't used
-        free = F.element_at(F.array_except(F.sequence(F.lit(0), F.col("_i") + F.size("_used")), F.col("_used")), F.col("_i") + 1)
-        out = out.withColumn("_i", F.when(F.col("_used").isNotNull(), free).otherwise(F.col("_i"))).drop("_key", "_used")
-    c = F.col(name_col)
-    named = F.concat(stem(c), F.format_string(" (%d)", F.col("_i").cast("int")), extension(c))
-    return out.withColumn("target_name", F.when(F.col("_i") > 0, named).otherwise(c)).drop("_i")
+        names = names.union(taken.select(F.lower("name"), F.lit(True)))
+        there = taken.select(F.lower("name").alias("key"), F.lit(1).alias("there")).distinct()
+        rows = rows.join(there, "key", "left").withColumn("copy", F.col("n") - 1 + F.coalesce("there", F.lit(0))).select("row", "key", "copy")
+    else:
+        rows = rows.select("row", "key", (F.col("n") - 1).alias("copy"))
+    used = names.select(F.regexp_replace("name", NUMBERED, "$2").alias("key"), F.regexp_extract("name", NUMBERED, 1).alias("number")).where("number <> ''").select("key", F.col("number").cast("long").alias("number")).distinct()
+    # so many numbers are free before one in use
+    used = used.withColumn("copy", F.col("number") - F.row_number().over(Window.partitionBy("key").orderBy("number")))
+    both = rows.select("row", "key", F.col("copy").cast("long").alias("copy"), F.lit(0).alias("kind")).unionByName(used.select("key", "copy", F.lit(1).alias("kind")), allowMissingColumns=True)
+    before = Window.partitionBy("key").orderBy("copy", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("number", F.col("copy") + F.sum("kind").over(before)).where("kind = 0")
+    c = F.col(f"row.`{name_col}`")
+    named = F.when(F.col("copy") > 0, F.concat(stem(c), F.format_string(" (%d)", "number"), extension(c))).otherwise(c)
+    return both.select("row.*", named.alias("target_name"))
 
 
 def page_file_name(archive: str, index: str, content_extension: str):

@@ -55,17 +55,30 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 def distribution(df: DataFrame, score_col: str = "similarity", bins: int = 4096) -> DataFrame:
     """(n, lowest, highest, median): the median is the upper one, sorted[n div 2].
 
-    Scores are counted by bin, then by value inside the one bin that holds the middle, so
-    nothing is sorted or gathered as a whole.
+    Scores are counted by bin; the bin that holds the middle is cut into bins again until
+    it holds few rows or one value, whatever outliers there are. Nothing is sorted or
+    gathered as a whole; ``bins`` counts come to the driver per round.
     """
-    s = F.col(score_col)
-    total = df.agg(F.count(s).alias("n"), F.min(s).alias("lowest"), F.max(s).alias("highest"))
-    spread = F.col("highest") - F.col("lowest")
-    binned = df.where(s.isNotNull()).select(s.alias("s")).crossJoin(F.broadcast(total)).withColumn("bin", F.when(spread > 0, F.floor((F.col("s") - F.col("lowest")) / spread * bins)).otherwise(F.lit(0)))
-    counts = binned.groupBy("bin", "n").agg(F.count("*").alias("c"))
-    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # ``bins`` + 1 rows at most
-    middle = counts.withColumn("upto", F.sum("c").over(upto)).where((F.col("upto") > F.floor(F.col("n") / 2)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") / 2))).select("bin", (F.floor(F.col("n") / 2) - F.col("upto") + F.col("c")).alias("skip"))
-    values = binned.join(F.broadcast(middle), "bin").groupBy("s", "skip").agg(F.count("*").alias("c"))
-    along = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    found = values.withColumn("upto", F.sum("c").over(along)).where((F.col("upto") > F.col("skip")) & (F.col("upto") - F.col("c") <= F.col("skip"))).agg(F.min("s").alias("median"))
-    return total.crossJoin(F.broadcast(found))
+    s = F.col(score_col).cast("double")
+    rows = df.where(s.isNotNull()).select(s.alias("s"))
+    total = rows.agg(F.count("s").alias("n"), F.min("s").alias("lowest"), F.max("s").alias("highest")).first()
+    median = None
+    if total["n"]:
+        lo, hi, skip, inside = total["lowest"], total["highest"], total["n"] // 2, total["n"]
+        while lo < hi and inside > bins:
+            at = F.least(F.floor((F.col("s") - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1)).cast("int")
+            counts = rows.where(F.col("s").between(lo, hi)).groupBy(at.alias("bin")).agg(F.count("s").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).collect()
+            for r in sorted(counts, key=lambda r: r["bin"]):
+                if skip < r["c"]:
+                    break
+                skip -= r["c"]
+            if (r["lo"], r["hi"]) == (lo, hi):  # values too near for bins: they are counted one by one below
+                break
+            lo, hi, inside = r["lo"], r["hi"], r["c"]
+        values = rows.where(F.col("s").between(lo, hi)).groupBy("s").count().orderBy("s")
+        for v in values.collect() if lo < hi else [(lo, inside)]:  # ``bins`` rows at most, or as many as doubles lie so near
+            if skip < v[1]:
+                median = v[0]
+                break
+            skip -= v[1]
+    return df.sparkSession.createDataFrame([(total["n"], total["lowest"], total["highest"], median)], "n long, lowest double, highest double, median double")

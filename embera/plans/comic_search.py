@@ -13,7 +13,7 @@ from ..functions.vector import is_zero
 from ..operators import search as S
 from ..operators.probe import archive_status, probe_status
 from ..sources.containers import first_pages, read_pages
-from ..sources.files import listing, scan_archives
+from ..sources.files import listing, scan_archives, with_contents
 from .encoding import Encoder, complete_archives, with_vectors
 from .store import CacheStore
 
@@ -21,14 +21,13 @@ HIT = "archive_path string, archive_file_name string, page_index int, page_count
 
 
 class ComicSearch:
-    """An archive with a fresh row in the cache is never opened; others are opened once."""
+    """An archive with a fresh row in the cache is never opened; others are opened once, and no file but theirs is read."""
 
     def __init__(self, spark: SparkSession, store: CacheStore, encoder: Encoder):
         self.spark, self.store, self.encoder = spark, store, encoder
 
-    def _encoded(self, directory: str, misses: DataFrame, covers: bool) -> DataFrame:
-        content = listing(self.spark, directory, ARCHIVES, True, content=True).join(misses.select("file_path"), "file_path", "left_semi")
-        pages = read_pages(content)
+    def _encoded(self, misses: DataFrame, covers: bool) -> DataFrame:
+        pages = read_pages(with_contents(misses.select("file_path")))
         pages = first_pages(pages) if covers else pages
         made = with_vectors(pages, self.encoder).where(~is_zero(F.col("embedding")))
         meta = misses.select(F.col("file_path").alias("archive_path"), "last_modified", "file_size")
@@ -41,7 +40,7 @@ class ComicSearch:
         probed = archive_status(found, self.store.view("archive_cache", model))
         misses = probed.where("status <> 'hit'").drop("pages")
         if not misses.isEmpty():
-            made = self._encoded(directory, misses, covers=False).persist()
+            made = self._encoded(misses, covers=False).persist()
             self.store.upsert("archive_cache", complete_archives(made).withColumn("model_name", F.lit(model)))
             partial = made.select("archive_path", "page_index", "page_count", "embedding")
         else:
@@ -60,12 +59,12 @@ class ComicSearch:
         whole = archive_status(found, self.store.view("archive_cache", model))
         from_archives = whole.where("status = 'hit'").select(F.col("file_path").alias("archive_path"), F.lit(0).alias("page_index"), F.size("pages").alias("page_count"), F.get("pages", F.lit(0)).alias("embedding"))
         cached = self.store.view("cover_cache", model).withColumnRenamed("archive_path", "file_path")
-        probed = probe_status(whole.where("status <> 'hit'").select("file_path", "last_modified", "file_size"), cached)
+        probed = probe_status(whole.where("status <> 'hit'").select("file_path", "last_modified", "file_size"), cached, unique=True)
         from_covers = probed.where("status = 'hit'").select(F.col("file_path").alias("archive_path"), F.lit(0).alias("page_index"), F.lit(0).alias("page_count"), "embedding")
         out = from_archives.unionByName(from_covers)
         misses = probed.where("status <> 'hit'").drop("embedding")
         if not misses.isEmpty():
-            made = self._encoded(directory, misses, covers=True).persist()
+            made = self._encoded(misses, covers=True).persist()
             self.store.upsert("cover_cache", made.select("archive_path", "last_modified", "file_size", "embedding").withColumn("model_name", F.lit(model)))
             out = out.unionByName(made.select("archive_path", "page_index", "page_count", "embedding"))
         return out
@@ -89,14 +88,14 @@ class ComicSearch:
     def page_vector(self, archive: str, page: int) -> list[float] | None:
         """From the archive's row, else for page 0 the cover's, else by opening the archive (page 0 is saved as cover)."""
         model = self.encoder.model_name
-        found = listing(self.spark, archive, ARCHIVES, False)
+        found = listing(self.spark, archive, ARCHIVES, False, hidden=True)
         whole = archive_status(found, self.store.view("archive_cache", model)).where("status = 'hit'").select(F.get("pages", F.lit(page)).alias("v")).collect()
         if whole:
             return list(whole[0]["v"]) if whole[0]["v"] is not None else None
         if page == 0:
             got = self.covers(archive).select("embedding").limit(1).collect()
             return list(got[0]["embedding"]) if got else None
-        pages = read_pages(listing(self.spark, archive, ARCHIVES, False, content=True)).where(F.col("page_index") == page)
+        pages = read_pages(with_contents(found.select("file_path"))).where(F.col("page_index") == page)
         got = with_vectors(pages, self.encoder).where(~is_zero(F.col("embedding"))).select("embedding").collect()
         return list(got[0]["embedding"]) if got else None
 

@@ -105,11 +105,11 @@ def failures(df: DataFrame, path_col: str = "file_path") -> DataFrame:
 def encode_with_cache(store: CacheStore, files: DataFrame, encoder: Encoder, contents: Callable[[DataFrame], DataFrame], wave: int | None = None) -> DataFrame:
     """(file_path, last_modified, file_size, embedding, status) of all files; misses are encoded and saved.
 
-    ``contents(misses)`` adds the ``content`` column: only missed files are ever opened.
+    ``files`` has each path once, as a listing has. ``contents(misses)`` adds the ``content`` column: only missed files are ever opened.
     With ``wave`` the misses are saved in that many commits, so what is done survives a
     stop; a failure (zero vector) is never saved.
     """
-    hits, misses = split_hits(probe_status(files, store.view("file_cache", encoder.model_name)))
+    hits, misses = split_hits(probe_status(files, store.view("file_cache", encoder.model_name), unique=True))
     waves = max(1, wave or 1)
     for i in range(waves):
         part = misses.where(F.pmod(F.xxhash64("file_path"), F.lit(waves)) == i)
@@ -117,7 +117,7 @@ def encode_with_cache(store: CacheStore, files: DataFrame, encoder: Encoder, con
             continue
         fresh = with_vectors(contents(part.drop("status")), encoder).where(~is_zero(F.col("embedding")))
         store.upsert("file_cache", fresh.withColumn("model_name", F.lit(encoder.model_name)))
-    again = probe_status(files, store.view("file_cache", encoder.model_name)).withColumnRenamed("status", "now")
+    again = probe_status(files, store.view("file_cache", encoder.model_name), unique=True).withColumnRenamed("status", "now")
     was = misses.select("file_path", "status").unionByName(hits.select("file_path", "status"))
     return again.join(was, "file_path").drop("now")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import to_base64, try_parse_base64
 from ..functions.paths import SEARCH_IMAGES, file_name
 from ..operators import search as S
-from ..sources.files import listing, scan_images
+from ..sources.files import listing, scan_images, with_contents
 from .encoding import Encoder, encode_with_cache
 from .store import CacheStore
 
@@ -23,15 +23,9 @@ class ImageSearch:
     def __init__(self, spark: SparkSession, store: CacheStore, encoder: Encoder):
         self.spark, self.store, self.encoder = spark, store, encoder
 
-    def _contents(self, directory: str, recursive: bool):
-        def add(misses: DataFrame) -> DataFrame:
-            read = listing(self.spark, directory, SEARCH_IMAGES, recursive, content=True).select("file_path", "content")
-            return misses.join(read, "file_path")
-
-        return add
-
     def vectors(self, directory: str, recursive: bool = True) -> DataFrame:
-        return encode_with_cache(self.store, scan_images(self.spark, directory, recursive), self.encoder, self._contents(directory, recursive))
+        """All images' vectors; only files that the cache misses are opened."""
+        return encode_with_cache(self.store, scan_images(self.spark, directory, recursive), self.encoder, with_contents)
 
     def by_vector(self, directory: str, vector: Sequence[float], recursive: bool = True, exclude: str | None = None) -> DataFrame:
         """(file_path, file_name, similarity), best first; empty if the query's dimension doesn't fit."""
@@ -50,8 +44,7 @@ class ImageSearch:
 
     def image_vector(self, path: str) -> list[float] | None:
         """The vector of one image, from the cache if fresh; None if it can't be decoded."""
-        found = listing(self.spark, path, SEARCH_IMAGES, False)
-        rows = encode_with_cache(self.store, found, self.encoder, lambda m: m.join(listing(self.spark, path, SEARCH_IMAGES, False, content=True).select("file_path", "content"), "file_path"))
+        rows = encode_with_cache(self.store, listing(self.spark, path, SEARCH_IMAGES, False, hidden=True), self.encoder, with_contents)
         got = rows.where(F.col("embedding").isNotNull()).select("embedding").limit(1).collect()
         return list(got[0]["embedding"]) if got else None
 

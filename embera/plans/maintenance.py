@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import COMIC_ARCHIVES, base_file_path, directory, file_name, has_extension, page_of_key, root
@@ -109,3 +109,10 @@ def migrate(store: CacheStore, markers: DataFrame | None) -> bool:
     up = lambda d: d.withColumn("op", F.lit("U"))
     store.commit({"archive_cache": up(archives), "cover_cache": up(keep_first(covers, ["model_name", "archive_path"], ["created_at"])), "file_cache": gone.withColumn("op", F.lit("D"))})
     return True
+
+
+def open_store(spark: SparkSession, root: str, markers: DataFrame | None = None) -> CacheStore:
+    """The store at ``root``, migrated before anyone reads it."""
+    store = CacheStore(spark, root)
+    migrate(store, markers)
+    return store

@@ -3,8 +3,9 @@
 ``<root>/<table>/commit=<n>/model_name=<m>/*.parquet`` holds rows with an operation (U for
 upsert, D for delete); ``<root>/_log/<n>`` is written last, and only then the commit
 counts. One log serves all tables, so a commit over several tables is all or nothing.
-The view of a table is the newest row per key, found by one aggregation that keeps the
-latest commit per key before any vector is read. One writer at a time; the log entry is
+The view of a table is the newest row per key. Only keys of the commits after the first
+(the base) are aggregated; the base loses their keys by an anti-join, so neither its
+vectors nor theirs are ever sorted or grouped. One writer at a time; the log entry is
 created exclusively, so a second writer fails instead of overwriting.
 """
 
@@ -15,6 +16,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import keep_first
 from ..schemas import TABLES
 
 
@@ -80,25 +82,30 @@ class CacheStore:
         columns = [f.split()[0] for f in schema.split(", ")]
         if not parts:
             return self.spark.createDataFrame([], schema)
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        if len(parts) > 1:
-            rest = [c for c in (*columns, "op") if c not in ("model_name", key)]
-            every = every.groupBy("model_name", key).agg(F.max_by(F.struct(*rest), "_commit").alias("r")).select("model_name", key, "r.*")
+        if len(parts) == 1:
+            return parts[0].where("op = 'U'").select(*columns)
+        # only keys of later commits are compared: what they replace in the first one, and which of them is the latest
+        later = parts[1]
+        for p in parts[2:]:
+            later = later.unionByName(p)
+        keys = ["model_name", key]
+        newest = later.select(*keys, "_commit").groupBy(*keys).agg(F.max("_commit").alias("_commit"))
+        every = parts[0].join(newest, keys, "left_anti").unionByName(later.join(newest, [*keys, "_commit"], "left_semi"))
         return every.where("op = 'U'").select(*columns)
 
     # -- mutations
 
     def upsert(self, table: str, rows: DataFrame, created_at: str | None = None) -> int:
-        """Inserts or replaces by (model, key). Of one key's rows in a commit the last created stays."""
+        """Inserts or replaces by (model, key). Of one key's rows in a commit the last created stays, or one chosen by hash."""
         _, key = TABLES[table]
         if table == "archive_cache":
             fine = (F.col("page_count") > 0) & (F.size("pages") == F.col("page_count")) & F.forall("pages", lambda p: p.isNotNull())
             rows = rows.withColumn("page_count", F.when(F.coalesce(fine, F.lit(False)), F.col("page_count")).otherwise(F.raise_error(F.lit("page_count has to be positive and match the pages"))))
         else:
             rows = rows.withColumn("embedding", F.when(F.coalesce(F.size("embedding"), F.lit(0)) > 0, F.col("embedding")).otherwise(F.raise_error(F.lit("a cached vector has components"))))
-        once = rows.dropDuplicates(["model_name", key])
+        ties = [c for c in rows.columns if c not in ("model_name", key, "created_at")]
+        last = [F.desc_nulls_last("created_at")] if "created_at" in rows.columns else []
+        once = keep_first(rows, ["model_name", key], [*last, F.xxhash64(*ties)])
         return self.commit({table: once.withColumn("op", F.lit("U"))}, created_at=created_at)
 
     def delete(self, keys: dict[str, DataFrame]) -> int:

@@ -44,7 +44,7 @@ def cache_probe_status(spark, d):
 
 
 def _variant(hint):
-    return lambda spark, d: probe.probe_status(_probe(spark, d), _cache(spark, d), hint).groupBy("status").agg(F.count("*").alias("n"))
+    return lambda spark, d: probe.probe_status(_probe(spark, d), _cache(spark, d), hint, unique=True).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def cache_probe_semi(spark, d):
@@ -56,9 +56,10 @@ def cache_hit_rate(spark, d):
 
 
 def cache_info(spark, d):
+    """Every event is an entry of one of the three caches, by the place of its type."""
     e = _t(spark, d, "events").select(F.concat(F.lit("M"), F.pmod("user_id", F.lit(3)).cast("string")).alias("model_name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "event_type")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(3).collect()]
-    files, archives, covers = (e.where(F.col("event_type") == k) for k in kinds)
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    files, archives, covers = (e.where(F.col("event_type").isin(kinds[i::3])) for i in range(3))
     return probe.cache_info(files, archives, covers)
 
 
@@ -130,9 +131,9 @@ ORACLES = {
     **{f"cache_probe_{h}": f"{_P} SELECT status, count(*) AS n FROM j GROUP BY status" for h in ("broadcast", "merge", "shuffle_hash")},
     "cache_probe_semi": f"{_P} SELECT count(*) AS n FROM j WHERE status = 'hit'",
     "cache_hit_rate": f"{_P} SELECT count(*) AS total, count(*) FILTER (status = 'hit') AS hits, count(*) FILTER (status <> 'hit') AS misses, round(count(*) FILTER (status = 'hit') * 100.0::DOUBLE / count(*), 6) AS hit_percent FROM j",
-    "cache_info": """WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)),
-e AS (SELECT i, 'm' || user_id % 3 AS m, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c FROM events JOIN k USING (event_type) WHERE i <= 3)
-SELECT count(*) AS total, count(*) FILTER (i = 1) AS files, count(*) FILTER (i = 2) AS archives, count(*) FILTER (i = 3) AS covers, (SELECT string_agg(m, ', ' ORDER BY m) FROM (SELECT DISTINCT m FROM e)) AS models, min(c) AS oldest, max(c) AS newest FROM e""",
+    "cache_info": """WITH k AS (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1) % 3 AS i FROM (SELECT DISTINCT event_type FROM events)),
+e AS (SELECT i, 'm' || user_id % 3 AS m, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c FROM events JOIN k USING (event_type))
+SELECT count(*) AS total, count(*) FILTER (i = 0) AS files, count(*) FILTER (i = 1) AS archives, count(*) FILTER (i = 2) AS covers, (SELECT string_agg(m, ', ' ORDER BY m) FROM (SELECT DISTINCT m FROM e)) AS models, min(c) AS oldest, max(c) AS newest FROM e""",
     "cache_diagnostics": "SELECT event_type AS model_name, count(*) AS n, 'f' || lpad(CAST(min(event_id) AS VARCHAR), 12, '0') AS first_path, 'f' || lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS last_path, count(*) FILTER (event_id % 7 = 0) AS not_utc FROM events GROUP BY event_type",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "archive_complete_pack": "SELECT CAST(conv_id AS VARCHAR) AS archive_path, CAST(max(turn) + 1 AS INTEGER) AS page_count, string_agg(CAST(length(text) + 1 AS VARCHAR), ',' ORDER BY turn) AS pages FROM conversations GROUP BY conv_id HAVING conv_id % 3 <> 0 AND count(DISTINCT turn) = max(turn) + 1",

@@ -93,7 +93,7 @@ q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE
 SELECT label, tp, fp, fn, round(pr, 6)::DOUBLE AS precision, round(re, 6)::DOUBLE AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6)::DOUBLE AS f1 FROM q""",
     "accuracy_summary": f"{_L} SELECT count(*) AS total, count(*) FILTER (t = p) AS correct, round(count(*) FILTER (t = p) / count(*)::DOUBLE, 6) AS accuracy, 0.0::DOUBLE AS loss FROM p",
     "timestamp_conflicts": f"{_E} SELECT a.event_id AS first_id, CAST(g.last_rn - g.rn + 1 AS INTEGER) AS n_files, CAST(g.nc AS INTEGER) AS n_classes, a.us AS window_start, b.us AS window_end FROM g JOIN e a ON a.rn = g.rn JOIN e b ON b.rn = g.last_rn",
-    "conflict_summary": f"""{_E}, m AS (SELECT k.rn, e.c, min(e.rn) AS at FROM k JOIN e USING (event_id) GROUP BY k.rn, e.c), n AS (SELECT rn, string_agg(c, ', ' ORDER BY at) AS cs FROM m GROUP BY rn)
+    "conflict_summary": f"""{_E}, m AS (SELECT k.rn, e.c, min(e.rn) AS place FROM k JOIN e USING (event_id) GROUP BY k.rn, e.c), n AS (SELECT rn, string_agg(c, ', ' ORDER BY place) AS cs FROM m GROUP BY rn)
 SELECT a.event_id AS first_id, 'Timestamp conflict: ' || (g.last_rn - g.rn + 1) || ' images within 1min window predicted as ' || g.nc || ' different classes' AS message,
   'Files created within ' || CAST(floor((b.us - a.us) / 1e6 + 0.5) AS BIGINT) || 's (' || strftime(make_timestamp(a.us), '%H:%M:%S') || ' - ' || strftime(make_timestamp(b.us), '%H:%M:%S') || ') predicted as different classes: [' || n.cs || ']' AS summary
 FROM g JOIN e a ON a.rn = g.rn JOIN e b ON b.rn = g.last_rn JOIN n ON n.rn = g.rn""",

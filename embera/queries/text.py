@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths, schedule, text
 from ..functions.tokenizer import tokenized, unescaped
@@ -50,8 +51,12 @@ def tag_parse(spark, d):
 
 
 def path_preview(spark, d):
-    p = _t(spark, d, "pages").withColumn("root", paths.root(F.col("url"))).groupBy("root").agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    return p.select("root", text.path_preview(F.col("urls")).alias("preview"))
+    """The first three addresses of a host, and how many more; no host's addresses are gathered."""
+    p = _t(spark, d, "pages").select(paths.root(F.col("url")).alias("root"), "url")
+    place = F.row_number().over(Window.partitionBy("root").orderBy("url"))
+    first = p.withColumn("place", place).where("place <= 3").groupBy("root").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    counts = p.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"))
+    return first.join(counts, first.root.eqNullSafe(counts.r)).select("root", text.path_preview(F.col("urls"), 3, F.col("n")).alias("preview"))
 
 
 def html_unescape(spark, d):
@@ -60,8 +65,12 @@ def html_unescape(spark, d):
 
 
 def copy_name_collisions(spark, d):
-    p = _t(spark, d, "pages").select("page_id", F.concat(F.element_at(F.split("url", "/"), 3), F.lit(".jpg")).alias("name"))
-    return routing.clash_free_names(p, "name", ["page_id"]).select("page_id", "target_name")
+    """Hosts as file names; every fifth carries a number already, and some numbers are taken."""
+    number = F.when(F.pmod("page_id", F.lit(5)) == 0, F.format_string(" (%d)", F.pmod("page_id", F.lit(7)) + 1)).otherwise(F.lit(""))
+    p = _t(spark, d, "pages").select("page_id", F.element_at(F.split("url", "/"), 3).alias("host"), "url")
+    taken = p.where(F.pmod("page_id", F.lit(11)) == 3).select(F.concat(F.upper("host"), F.lit(" (2).JPG")).alias("name"))
+    named = p.select("page_id", F.concat("host", number, F.lit(".jpg")).alias("name"))
+    return routing.clash_free_names(named, "name", ["page_id"], taken).select("page_id", "target_name")
 
 
 def lr_schedule(spark, d):
@@ -116,7 +125,14 @@ ORACLES = {
     "magic_sniff": "SELECT page_id, ['.jpg', '.png', '.gif', '.bmp', '.tif', '.tif', '.webp', '.jpg'][page_id % 8 + 1] AS image, ['RAR5', 'RAR', 'ZIP', '7Z', '7Z', NULL, NULL, 'ZIP'][page_id % 8 + 1] AS container FROM pages",
     "tag_parse": "WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,\\n;]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS t FROM documents) SELECT doc_id, CAST(len(list_distinct(t)) AS INTEGER) AS n_tags, t[1] AS first_tag FROM t",
     "path_preview": f"WITH r AS (SELECT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]+://[^/]*)', 1) AS root, {_F} AS f, url FROM pages), n AS (SELECT root, list(f ORDER BY url) AS fs FROM r GROUP BY root) SELECT root, array_to_string(fs[1:3], ', ') || CASE WHEN len(fs) > 3 THEN ' ... (+' || (len(fs) - 3) || ' more)' ELSE '' END AS preview FROM n",
-    "copy_name_collisions": "WITH n AS (SELECT page_id, string_split(url, '/')[3] AS h FROM pages), i AS (SELECT page_id, h, row_number() OVER (PARTITION BY lower(h) ORDER BY page_id) - 1 AS i FROM n) SELECT page_id, h || CASE WHEN i > 0 THEN ' (' || i || ')' ELSE '' END || '.jpg' AS target_name FROM i",
+    "copy_name_collisions": r"""WITH p AS (SELECT page_id, string_split(url, '/')[3] AS h FROM pages),
+f AS (SELECT page_id, h || CASE WHEN page_id % 5 = 0 THEN ' (' || (page_id % 7 + 1) || ')' ELSE '' END AS stem, lower(stem) AS key FROM p),
+t AS (SELECT DISTINCT lower(h) || ' (2)' AS key FROM p WHERE page_id % 11 = 3),
+d AS (SELECT f.*, row_number() OVER (PARTITION BY f.key ORDER BY page_id) - CASE WHEN t.key IS NULL THEN 1 ELSE 0 END AS d FROM f LEFT JOIN t USING (key)),
+u AS (SELECT key FROM f UNION SELECT key FROM t),
+n AS (SELECT key, unnest(range(1, (SELECT max(d) + count(*) FROM d))) AS n FROM (SELECT DISTINCT key FROM d WHERE d > 0)),
+free AS (SELECT key, n, row_number() OVER (PARTITION BY key ORDER BY n) AS d FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.key = n.key || ' (' || n.n || ')'))
+SELECT page_id, stem || CASE WHEN d > 0 THEN ' (' || n || ')' ELSE '' END || '.jpg' AS target_name FROM d LEFT JOIN free USING (key, d)""",
     "lr_schedule": "WITH e AS (SELECT unnest(range(50)) AS epoch) SELECT s AS schedule, CAST(epoch AS INTEGER) AS epoch, round(CASE WHEN s = 'step' THEN 0.01::DOUBLE * pow(0.1::DOUBLE, epoch // 20) ELSE 0.01::DOUBLE * 0.5 * (1 + cos(pi() * epoch / 50.0::DOUBLE)) END, 9) AS rate FROM e, (VALUES ('cosine'), ('step'), ('one_cycle')) v(s)",
     "best_epoch": "WITH e AS (SELECT CAST(x AS INTEGER) AS epoch, (x * 7 % 23)::DOUBLE AS a FROM (SELECT unnest(range(50)) AS x)) SELECT epoch, a AS validation_accuracy FROM e ORDER BY a DESC, epoch LIMIT 1",
     "architectures": "SELECT * FROM (VALUES ('EfficientNetB0', 'EfficientNet-B0', 224, 5), ('EfficientNetB1', 'EfficientNet-B1', 224, 8), ('EfficientNetV2S', 'EfficientNetV2-S', 384, 21), ('ConvNeXtTiny', 'ConvNeXt-Tiny', 224, 29), ('MobileNetV3Large', 'MobileNetV3-Large', 224, 6)) v(architecture, display_name, image_size, params_m)",

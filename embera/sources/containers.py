@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import PAGE_IMAGES, container_family, container_signature
+from ..schemas import NOTE
 
 PAGE = "archive_path string, page_index int, page_count int, entry_name string, content binary"
 #: Readers by container family: content -> [(entry name, bytes)] in archive order. RAR, 7Z and PDF have none here.
@@ -57,12 +59,16 @@ def container_notes(classified: DataFrame) -> DataFrame:
     return classified.select(F.lit("container").alias("scope"), F.col("file_path").alias("path"), message.alias("message")).where("message is not null")
 
 
+#: What readers raise for content that they can't read.
+BROKEN = (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, RuntimeError, EOFError, zlib.error)
+
+
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, family, content in zip(pdf["file_path"], pdf["family"], pdf["content"], strict=True):
             try:
-                entries = READERS[family](bytes(content)) if family in READERS else []
-            except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, RuntimeError):
+                entries = READERS[family](bytes(content)) if family in READERS and content is not None else []
+            except BROKEN:
                 entries = []  # container_failures() tells of it
             entries = [e for _, e in sorted(((page_order(n, i), (n, b)) for i, (n, b) in enumerate(entries)), key=lambda x: x[0])]
             if entries:
@@ -74,6 +80,25 @@ def read_pages(archives: DataFrame) -> DataFrame:
     return classify_containers(archives).select("file_path", "family", "content").mapInPandas(_pages, PAGE)
 
 
+def _failures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for path, family, content in zip(pdf["file_path"], pdf["family"], pdf["content"], strict=True):
+            try:
+                if content is None:
+                    raise OSError("the file can't be opened")
+                if family in READERS:
+                    READERS[family](bytes(content))
+            except BROKEN as e:
+                out.append(("container", path, f"can't be read: {e}"))
+        yield pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=object) for i, c in enumerate(("scope", "path", "message"))})
+
+
+def container_failures(archives: DataFrame) -> DataFrame:
+    """(scope, path, message) of archives whose reader fails or that couldn't be opened (null content)."""
+    return classify_containers(archives).select("file_path", "family", "content").mapInPandas(_failures, NOTE)
+
+
 def first_pages(pages: DataFrame) -> DataFrame:
     return pages.where("page_index = 0")
 

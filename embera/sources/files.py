@@ -1,68 +1,163 @@
-"""Directory scans and image decoding with Spark's file sources."""
+"""Directory scans, contents of chosen files, image sizes and decoding."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import struct
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.paths import ARCHIVES, CLASS_IMAGES, SEARCH_IMAGES, file_name, has_extension
+from ..functions.paths import ARCHIVES, CLASS_IMAGES, SEARCH_IMAGES, has_extension
 
 #: Normalisation by channel (red, green, blue): fixed values.
 IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
 CLIP = ((0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def _listed(hidden: bool, deep: bool):
+    """Entries of directories (or single files), listed where the task runs; what can't be read gives none."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for place in pdf["file_path"]:
+                out = []
+                try:
+                    system, path = fs.FileSystem.from_uri(place)
+                    before = place.removesuffix(path)
+                    known = system.get_file_info(path)
+                    found = [known] if known.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=deep))
+                    for f in found:
+                        below = f.path[len(path) :] if f is not known else f.base_name
+                        if hidden or not any(part.startswith(".") for part in below.split("/")):
+                            out.append((before + f.path, f.type == fs.FileType.Directory, int((f.mtime_ns or 0) // 1_000_000), f.size or 0))
+                except OSError:
+                    pass
+                yield pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=kind) for i, (c, kind) in enumerate((("file_path", object), ("folder", bool), ("ms", "int64"), ("file_size", "int64")))})
 
-def listing(spark: SparkSession, directory: str, extensions: Sequence[str], recursive: bool = True, content: bool = False) -> DataFrame:
-    """(file_path, last_modified, file_size[, content]) of matching files, extensions in either case.
+    return run
 
-    Without ``content`` the column is pruned and no file is opened. A missing directory
-    gives an empty table. Paths lose the scheme of local files.
+
+def listing(spark: SparkSession, directory: str, extensions: Sequence[str], recursive: bool = True, hidden: bool = False) -> DataFrame:
+    """(file_path, last_modified, file_size) of matching files, extensions in either case; no file is opened.
+
+    Directories are listed on the executors, each folder right below ``directory`` in a task
+    of its own (of any file system that Arrow knows by its URI). Names that begin with a dot
+    count only if ``hidden``, all others always. A missing directory gives an empty table.
+    """
+    kind = "file_path string, folder boolean, ms long, file_size long"
+    place = re.sub(r"^file:(//)?(?=/)", "", directory)
+    place = place.rstrip("/") or "/"
+    top = spark.createDataFrame([(place,)], "file_path string").mapInPandas(_listed(hidden, False), kind)
+    files = top.where(~F.col("folder"))
+    if recursive:
+        below = top.where("folder").select("file_path").repartition(8 * spark.sparkContext.defaultParallelism, "file_path")
+        files = files.union(below.mapInPandas(_listed(hidden, True), kind).where(~F.col("folder")))
+    modified = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return files.where(has_extension(F.col("file_path"), tuple(extensions))).select("file_path", modified.alias("last_modified"), "file_size")
+
+
+def with_contents(files: DataFrame, path_col: str = "file_path", at_once: int = 64 << 20) -> DataFrame:
+    """``files`` with ``content``: just these files are opened, where their row is; null if one can't be read.
+
+    Rows are handed on whenever ``at_once`` bytes have been read.
     """
-    kind = "file_path string, last_modified string, file_size bigint" + ", content binary" * content
-    if not _exists(spark, directory):
-        return spark.createDataFrame([], kind)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
-    files = files.where(has_extension(F.col("path"), tuple(extensions)))
-    modified = F.date_format(F.col("modificationTime"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    columns = [F.regexp_replace("path", r"^file:(//)?(?=/)", "").alias("file_path"), modified.alias("last_modified"), F.col("length").alias("file_size")]
-    return files.select(*columns, *(["content"] if content else []))
+    columns = files.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            start, read, held = 0, [], 0
+            for i, place in enumerate(pdf[path_col]):
+                try:
+                    system, path = fs.FileSystem.from_uri(place)
+                    with system.open_input_file(path) as f:
+                        read.append(f.read())
+                    held += len(read[-1])
+                except (OSError, ValueError, TypeError):
+                    read.append(None)
+                if held >= at_once or i + 1 == len(pdf):
+                    yield pdf.iloc[start : i + 1].assign(content=pd.Series(read, dtype=object, index=pdf.index[start : i + 1]))
+                    start, read, held = i + 1, [], 0
+
+    spread = files.repartition(8 * files.sparkSession.sparkContext.defaultParallelism, path_col)
+    return spread.mapInPandas(run, T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])).select(*(f"`{c}`" for c in columns), "content")
 
 
 def scan_images(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """Images a search looks at; .tif and .gif aren't among them."""
+    """Images a search looks at; .tif and .gif aren't among them, nor are hidden files."""
     return listing(spark, directory, SEARCH_IMAGES, recursive)
 
 
 def scan_archives(spark: SparkSession, directory: str) -> DataFrame:
-    """Comic archives, always with subdirectories."""
-    return listing(spark, directory, ARCHIVES, True)
+    """Comic archives, always with subdirectories, hidden ones too."""
+    return listing(spark, directory, ARCHIVES, True, hidden=True)
 
 
 def scan_top_level(spark: SparkSession, directory: str, extensions: Sequence[str] = CLASS_IMAGES) -> DataFrame:
     """Images right in the directory."""
-    return listing(spark, directory, extensions, False)
+    return listing(spark, directory, extensions, False, hidden=True)
 
 
 def scan_labelled(spark: SparkSession, directory: str, extensions: Sequence[str] = CLASS_IMAGES) -> DataFrame:
     """(file_path, ..., label): the label is the name of the file's folder, one below the directory."""
-    files = listing(spark, directory, extensions, True)
-    base = directory.rstrip("/") + "/"
+    files = listing(spark, directory, extensions, True, hidden=True)
+    base = re.sub(r"^file:(//)?(?=/)", "", directory).rstrip("/") + "/"
     below = F.substr("file_path", F.lit(len(base) + 1))
     return files.withColumn("label", F.regexp_extract(below, r"^([^/]+)/[^/]+$", 1)).where("label <> ''")
 
 
-def image_sizes(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """(file_path, width, height): 0 by 0 for what can't be decoded."""
-    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", str(recursive).lower()).load(directory).select("image.origin", "image.width", "image.height")
-    side = lambda c: F.greatest(F.col(c), F.lit(0)).alias(c)
-    return rows.where(has_extension(F.col("origin"), SEARCH_IMAGES)).select(F.regexp_replace("origin", r"^file:(//)?(?=/)", "").alias("file_path"), side("width"), side("height"))
+def header_size(head: bytes) -> tuple[int, int]:
+    """(width, height) from the first bytes of a PNG, GIF, BMP, JPEG or WebP file; (0, 0) if unknown. No pixel is decoded."""
+    try:
+        if head[:8] == b"\x89PNG\r\n\x1a\n":
+            return struct.unpack(">II", head[16:24])
+        if head[:6] in (b"GIF87a", b"GIF89a"):
+            return struct.unpack("<HH", head[6:10])
+        if head[:2] == b"BM":
+            width, height = struct.unpack("<ii", head[18:26])
+            return abs(width), abs(height)
+        if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+            if head[12:16] == b"VP8X":
+                return 1 + int.from_bytes(head[24:27], "little"), 1 + int.from_bytes(head[27:30], "little")
+            if head[12:16] == b"VP8L":
+                bits = int.from_bytes(head[21:25], "little")
+                return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+            width, height = struct.unpack("<HH", head[26:30])
+            return width & 0x3FFF, height & 0x3FFF
+        if head[:2] == b"\xff\xd8":
+            at = 2
+            while at + 9 <= len(head):
+                mark = head[at + 1]
+                if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):  # a frame header
+                    height, width = struct.unpack(">HH", head[at + 5 : at + 9])
+                    return width, height
+                at += 2 + int.from_bytes(head[at + 2 : at + 4], "big") if mark not in (0xFF, 0x01) else 1
+    except struct.error:
+        pass
+    return 0, 0
+
+
+def image_sizes(spark: SparkSession, directory: str, recursive: bool = True, first: int = 256 << 10) -> DataFrame:
+    """(file_path, width, height) from the ``first`` bytes of each image; 0 by 0 for what isn't known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = []
+            for place in pdf["file_path"]:
+                try:
+                    system, path = fs.FileSystem.from_uri(place)
+                    with system.open_input_file(path) as f:
+                        sizes.append(header_size(f.read(first)))
+                except OSError:
+                    sizes.append((0, 0))
+            yield pdf.assign(width=pd.Series([w for w, _ in sizes], dtype="int32", index=pdf.index), height=pd.Series([h for _, h in sizes], dtype="int32", index=pdf.index))
+
+    files = scan_images(spark, directory, recursive).select("file_path")
+    return files.repartition(8 * spark.sparkContext.defaultParallelism, "file_path").mapInPandas(run, "file_path string, width int, height int")
 
 
 def image_tensor(data: bytes, height: int, width: int, channels: int, size: int, mean: Sequence[float], std: Sequence[float]):
@@ -85,7 +180,3 @@ def image_tensor(data: bytes, height: int, width: int, channels: int, size: int,
     rows = rgb[lo] * (1 - f)[:, None, None] + rgb[hi] * f[:, None, None]
     out = rows[:, lo] * (1 - f)[None, :, None] + rows[:, hi] * f[None, :, None]
     return ((out - np.float32(mean)) / np.float32(std)).transpose(2, 0, 1)
-
-
-def names(df: DataFrame) -> DataFrame:
-    return df.withColumn("file_name", file_name(F.col("file_path")))

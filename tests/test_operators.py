@@ -42,6 +42,15 @@ def test_probe(spark):
     assert (r["total"], r["hits"], r["misses"]) == (33000, 32340, 660) and abs(r["hit_percent"] - 98) < 1e-9
     twice = spark.createDataFrame([("a", "1", 1), ("a", "2", 2)], "file_path string, last_modified string, file_size long")
     assert probe.first_probes(twice).count() == 1
+    stored = spark.createDataFrame([("a", "2", 2)], "file_path string, last_modified string, file_size long")
+    assert [r["status"] for r in probe.probe_status(twice, stored).collect()] == ["stale"]  # the first entry counts
+    later = twice.selectExpr("*", "-file_size as place")
+    assert [r["status"] for r in probe.probe_status(later, stored, order="place").collect()] == ["hit"]
+    ages = spark.createDataFrame([("M", "2024-13-99 bad"), ("m", "2024-02-01T00:00:00Z"), ("n", "2023-05-05 10:00:00"), ("n", None)], "model_name string, created_at string")
+    info = probe.cache_info(ages, ages.limit(0), ages.where("model_name = 'M'")).first()
+    assert info.asDict() == {"total": 5, "files": 4, "archives": 0, "covers": 1, "models": "m, n", "oldest": "2023-05-05 10:00:00", "newest": "2024-02-01T00:00:00Z"}
+    sample = probe.diagnostics_sample(files.where("id < 76"), cache, 76).collect()
+    assert len(sample) == 76 and {r["status"] for r in sample} == {"fresh", "stale", "miss"}
     for hint in ("broadcast", "merge", "shuffle_hash"):
         assert probe.probe_status(files, cache, hint).where("status = 'hit'").count() == 32340
     assert probe.probe_fresh(files, cache).count() == 32340
@@ -181,6 +190,10 @@ def test_names_and_history(spark, tmp_path):
     taken = spark.createDataFrame([("a_p1.png",), ("a_p1 (1).png",)], "name string")
     assert [r["target_name"] for r in routing.clash_free_names(df, "name", ["n"], taken).orderBy("n").collect()] == ["a_p1 (2).png", "A_P1 (3).png", "b.png"]
     assert [r["target_name"] for r in routing.clash_free_names(df, "name", ["n"]).orderBy("n").collect()] == ["a_p1.png", "A_P1 (1).png", "b.png"]
+    numbered = spark.createDataFrame([(1, "a.jpg", 0), (2, "a.jpg", 0), (3, "a (1).jpg", 0), (4, "A (1).jpg", 0), (5, "a.jpg", 0), (6, "b", 0), (7, "b", 0), (8, "b (01)", 0), (9, "a (4).jpg", 0)], "n int, name string, copy int")
+    used = spark.createDataFrame([("A (3).JPG",), ("a (4).jpg",), ("c",)], "name string")
+    got = routing.clash_free_names(numbered, "name", ["n"], used).orderBy("n").collect()
+    assert [r["target_name"] for r in got] == ["a.jpg", "a (2).jpg", "a (1).jpg", "A (1) (1).jpg", "a (5).jpg", "b", "b (1)", "b (01)", "a (4) (1).jpg"] and got[0]["copy"] == 0
     asked = spark.createDataFrame([("a", 1), ("b", 2), ("A", 3)] + [(f"query{i}", 10 + i) for i in range(9)], "q string, at int")
     got = [r["query"] for r in routing.history(asked, [], "q", "at").orderBy("position").collect()]
     assert got == [*(f"query{i}" for i in range(8, -1, -1)), "A"]

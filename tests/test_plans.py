@@ -1,5 +1,6 @@
 import io
 import math
+import os
 import struct
 import zipfile
 import zlib
@@ -65,6 +66,25 @@ def test_round_trip(spark, store):
     assert store.view("file_cache").count() == 2
 
 
+def test_last_of_a_key_and_the_plan_of_a_view(spark, store):
+    rows = [("m", "p", str(i), i, [float(i)], f"2024-01-0{i}") for i in (2, 1, 3)]
+    store.upsert("file_cache", spark.createDataFrame(rows, FILE + ", created_at string"))
+    assert [(r["file_size"], r["created_at"]) for r in store.view("file_cache").collect()] == [(3, "2024-01-03")]
+    store.upsert("file_cache", spark.createDataFrame([("m", "q", "x", 1, [9.0])], FILE))
+    store.upsert("file_cache", spark.createDataFrame([("m", "q", "x", 2, [8.0]), ("m", "p", "x", 4, [7.0])], FILE))
+    assert sorted((r["file_path"], r["file_size"]) for r in store.view("file_cache").collect()) == [("p", 4), ("q", 2)]
+    plan = store.view("file_cache", "m")._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate" in line and "embedding" in line] and "SortAggregate" not in plan
+
+
+def test_store_is_migrated_before_it_is_read(spark, store):
+    store.upsert("file_cache", spark.createDataFrame([("m", "a.cbz|page=0", "t", 1, [1.0])], FILE))
+    marks = spark.createDataFrame([("m", "a.cbz", 1)], "model_name string, archive_path string, page_count int")
+    again = maintenance.open_store(spark, store.root, marks)
+    assert again.view("file_cache").count() == 0 and again.view("archive_cache").count() == 1
+    assert maintenance.open_store(spark, store.root, marks).view("archive_cache").count() == 1
+
+
 def test_archives_clear_and_vacuum(spark, store):
     box = "model_name string, archive_path string, page_count int, last_modified string, file_size long, pages array<array<float>>"
     page = lambda seed: [float(seed + i) for i in range(8)]
@@ -144,6 +164,32 @@ def test_sources(spark, tmp_path):
     assert "content" not in files.scan_images(spark, str(tmp_path)).columns
 
 
+def test_hidden_and_odd_names(spark, tmp_path):
+    """Names with an underscore are files like others; names with a dot count for archives and classes only."""
+    for name in ("_dir", ".secret", "deep/er/est", "_other"):
+        (tmp_path / name).mkdir(parents=True)
+    for name in ("a.jpg", "_b.jpg", ".c.jpg", "_dir/d.jpg", ".secret/e.jpg", "deep/er/est/f.jpg", "with space#1.jpg", "_x.cbz", ".y.cbz", "_dir/.z.cbr", "_other/g.png"):
+        (tmp_path / name).write_bytes(b"a")
+    below = lambda df: sorted(r["file_path"][len(str(tmp_path)) + 1 :] for r in df.collect())
+    assert below(files.scan_images(spark, str(tmp_path))) == sorted(["a.jpg", "_b.jpg", "_dir/d.jpg", "deep/er/est/f.jpg", "with space#1.jpg", "_other/g.png"])
+    assert below(files.scan_archives(spark, str(tmp_path) + "/")) == sorted(["_x.cbz", ".y.cbz", "_dir/.z.cbr"])
+    assert below(files.scan_images(spark, f"file://{tmp_path}", False)) == sorted(["a.jpg", "_b.jpg", "with space#1.jpg"])
+    assert {(r["file_path"].rsplit("/", 1)[1], r["label"]) for r in files.scan_labelled(spark, str(tmp_path)).collect()} == {("d.jpg", "_dir"), ("e.jpg", ".secret"), ("g.png", "_other")}
+    read = files.with_contents(files.scan_images(spark, str(tmp_path)).union(spark.createDataFrame([(f"{tmp_path}/gone.jpg", "t", 1)], "file_path string, last_modified string, file_size long")), at_once=1)
+    got = {r["file_path"].rsplit("/", 1)[1]: r["content"] for r in read.collect()}
+    assert got["gone.jpg"] is None and bytes(got["d.jpg"]) == b"a" and len(got) == 7
+
+
+def test_sizes_from_headers(tmp_path):
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"J" * 14 + b"\xff\xc2" + struct.pack(">HBHH", 17, 8, 300, 500) + b"x" * 20
+    for head, want in (
+        (png(6, 4), (6, 4)), (jpeg, (500, 300)), (b"GIF89a" + struct.pack("<HH", 7, 9), (7, 9)), (b"BM" + b"\0" * 16 + struct.pack("<ii", 5, -8), (5, 8)),
+        (b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (639).to_bytes(3, "little") + (479).to_bytes(3, "little"), (640, 480)),
+        (b"", (0, 0)), (b"\x89PNG\r\n\x1a\n", (0, 0)), (b"\xff\xd8\xff", (0, 0)), (b"no image at all", (0, 0)),
+    ):
+        assert tuple(files.header_size(head)) == want
+
+
 def comic(names):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -159,6 +205,8 @@ def test_containers(spark, tmp_path):
     assert [(r["archive_path"], r["page_index"], r["entry_name"]) for r in pages.orderBy("archive_path", "page_index").collect()] == [("x/a.cbz", 0, "a10.jpg"), ("x/a.cbz", 1, "A2.png"), ("x/a.cbz", 2, "z/B.jpg"), ("x/b.cbr", 0, "p.jpg")]
     notes = {r["path"] for r in containers.container_notes(containers.classify_containers(df)).collect()}
     assert notes == {"x/b.cbr", "x/c.cbz", "x/d.pdf"}
+    failed = containers.container_failures(df.union(spark.createDataFrame([("x/f.cbz", None)], df.schema)))
+    assert {r["path"] for r in failed.collect()} == {"x/e.cbz", "x/f.cbz"}
     assert containers.page_at(pages, "x/a.cbz", 9).count() == 0 and containers.page_counts(pages).count() == 2
     order = [["p02-000.jpg", "p02-005.jpg"], ["CCI08272016.jpg", "CCI08272016_0001.jpg"], ["img230.jpg", "zfurby2.jpg"], ["x-000-a.jpg", "x-000-b.jpg"]]
     for want in order:
@@ -192,6 +240,12 @@ def test_image_search(spark, store, tmp_path):
     assert names(s.by_text(str(d), "x"))[1] == ("b.png", 0.6) and encoder.encoded() == 1
     with pytest.raises(ValueError):
         s.by_image(str(d), str(d / "missing.jpg"))
+    # a fresh file is never opened, nor does any plan read contents by scanning
+    kept = os.stat(d / "a.jpg")
+    (d / "a.jpg").write_bytes(b"c")
+    os.utime(d / "a.jpg", ns=(kept.st_atime_ns, kept.st_mtime_ns))
+    assert names(s.by_text(str(d), "x"))[0] == ("a.jpg", 1.0) and encoder.encoded() == 0
+    assert "binaryFile" not in s.vectors(str(d))._jdf.queryExecution().toString()
     merged = search_roots([s.by_text(str(d), "x"), s.by_text(str(d / "sub"), "x")], ["file_path"], 0.5)
     assert merged.count() == 2
 
