@@ -5,33 +5,13 @@ from __future__ import annotations
 from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Windows of time that one slice spans.
-SLICE = 1000
-
-
-def islands(df: DataFrame, window_us: int, time_col: str = "us", tie_col: str = "id") -> DataFrame:
-    """``df`` with ``island``: runs of rows in time whose gaps are all under ``window_us``.
-
-    Time is cut into slices, and order matters only inside a slice; between slices only
-    their first and last times and last breaks are handed on, one row per slice.
-    """
-    t = F.col(time_col)
-    rows = df.withColumn("_slice", F.floor(t / (SLICE * window_us)))
-    w = Window.partitionBy("_slice").orderBy(time_col, tie_col)
-    rows = rows.withColumn("_break", F.when(t - F.lag(time_col).over(w) >= window_us, t)).withColumn("_break", F.last("_break", ignorenulls=True).over(w))
-    ends = rows.groupBy("_slice").agg(F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi"), F.max("_break").alias("_last"))
-    along = Window.orderBy("_slice")  # a row per slice
-    ends = ends.withColumn("_fresh", F.coalesce(F.col("_lo") - F.lag("_hi").over(along) >= window_us, F.lit(True)))
-    # the break that a slice's first rows stand after: its own start, or the last one before
-    ends = ends.withColumn("_start", F.when(F.col("_fresh"), F.col("_lo"))).withColumn("_latest", F.coalesce("_last", "_start"))
-    before = F.last("_latest", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.withColumn("_head", F.coalesce("_start", before)).select("_slice", "_head")
-    return rows.join(ends, "_slice").withColumn("island", F.coalesce("_break", "_head")).drop("_slice", "_break", "_head")
+#: Windows of time that one slice spans at most, and rows that it should hold about.
+SLICE, SLICE_ROWS = 1000, 50_000
 
 
 class _Walk:
@@ -84,20 +64,104 @@ def greedy(rows: list[tuple], window_us: int) -> pd.DataFrame:
     return walk.found()
 
 
-def _streamed(window_us: int):
-    """Walks over islands one after another, rows in order; only one window's rows are held."""
+class _Slice:
+    """Rows of one slice of time in order, and those of the next slice less than a window after its end.
+
+    For every row as an anchor it is known, without walking, whether its window holds two
+    classes and where the next anchor stands: behind the window then, else at the next row.
+    """
+
+    def __init__(self, rows: pd.DataFrame, end: int, window_us: int):
+        self.rows = rows = rows.sort_values(["us", "id"], kind="stable", ignore_index=True)
+        us = rows["us"].to_numpy()
+        self.own = int(np.searchsorted(us, end))
+        self.behind = np.searchsorted(us, us + window_us)
+        kind = pd.factorize(rows["class"])[0]
+        changes = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(us) + 1)
+        other = changes[np.searchsorted(changes, np.arange(len(us)), side="right")]
+        self.anchors = np.flatnonzero((other < self.behind)[: self.own])  # rows whose window is a conflict
+
+    def walk(self, entry: int) -> Iterator[int]:
+        """Conflict anchors from the own row ``entry`` on, then minus the place in the next slice where the walk goes on, less one."""
+        at = entry
+        while at < self.own:
+            k = int(np.searchsorted(self.anchors, at))
+            if k == len(self.anchors):
+                at = self.own
+                break
+            yield int(self.anchors[k])
+            at = int(self.behind[self.anchors[k]])
+        yield -1 - (at - self.own)
+
+    def exits(self, most: int) -> list[int]:
+        """Where the walk goes on in the next slice, for each place 0..``most`` at which it may enter this one."""
+        known: dict[int, int] = {}
+        out = []
+        for entry in range(most + 1):
+            seen, end = [], 0
+            for at in self.walk(entry):
+                if at in known:
+                    end = known[at]
+                    break
+                if at < 0:
+                    end = -1 - at
+                else:
+                    seen.append(at)
+            known.update(dict.fromkeys(seen, end))
+            out.append(end)
+        return out
+
+
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """Whole slices from batches that are sorted by slice."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        for n, part in pdf.groupby("slice", sort=False):
+            if held and held[-1]["slice"].iloc[0] != n:
+                yield int(held[0]["slice"].iloc[0]), pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield int(held[0]["slice"].iloc[0]), pd.concat(held)
+
+
+def _maps(window_us: int, width: int):
+    """(slice, exits): one exit if the place of entry doesn't matter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for n, rows in _sliced(batches):
+            s = _Slice(rows, (n + 1) * width, window_us)
+            if s.own:
+                near = int(np.searchsorted(s.rows["us"].to_numpy()[: s.own], n * width + window_us))
+                exits = s.exits(near)
+                yield pd.DataFrame({"slice": [n], "exits": [exits[:1] if len(set(exits)) == 1 else exits]})
+
+    return run
+
+
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(slice, entry) of slices in order."""
+    before, place = None, 0
+    for pdf in batches:
+        entries = []
+        for n, exits in zip(pdf["slice"].tolist(), pdf["exits"].tolist(), strict=True):
+            entry = place if before == n - 1 else 0
+            entries.append(entry)
+            before, place = n, int(exits[entry if len(exits) > 1 else 0])
+        yield pd.DataFrame({"slice": pdf["slice"], "entry": pd.Series(entries, dtype="int64")})
+
 
+def _found(window_us: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        walk, now = _Walk(window_us), None
-        for pdf in batches:
-            for island, *row in zip(*(pdf[c].tolist() for c in ("island", "id", "path", "class", "us")), strict=True):
-                if island != now:
-                    walk.end()
-                    now = island
-                walk.add(tuple(row))
-            yield walk.found()
-        walk.end()
-        yield walk.found()
+        for n, rows in _sliced(batches):
+            s = _Slice(rows, (n + 1) * width, window_us)
+            out = []
+            for at in s.walk(int(rows["entry"].max())):
+                if at >= 0:
+                    group = s.rows.iloc[at : s.behind[at]]
+                    us = group["us"].tolist()
+                    out.append((int(group["id"].iloc[0]), group["id"].tolist(), group["path"].tolist(), list(dict.fromkeys(group["class"].tolist())), us[0], us[-1]))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=kind) for i, (c, kind) in enumerate(_COLUMNS)})
 
     return run
 
@@ -108,17 +172,26 @@ CONFLICT = "first_id long, ids array<long>, file_paths array<string>, classes ar
 def timestamp_conflicts(df: DataFrame, window_minutes: float, id_col: str = "id", path_col: str = "path", class_col: str = "class", time_col: str = "created") -> DataFrame:
     """One row per conflict, times in microseconds; none if the window isn't positive.
 
-    A window's group never spans a gap of the window's length, so islands are independent;
-    islands of one class are dropped before any Python runs.
+    Anchors follow each other, but a slice of time depends on what came before only by the
+    place at which the walk enters it, which lies in its first window. So slices tell first
+    where they are left for each such place, then these places are chained (a row per slice,
+    and nearly always one place), and then all slices give their conflicts on their own.
     """
     window_us = round(window_minutes * 60_000_000)
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("class"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("us")).where("us is not null")
-    if window_us <= 0:
-        return df.sparkSession.createDataFrame([], CONFLICT)
-    r = islands(rows, window_us)
-    mixed = r.groupBy("island").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("island")
-    ordered = r.join(mixed, "island").select("island", "id", "path", "class", "us").repartition("island").sortWithinPartitions("island", "us", "id")
-    return ordered.mapInPandas(_streamed(window_us), CONFLICT)
+    seen = rows.agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")).first() if window_us > 0 else None
+    if not seen or not seen["n"]:
+        return spark.createDataFrame([], CONFLICT)
+    width = min(SLICE * window_us, max(2 * window_us, (seen["hi"] - seen["lo"]) * SLICE_ROWS // seen["n"]))
+    at = F.floor(F.col("us") / F.lit(width))
+    # rows in the first window of a slice stand behind the slice before, too
+    slices = F.when(F.col("us") - at * width < window_us, F.array(at, at - 1)).otherwise(F.array(at))
+    cut = rows.withColumn("slice", F.explode(slices)).repartition("slice").sortWithinPartitions("slice")
+    maps = cut.mapInPandas(_maps(window_us, width), "slice long, exits array<long>")
+    entries = maps.repartition(1).sortWithinPartitions("slice").mapInPandas(_chained, "slice long, entry long")
+    placed = cut.join(entries, "slice").repartition("slice").sortWithinPartitions("slice")
+    return placed.mapInPandas(_found(window_us, width), CONFLICT)
 
 
 def conflict_members(conflicts: DataFrame) -> DataFrame:

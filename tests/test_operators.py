@@ -168,15 +168,24 @@ def greedy(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slice_,span", [(1, 3000), (2, 100_000), (1000, 600)])
+@pytest.mark.parametrize("slice_,span", [(2, 3000), (3, 100_000), (1000, 600)])
 def test_conflicts_like_the_rule(spark, monkeypatch, slice_, span):
     monkeypatch.setattr(conflicts, "SLICE", slice_)
     rnd = random.Random(slice_)
     rows = [(rnd.choice("abc"), rnd.randrange(span)) for _ in range(200)]
+    monkeypatch.setattr(conflicts, "SLICE_ROWS", 7)
     assert found(spark, rows) == greedy(rows, 60)
     assert found(spark, rows, 0) == []
 
 
+def test_a_dense_feed_is_no_single_task(spark, monkeypatch):
+    """Without any gap, slices still go by themselves, and what enters them is chained."""
+    monkeypatch.setattr(conflicts, "SLICE_ROWS", 40)
+    rnd = random.Random(1)
+    rows = [(rnd.choice("aaaaab"), i * 3 + rnd.randrange(3)) for i in range(2500)]
+    assert found(spark, rows) == greedy(rows, 60)
+
+
 def test_sorting(spark):
     df = spark.createDataFrame([(1, "i/a.jpg", "cat", 0.9), (2, "i/b.jpg", "dog", 0.2), (3, "i/c.jpg", None, None), (4, "i/d.jpg", "cat", 0.99)], "id long, path string, class string, confidence double")
     plan = routing.routing_plan(df, "/out/", 0.5, spark.createDataFrame([(4,), (4,)], "id long"))
