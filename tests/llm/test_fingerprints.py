@@ -1,9 +1,24 @@
 import hashlib
 import random
+import unicodedata
+
+import xxhash
 
 from embera.llm import fingerprints as P
 
 
+def written_out(text):
+    """The fingerprint by its description, step by step."""
+    out, gap = [], True
+    for c in unicodedata.normalize("NFKC", text).casefold():
+        if c.isspace():
+            gap = True
+            continue
+        out += [" ", c] if gap and out else [c]
+        gap = False
+    return xxhash.xxh3_128("".join(out).encode()).hexdigest()
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out = []
@@ -11,7 +26,7 @@ def brute(rows):
         text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
         n = len(text) // 4
         edited = text[: len(text) - n] + after[:n]
-        f = P.fingerprint
+        f = written_out
         out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), f(text), f(edited), float(f(text) == f(edited)), float(f(text) == f(after))))
     return sorted(out, key=str)
 

@@ -56,3 +56,16 @@ def test_empty(spark):
     none = spark.createDataFrame([], "offset long, length long, digest string")
     assert W.audit(none, none).collect() == []
     assert [r["status"] for r in W.audit(none, spark.createDataFrame([(0, 3, "a")], none.schema)).collect()] == ["added"]
+
+
+def test_long_records_and_any_extra_column(spark):
+    """A very long record, repeated rows and columns of the names that are used inside."""
+    names = ["digest", "length", "offset", "prefix", "before", "copies", "copy", "bytes", "range", "hash", "at", "status"]
+    rows = [(1, "http://h/1", "x" * 3_000_000), (2, None, None), (2, None, None), (None, "http://h/3", "é")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", *(f"'x' as `{n}`" for n in names))
+    laid = W.checkpointed(W.laid_out(pages.select(W.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), "page_id"), ["page_id"]))
+    got = sorted((tuple(r) for r in laid.select("offset", "length", "page_id").collect()), key=lambda r: r[0])
+    assert [a for a, _, _ in got] == [0, *(a + n for a, n, _ in got[:-1])] and max(n for _, n, _ in got) > 3_000_000
+    replica = laid.select("offset", "length", F.when(F.col("page_id") == 1, F.sha2(F.lit("other"), 256)).otherwise(F.col("digest")).alias("digest"))
+    long = next(a for a, n, _ in got if n > 3_000_000)
+    assert [(r["offset"], r["status"]) for r in W.audit(laid.select("offset", "length", "digest"), replica).collect()] == [(long, "damaged")]
