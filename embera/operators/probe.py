@@ -15,6 +15,17 @@ def first_probes(probe: DataFrame, order: str | None = None) -> DataFrame:
     return probe.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Bytes of a cache (by Spark's own estimate) up to which a broadcast hint is followed.
+BROADCAST = 256 << 20
+
+
+def _hinted(cache: DataFrame, hint: str | None) -> DataFrame:
+    """``cache`` with a join hint; one that asks for a broadcast counts only if the cache is small enough."""
+    if hint is None or (hint == "broadcast" and int(str(cache._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST):
+        return cache
+    return cache.hint(hint)
+
+
 def probe_status(probe: DataFrame, cache: DataFrame, hint: str | None = None, unique: bool = False, order: str | None = None) -> DataFrame:
     """Every probed path once, with ``status`` (hit, stale, miss) and its vector if fresh.
 
@@ -25,7 +36,7 @@ def probe_status(probe: DataFrame, cache: DataFrame, hint: str | None = None, un
     """
     probe = probe if unique else first_probes(probe, order)
     cached = cache.select("file_path", F.col("last_modified").alias("_m"), F.col("file_size").alias("_s"), F.lit(True).alias("_there"), *(["embedding"] if "embedding" in cache.columns else []))
-    joined = probe.join(cached.hint(hint) if hint else cached, "file_path", "left")
+    joined = probe.join(_hinted(cached, hint), "file_path", "left")
     fresh = F.col("_m").eqNullSafe(F.col("last_modified")) & F.col("_s").eqNullSafe(F.col("file_size"))
     out = joined.withColumn("status", F.when(F.col("_there").isNull(), "miss").when(fresh, "hit").otherwise("stale"))
     if "embedding" in cache.columns:
@@ -36,7 +47,7 @@ def probe_status(probe: DataFrame, cache: DataFrame, hint: str | None = None, un
 def probe_fresh(probe: DataFrame, cache: DataFrame, hint: str | None = None) -> DataFrame:
     """Only the fresh ones, as a semi-join on path, modification text and size."""
     keys = cache.select("file_path", *FRESH)
-    return probe.join(keys.hint(hint) if hint else keys, ["file_path", *FRESH], "left_semi")
+    return probe.join(_hinted(keys, hint), ["file_path", *FRESH], "left_semi")
 
 
 def archive_status(probe: DataFrame, cache: DataFrame) -> DataFrame:

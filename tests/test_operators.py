@@ -32,7 +32,7 @@ def test_distribution(spark, values):
     assert (r["n"], r["lowest"], r["highest"], r["median"]) == (len(values), min(values), max(values), sorted(values)[len(values) // 2])
 
 
-def test_probe(spark):
+def test_probe(spark, monkeypatch):
     files = spark.range(33000).selectExpr("concat('t/p', id, '.jpg') as file_path", "case when id % 100 = 75 then 'late' else 'm' end as last_modified", "id as file_size", "id")
     cache = spark.range(33000).where("id % 100 <> 50").selectExpr("concat('t/p', id, '.jpg') as file_path", "'m' as last_modified", "id as file_size", "array(cast(1 as float)) as embedding")
     out = probe.probe_status(files, cache)
@@ -54,6 +54,10 @@ def test_probe(spark):
     for hint in ("broadcast", "merge", "shuffle_hash"):
         assert probe.probe_status(files, cache, hint).where("status = 'hit'").count() == 32340
     assert probe.probe_fresh(files, cache).count() == 32340
+    joined = lambda: probe.probe_status(files, cache, "broadcast", unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in joined()
+    monkeypatch.setattr(probe, "BROADCAST", 1000)  # a larger cache isn't broadcast, whatever the hint says
+    assert "strategy=broadcast" not in joined()
     boxes = spark.createDataFrame([("a", 2, "1", 1, [[1.0], [2.0]]), ("b", 99, "1", 1, [[1.0]]), ("c", 1, "0", 1, [[1.0]])], "archive_path string, page_count int, last_modified string, file_size long, pages array<array<float>>")
     asked = spark.createDataFrame([(x, "1", 1) for x in "abcd"], "file_path string, last_modified string, file_size long")
     assert {r["file_path"]: r["status"] for r in probe.archive_status(asked, boxes).collect()} == {"a": "hit", "b": "inconsistent", "c": "stale", "d": "miss"}
