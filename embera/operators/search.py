@@ -52,6 +52,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def in_input_order(results: DataFrame, inputs: DataFrame, key: str, order_col: str) -> DataFrame:
+    """``results`` (a row per key) for every row of ``inputs``, in the order that ``order_col`` of ``inputs`` carries; null where there is none."""
+    places = inputs.select(F.col(key).alias("_key"), F.col(order_col).alias("_order"))
+    joined = places.join(results, places["_key"] == results[key], "left")
+    return joined.orderBy("_order").select("_order", F.col("_key").alias(key), *(results[c] for c in results.columns if c != key)).withColumnRenamed("_order", order_col)
+
+
 def distribution(df: DataFrame, score_col: str = "similarity", bins: int = 4096) -> DataFrame:
     """(n, lowest, highest, median): the median is the upper one, sorted[n div 2].
 

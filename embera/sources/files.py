@@ -180,3 +180,18 @@ def image_tensor(data: bytes, height: int, width: int, channels: int, size: int,
     rows = rgb[lo] * (1 - f)[:, None, None] + rgb[hi] * f[:, None, None]
     out = rows[:, lo] * (1 - f)[None, :, None] + rows[:, hi] * f[None, :, None]
     return ((out - np.float32(mean)) / np.float32(std)).transpose(2, 0, 1)
+
+
+def image_tensors(spark: SparkSession, directory: str, size: int, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
+    """(file_path, tensor): 3 * size * size floats by channel, row and column; null for what Spark can't decode."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 16):
+                part = pdf.iloc[i : i + 16]
+                made = [image_tensor(*x, size, mean, std) for x in zip(part["data"], part["height"].tolist(), part["width"].tolist(), part["nChannels"].tolist(), strict=True)]
+                yield pd.DataFrame({"file_path": part["file_path"], "tensor": pd.Series([None if t is None else t.ravel().tolist() for t in made], dtype=object, index=part.index)})
+
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(directory)
+    rows = images.where(has_extension(F.col("image.origin"), SEARCH_IMAGES)).select(F.regexp_replace("image.origin", r"^file:(//)?(?=/)", "").alias("file_path"), "image.data", "image.height", "image.width", "image.nChannels")
+    return rows.mapInPandas(run, "file_path string, tensor array<float>")

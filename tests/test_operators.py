@@ -190,6 +190,12 @@ def test_a_dense_feed_is_no_single_task(spark, monkeypatch):
     assert found(spark, rows) == greedy(rows, 60)
 
 
+def test_input_order(spark):
+    asked = spark.createDataFrame([("b", 2), ("a", 1), ("z", 3), ("b", 0)], "path string, place int")
+    got = search.in_input_order(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "path string, score double"), asked, "path", "place")
+    assert [tuple(r) for r in got.collect()] == [(0, "b", 2.0), (1, "a", 1.0), (2, "b", 2.0), (3, "z", None)]
+
+
 def test_sorting(spark):
     df = spark.createDataFrame([(1, "i/a.jpg", "cat", 0.9), (2, "i/b.jpg", "dog", 0.2), (3, "i/c.jpg", None, None), (4, "i/d.jpg", "cat", 0.99)], "id long, path string, class string, confidence double")
     plan = routing.routing_plan(df, "/out/", 0.5, spark.createDataFrame([(4,), (4,)], "id long"))

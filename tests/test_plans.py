@@ -162,6 +162,8 @@ def test_sources(spark, tmp_path):
     x = files.image_tensor(bytes(image["data"]), image["height"], image["width"], image["nChannels"], 2, (0, 0, 0), (1, 1, 1))
     assert x.shape == (3, 2, 2) and [round(float(c[0, 0]) * 255) for c in x] == [0x40, 0x80, 0xC0]
     assert "content" not in files.scan_images(spark, str(tmp_path)).columns
+    tensors = {r["file_path"].rsplit("/", 1)[1]: r["tensor"] for r in files.image_tensors(spark, str(tmp_path), 2, (0, 0, 0), (1, 1, 1)).collect()}
+    assert tensors["b.png"] is None and tensors["real.png"] == x.ravel().tolist()
 
 
 def test_hidden_and_odd_names(spark, tmp_path):
