@@ -10,6 +10,7 @@
    both (prefix filter, which loses no pair at the threshold), or all pairs where these
    would be more; a corrected Jaccard estimate from the registers drops those far below
    the threshold; the full sets decide (whole-number comparison).
+   Large groups that share most of their members are one before that.
 4. Of a group of several blocks, those members that didn't reach the hub first meet a few
    sub-hubs, the most central ones of what the blocks left over, and what is left over
    then meets the other blocks. No pair of different texts that shares a band goes
@@ -116,12 +117,20 @@ class _Group:
     def __init__(self, ids: list[int], texts: list[str | None], k: int):
         self.ids, self.sets = ids, [sketch.shingles(t, k) for t in texts]
         self.sizes = np.array([len(s) for s in self.sets])
-        self.registers = np.stack([sketch.registers(s, ROWS * BANDS) for s in self.sets])
+        self._registers, self._known = np.zeros((len(ids), ROWS * BANDS), dtype=np.uint16), np.zeros(len(ids), dtype=bool)
         self.root = list(range(len(ids)))
         first: dict[int, int] = {}
         for i, x in enumerate(ids):
             self.root[i] = first.setdefault(x, i)
 
+    def registers(self, rows: np.ndarray | list[int] | slice) -> np.ndarray:
+        """Registers of these members, made when they are first asked for."""
+        at = np.arange(len(self.ids))[rows]
+        for i in np.unique(at[~self._known[at]]).tolist():
+            self._registers[i] = sketch.registers(self.sets[i], ROWS * BANDS)
+        self._known[at] = True
+        return self._registers[rows]
+
     def find(self, x: int) -> int:
         while self.root[x] != x:
             self.root[x] = self.root[self.root[x]]
@@ -189,7 +198,7 @@ class _Group:
                 x, y = x[apart], y[apart]
                 for i in range(0, len(x), 20_000):
                     a, b = x[i : i + 20_000], y[i : i + 20_000]
-                    near = sketch.estimate(self.registers[a], self.registers[b]) >= least
+                    near = sketch.estimate(self.registers(a), self.registers(b)) >= least
                     for r, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
                         if self.find(r) != self.find(j) and sketch.jaccard_at_least(self.sets[r], self.sets[j], percent):
                             yield self._join(r, j)
@@ -197,7 +206,7 @@ class _Group:
         step = max(1, min(64, 40_000_000 // (len(self.sets) * ROWS * BANDS)))
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
-            near = sketch.estimate(self.registers[part][:, None], self.registers[None]) >= least
+            near = sketch.estimate(self.registers(part)[:, None], self.registers(slice(None))[None]) >= least
             near[np.arange(len(part)), part] = False
             if not within:
                 near[:, rows] = False
@@ -210,8 +219,8 @@ class _Group:
 
     def central(self, rows: list[int]) -> tuple[int, float]:
         """The one of ``rows`` that is most alike to (up to COMPARED of) the others, and how much."""
-        some = self.registers[rows[:: -(-len(rows) // COMPARED)]]
-        alike = [float(sketch.estimate(self.registers[r][None], some).mean()) for r in rows]
+        some = self.registers(rows[:: -(-len(rows) // COMPARED)])
+        alike = [float(sketch.estimate(self.registers([r]), some).mean()) for r in rows]
         at = int(np.argmax(alike))
         return rows[at], alike[at]
 
@@ -305,6 +314,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     members = checkpointed(members.join(reps.select("id", "mark", "n"), ["id", "mark"]).select("hub", "id", "mark", "n"))
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / MEMBERS)).cast("int")
     wide = checkpointed(members.groupBy("hub").agg(blocks.alias("blocks")).where("blocks > 1"))
+    if not wide.isEmpty():
+        members = _merged(members, wide)
+        wide = checkpointed(members.groupBy("hub").agg(blocks.alias("blocks")).where("blocks > 1"))
     placed = members.join(wide, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # a hub stands in every block of its group
     dealt = placed.where("id <> hub").select("hub", _block("blocks").alias("block"), "blocks", "id", "mark").union(placed.where("id = hub").select("hub", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks", "id", "mark"))
@@ -323,6 +335,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _merged(members: DataFrame, wide: DataFrame) -> DataFrame:
+    """``members`` with large groups that share at least half of the smaller one's members as one, under the smallest hub.
+
+    Texts that are much alike share many bands, each with a hub of its own; as one group
+    they are compared once. A pair that shares a band still meets.
+    """
+    large = members.join(wide.select("hub"), "hub", "left_semi").select("hub", "id", "mark")
+    sizes = large.groupBy("hub").agg(F.count("*").alias("size"))
+    other = large.select(F.col("hub").alias("a"), "id", "mark")  # a text is in BANDS groups at most
+    both = large.join(other, ["id", "mark"]).where("a < hub").groupBy("a", F.col("hub").alias("b")).agg(F.count("*").alias("both"))
+    edges = both.join(sizes.withColumnRenamed("hub", "a"), "a").join(sizes.select(F.col("hub").alias("b"), F.col("size").alias("size_b")), "b").where(2 * F.col("both") >= F.least("size", "size_b"))
+    into = connected_components(edges.select("a", "b"))
+    moved = members.join(into.withColumnRenamed("node", "hub"), "hub", "left").select(F.coalesce("component", "hub").alias("hub"), "id", "mark", "n")
+    return checkpointed(moved.distinct())
+
+
 def _block(blocks: str, salt: int = 42):
     return F.pmod(F.xxhash64("id", "mark", F.lit(salt)), F.col(blocks)).cast("int")
 
