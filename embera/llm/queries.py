@@ -111,7 +111,41 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import vector_codes as V
+
+    codes, books = V.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+    digest = F.sha2(F.lit(V.books_text(books)), 256)
+    return V.with_label_errors(codes).select("vec_id", V.code_text().alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint, op11_vector_codes)}
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds as chained table expressions."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""f{r} AS MATERIALIZED (
+  SELECT p.rn, p.pos, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM parts p JOIN b{r} b ON p.pos = b.pos
+), a{r} AS MATERIALIZED (
+  SELECT rn, pos, any_value(v) AS v, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM f{r} GROUP BY rn, pos
+)""")
+        if r < rounds:
+            steps.append(f"""u{r} AS (
+  SELECT pos, entry, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x FROM (SELECT pos, entry, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY pos, entry, i
+), b{r + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, coalesce(u.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT pos, entry, list(x ORDER BY i) AS v FROM u{r} GROUP BY pos, entry) u ON b.pos = u.pos AND b.entry = u.entry
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS v, row_number() OVER (ORDER BY vec_id, embedding) AS rn FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rn, pos, list_transform(v[pos * (len(v) // {parts}) + 1 : (pos + 1) * (len(v) // {parts})], lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS v FROM kept, range({parts}) t(pos)
+), b0 AS MATERIALIZED (SELECT pos, rn - 1 AS entry, v FROM parts WHERE rn <= {entries}), {", ".join(steps)}, coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', a.entry::INT), '' ORDER BY a.pos) AS code, CAST(sum(a.d) AS BIGINT) AS error FROM a{rounds} a JOIN kept k ON a.rn = k.rn GROUP BY k.rn, k.vec_id, k.label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY pos, entry)) FROM b{rounds}) AS codebooks_sha256 FROM coded"""
+
 
 ORACLES: dict[str, str] = {
     "op1_chat_format": r"""
@@ -175,4 +209,5 @@ WITH l AS (
 )
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(epochs * size + least(greatest(CAST(round(target - epochs * source_size) AS BIGINT) - before, 0), size) AS BIGINT) AS taken FROM p""",
+    "op11_vector_codes": _codes_sql(),
 }
