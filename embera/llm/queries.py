@@ -119,7 +119,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_label_errors(codes).select("vec_id", V.code_text().alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint, op11_vector_codes)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_turns, rebuild, trie
+
+    return trie(rebuild(conversation_turns(table(spark, sf_dir, "conversations")))).drop("node")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint, op11_vector_codes, op13_prefix_trie)}
 
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """Lloyd rounds as chained table expressions."""
@@ -210,4 +216,25 @@ WITH l AS (
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
   CAST(epochs * size + least(greatest(CAST(round(target - epochs * source_size) AS BIGINT) - before, 0), size) AS BIGINT) AS taken FROM p""",
     "op11_vector_codes": _codes_sql(),
+    "op13_prefix_trie": r"""
+WITH t AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL
+), c AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, size, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS size FROM t GROUP BY conv_id)
+), r AS (
+  SELECT c.conv_id, t.i AS k, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+  UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.size, 0)) + t.i - c.h AS k, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h LEFT JOIN c b ON b.conv_id = c.base
+), p AS MATERIALIZED (
+  SELECT conv_id, k, length(text) AS chars, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY k) AS path, k = max(k) OVER (PARTITION BY conv_id) AS last FROM r
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM r) FROM c
+), n AS MATERIALIZED (
+  SELECT path, any_value(k) AS depth, min(conv_id) AS low, count(*) AS n, (count(*) - 1) * any_value(chars) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM p GROUP BY path
+), u AS MATERIALIZED (
+  SELECT left(path, length(path) - 32) AS up, count(*) AS children FROM n WHERE depth > 0 GROUP BY 1
+), s AS (
+  SELECT left(n.path, 32 * a) AS path, count(*) FILTER (u.up IS NULL) AS leaves, sum(n.saved) AS saved FROM n LEFT JOIN u ON n.path = u.up, unnest(range(0, n.depth + 1)) x(a) GROUP BY 1
+)
+SELECT n.low AS conv_id, n.depth, m.low AS parent_conv_id, n.n AS n_convs, coalesce(u.children, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN s ON n.path = s.path LEFT JOIN u ON n.path = u.up LEFT JOIN n m ON n.depth > 0 AND m.path = left(n.path, length(n.path) - 32)""",
 }
