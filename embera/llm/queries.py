@@ -119,13 +119,21 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_label_errors(codes).select("vec_id", V.code_text().alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    coded = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), check=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("source_bytes"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import conversation_turns, rebuild, trie
 
     return trie(rebuild(conversation_turns(table(spark, sf_dir, "conversations")))).drop("node")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint, op11_vector_codes, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_byte_bpe, op3_minhash_near_dedup, op4_quality_classifier, op5_secret_scan, op6_warc_fixity, op7_ann_search, op8_line_dedup, op9_source_mix, op10_fingerprint, op11_vector_codes, op12_pieces, op13_prefix_trie)}
 
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """Lloyd rounds as chained table expressions."""
