@@ -1,19 +1,21 @@
 """Quality classification by co-training of two views.
 
 The text view sees what a text is made of: hashed byte trigrams, how concentrated they
-are, kinds of characters, lines, and how often words come again. The metadata view sees
-the page around it and nothing of the text: language, source and number of characters.
-Each view is a logistic regression.
+are, kinds of characters, and how often words come again. The metadata view sees the page
+around it and none of its words: language, source, and the figures that a crawler keeps of
+a page (characters, lines and their lengths, characters a word, bytes a character), each
+as steps. Each view is a logistic regression.
 
 Labelled documents, at most LABELLED of them chosen by hash, are held by the driver; a
-third of them is only used to calibrate. All other documents are the unlabelled pool, and
-all of it takes part: its features are computed once and kept, and in every round each
-view is calibrated, scores the whole pool, hands its surest documents to the other view
-(the cuts come from counts of scores over the pool, in the proportions of the labels; a
-view that isn't sure of any hands none), and both views
-take Newton steps on labelled and handed documents, whose gradients and curvatures are
-summed over partitions. A document keeps the first label that a view gives it. Handed
-documents of a class weigh as much as the labelled ones of it, at most.
+third of each class is only used to calibrate. All other documents are the unlabelled pool,
+and all of it takes part: its features are computed once and kept, and in every round each
+view is calibrated, scores the whole pool, and hands the surest of the documents that it
+hasn't labelled yet to the other view (the cuts come from counts of their scores, in the
+proportions of the labels; a view that isn't sure of any hands none). So each round adds
+documents. Then both views take steps on labelled and handed documents, whose
+gradients and curvatures are summed over partitions. A document keeps the first label that
+a view gives it. Handed documents of a class weigh as much as the labelled ones of it, at
+most.
 
 Both views are then calibrated on the labelled documents held apart, and the calibrated
 log-odds are combined by a last logistic regression on the same documents. A document is
@@ -22,8 +24,9 @@ loses at most LOSS of the good documents held apart. Scoring covers every docume
 pass without a shuffle.
 
 Defined results: a null text counts as empty, and null metadata is a value of its own; an
-unknown number of characters is the text's. With fewer than LEAST labelled documents, or
-without both classes, nothing can be learnt: every document is kept with score 1. Labels
+unknown number of characters is the text's. Without labelled documents of both classes
+there is nothing to learn: every document is kept with score 1. With few labels the penalty
+decides; with fewer than three of a class none is held apart, and nothing is rejected. Labels
 that contradict each other are averaged, half counts as good. Of a labelled doc_id with
 several rows, the one of the smallest feature hash is taken. Extra columns pass through,
 whatever their names (those named like the scores are replaced). An empty table gives an
@@ -45,18 +48,21 @@ from pyspark.sql import functions as F
 from .shared import checkpointed, small_batches
 from .sketch import word_hashes
 
-LABELLED, LEAST, ROUNDS, STEPS, LOSS = 6000, 30, 3, 2, 0.002
-TRIGRAMS, LANGS, SOURCES, LENGTHS = 256, 16, 64, 24
+LABELLED, ROUNDS, STEPS, FIRST, LOSS = 6000, 3, 3, 40, 0.002
+TRIGRAMS = 256
+#: Columns of the metadata view: languages, sources, characters, lines, mean, spread and longest of their lengths, characters a word, bytes a character.
+PAGE = (16, 64, 64, 40, 48, 32, 40, 64, 24)
 #: Trigrams that a text is taken to have besides its own, so that a short one isn't extreme; kinds of bytes.
 PRIOR, _KINDS = 64, 6
-TEXT, META = TRIGRAMS + 3 + 4 + _KINDS + 6, LANGS + SOURCES + LENGTHS
+TEXT, META = TRIGRAMS + 3 + 4 + _KINDS + 2, sum(PAGE)
+_FIRST = np.r_[0, np.cumsum(PAGE)[:-1]]
 #: Calibrated log-odds, beyond those of the classes, from which on a view is sure; bins of a log-odd in the counts of scores; how strongly weights are held back.
 SURE, BINS, PENALTY = 2.0, 50, 2e-3
 _SPAN = 30
 
 
 def text_view(text: str | None) -> np.ndarray:
-    """Square roots of trigram shares, how concentrated they are, repetition of words, kinds of bytes, lines."""
+    """Square roots of trigram shares, how concentrated they are, repetition of words, kinds of bytes."""
     data = (text or "").encode("utf-8", "surrogatepass")
     b = np.frombuffer(data, dtype=np.uint8)
     out = np.zeros(TEXT, dtype=np.float32)
@@ -69,8 +75,7 @@ def text_view(text: str | None) -> np.ndarray:
     out[TRIGRAMS + 3 : TRIGRAMS + 7] = word_repetition(data)
     kinds = np.bincount(_CLASS[b], minlength=_KINDS) / max(1, len(b))
     out[TRIGRAMS + 7 : TRIGRAMS + 7 + _KINDS] = np.sqrt(kinds) * 3
-    lines = np.diff(np.r_[-1, np.flatnonzero(b == 10), len(b)]) - 1
-    out[-6:] = np.log1p(len(lines)) / 3, np.log1p(lines.mean()) / 4, np.log1p(lines.max()) / 5, lines.std() / (1 + lines.mean()), kinds[5] / (kinds[0] + 0.01) / 3, float(len(b) < 3)
+    out[-2:] = kinds[5] / (kinds[0] + 0.01) / 3, float(len(b) < 3)
     return out
 
 
@@ -87,21 +92,36 @@ def word_repetition(data: bytes) -> tuple[float, float, float, float]:
     return same, same**0.5, 1 - pairs / (n - 1), (most - 1) / n
 
 
-def meta_places(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, int]:
-    """Which of the metadata view's columns are 1: of the language, the source and the length."""
-    number = lambda value, size: 0 if value is None else 1 + zlib.crc32(value.encode("utf-8", "surrogatepass")) % (size - 1)
-    length = 0 if n_chars is None else 1 + min(LENGTHS - 2, int(np.log2(max(0, n_chars) + 1) * 1.5))
-    return number(lang, LANGS), LANGS + number(source, SOURCES), LANGS + SOURCES + length
+def meta_places(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Which of the metadata view's columns are 1: one for each figure of the page."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    b = np.frombuffer(data, dtype=np.uint8)
+    chars = len(text or "") if n_chars is None else max(0, n_chars)
+    lines = np.diff(np.r_[-1, np.flatnonzero(b == 10), len(b)]) - 1
+    white = _CLASS[b] == 1
+    words = int((~white & np.r_[True, white[:-1]]).sum()) if len(b) else 0
+    hashed = [0 if v is None else 1 + zlib.crc32(v.encode("utf-8", "surrogatepass")) % (size - 1) for v, size in zip((lang, source), PAGE, strict=False)]
+    steps = np.log2(np.array([chars, len(lines), lines.mean(), lines.std(), lines.max()]) + 1) * (3, 2, 3, 2, 2)
+    shares = 4 * chars / max(1, words), 8 * (len(b) / max(1, chars) - 1)
+    return _FIRST + np.minimum(np.maximum(np.r_[hashed, steps, shares], 0), np.array(PAGE) - 1).astype(np.int64)
 
 
 def meta_view(places: np.ndarray) -> np.ndarray:
     """Rows of places as rows of zeros and ones."""
-    at = np.asarray(places, dtype=np.int64).reshape(-1, 3)
+    at = np.asarray(places, dtype=np.int64).reshape(-1, len(PAGE))
     out = np.zeros((len(at), META), dtype=np.float32)
     np.put_along_axis(out, at, 1, axis=1)
     return out
 
 
+def held_apart(y: np.ndarray) -> np.ndarray:
+    """Every third labelled document of each class."""
+    out = np.zeros(len(y), dtype=bool)
+    for c in (0, 1):
+        out[np.flatnonzero((y > 0.5) == c)[2::3]] = True
+    return out
+
+
 #: Byte classes: 0 letters, 1 white space, 2 digits, 3 sentence marks, 4 other marks, 5 upper case.
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 1
@@ -116,14 +136,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Logistic:
-    """Logistic regression on standardised columns, fitted by Newton steps on sums."""
+    """Logistic regression on standardised columns, fitted by steps on sums.
+
+    A step goes to the lowest point of a parabola that lies on the loss at the present weights
+    and nowhere under it (Jaakkola and Jordan's bound), so that no step makes the loss larger,
+    also where labels contradict a view that was sure.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean, self.scale = x.mean(axis=0).astype(np.float64), x.std(axis=0).astype(np.float64) + 0.05
         self.x, self.y = x, y
         self.each = np.where(y > 0.5, 0.5 * len(y) / max(1, (y > 0.5).sum()), 0.5 * len(y) / max(1, (y <= 0.5).sum()))
         self.w = np.zeros(x.shape[1] + 1)
-        for _ in range(12):
+        for _ in range(FIRST):
             self.step([])
 
     def __getstate__(self) -> dict:
@@ -133,21 +158,21 @@ class Logistic:
         return np.c_[(x - self.mean) / self.scale, np.ones(len(x))].astype(np.float32)
 
     def sums(self, x: np.ndarray, y: np.ndarray, each: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and curvature of the loss, summed over rows."""
+        """Gradient of the loss and curvature of its bound, summed over rows."""
         z = self.inputs(x)
-        p = _sigmoid(z @ self.w)
-        return z.T.astype(np.float64) @ (each * (p - y)), (z.T @ (z * (each * p * (1 - p)).astype(np.float32)[:, None])).astype(np.float64)
+        odds = np.maximum(np.abs(z @ self.w), 1e-6)
+        curve = each * np.tanh(odds / 2) / (2 * odds)
+        return z.T.astype(np.float64) @ (each * (_sigmoid(z @ self.w) - y)), (z.T @ (z * curve.astype(np.float32)[:, None])).astype(np.float64)
 
     def step(self, more: list[tuple[np.ndarray, np.ndarray, float]]) -> None:
-        """A Newton step on the labelled rows and on ``more``: (gradient, curvature, weight) of other rows."""
+        """A step on the labelled rows and on ``more``: (gradient, curvature, weight) of other rows."""
         grad, curve = self.sums(self.x, self.y, self.each)
         total = float(len(self.y))
         for g, c, (weight, count) in more:
             grad, curve, total = grad + weight * g, curve + weight * c, total + weight * count
         hold = np.full(len(self.w), PENALTY * total)
         hold[-1] = 1e-6
-        move = np.linalg.solve(curve + np.diag(hold + 1e-3), grad + hold * self.w)
-        self.w -= move * min(1.0, 5 / max(1e-9, float(np.abs(move).max())))  # steps stay short where classes part cleanly
+        self.w -= np.linalg.solve(curve + np.diag(hold + 1e-3), grad + hold * self.w)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return self.inputs(x) @ self.w
@@ -214,9 +239,12 @@ class CoTrained:
 
     def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool, rounds: int = ROUNDS):
         """``views``: rows of labelled documents by view; ``pool`` sums over the unlabelled ones."""
-        held = np.arange(len(y)) % 3 == 0
+        held = held_apart(y)
         models = [Logistic(v[~held], y[~held]) for v in views]
         known, share = Rounds(models), float(y[~held].mean())
+        judged = len(set(y[held] > 0.5)) == 2
+        if not judged:  # too few to hold any of both classes apart: calibrated on all of them, and nothing is rejected
+            held = np.ones(len(y), dtype=bool)
         #: By round, how many documents each view has labelled bad and good so far.
         self.handed: list[list[list[int]]] = []
         base = np.log(max(0.5, (y[held] > 0.5).sum()) / max(0.5, (y[held] <= 0.5).sum()))
@@ -226,7 +254,7 @@ class CoTrained:
                 slope, shift = _platt(m.odds(v[held]), y[held])
                 weights.append(m.w * slope)
                 weights[-1][-1] += shift - base
-            counts = pool(lambda x: [counted(known.odds(v, weights[v], x[v])) for v in (0, 1)])  # noqa: B023
+            counts = pool(lambda x: _counts(x, known, weights))  # noqa: B023
             if counts is None:
                 break
             known.done.append((weights, [cuts_of(c, share, rounds) for c in counts]))
@@ -245,7 +273,7 @@ class CoTrained:
         self.both = Logistic(calibrated, y[held])
         self.last = _platt(self.both.odds(calibrated), y[held])
         good = np.sort(_sigmoid(self.last[0] * self.both.odds(calibrated) + self.last[1])[y[held] > 0.5])
-        self.cut = float(min(0.5, good[int(LOSS * len(good))] * 0.999)) if len(good) else 0.0
+        self.cut = float(min(0.5, good[int(LOSS * len(good))] * 0.999)) if judged else 0.0
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: text view, metadata view, both."""
@@ -253,6 +281,12 @@ class CoTrained:
         return _sigmoid(c[:, 0]), _sigmoid(c[:, 1]), _sigmoid(self.last[0] * self.both.odds(c) + self.last[1])
 
 
+def _counts(views: tuple[np.ndarray, np.ndarray], known: Rounds, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """Counts of each view's log-odds over the rows that this view hasn't labelled."""
+    labels = known.labels(views)
+    return [counted(known.odds(v, weights[v], views[v][labels[v] < 0])) for v in (0, 1)]
+
+
 def _handed(views: tuple[np.ndarray, np.ndarray], known: Rounds, models: list[Logistic]) -> list[np.ndarray]:
     """For each view and class: number, gradient and curvature of the rows that the other view has labelled so."""
     out: list[np.ndarray] = []
@@ -271,8 +305,8 @@ def _columns(docs: DataFrame) -> list[Column]:
     return [has("text", "string"), has("lang", "string"), has("source", "string"), F.coalesce(has("n_chars", "long"), F.length(has("text", "string")).cast("long"))]
 
 
-def _places(langs, sources, lengths) -> np.ndarray:
-    return np.array([meta_places(*x) for x in zip(langs, sources, lengths, strict=True)], dtype=np.int64).reshape(-1, 3)
+def _places(texts, langs, sources, lengths) -> np.ndarray:
+    return np.array([meta_places(*x) for x in zip(texts, langs, sources, lengths, strict=True)], dtype=np.int64).reshape(-1, len(PAGE))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +315,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)
             text = [text_view(t.as_py()).astype("<f2").tobytes() for t in part.column(2)]
-            meta = _places(*(part.column(c).to_pylist() for c in (3, 4, 5))).astype("<i2")
+            meta = _places((t.as_py() for t in part.column(2)), *(part.column(c).to_pylist() for c in (3, 4, 5))).astype("<i2")
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary())], names=["id", "y", "text", "meta"])
 
 
@@ -359,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> CoTrained
     found = featured.where("y is not null").groupBy("id", "y").agg(F.min_by(F.struct("text", "meta"), F.xxhash64("text", "meta")).alias("f")).collect()
     got = sorted(found, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))[:LABELLED]
     y = np.array([r["y"] for r in got])
-    if len(y) < LEAST or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     return CoTrained(_rows([bytes(r["f"]["text"]) for r in got], [bytes(r["f"]["meta"]) for r in got]), y, _pool(featured.where("y is null")))
 
@@ -378,7 +412,7 @@ def score_documents(docs: DataFrame, model: CoTrained | None) -> DataFrame:
             for i in range(0, len(texts), 2000):
                 at = slice(i, i + 2000)
                 text = np.stack([text_view(t) for t in texts.iloc[at]])
-                meta = meta_view(_places(langs.iloc[at], sources.iloc[at], (None if pd.isna(x) else int(x) for x in lengths.iloc[at])))
+                meta = meta_view(_places(texts.iloc[at], langs.iloc[at], sources.iloc[at], (None if pd.isna(x) else int(x) for x in lengths.iloc[at])))
                 out.append(pd.DataFrame(dict(zip("tmq", shared.value.score(text, meta), strict=True))))
             yield pd.concat(out[1:] or out, ignore_index=True)
 

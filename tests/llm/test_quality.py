@@ -19,8 +19,13 @@ def test_held_out_accuracy(spark):
     good = got["quality"] == 1
     assert got.loc[good, "keep"].mean() >= 0.99  # clean documents stay
     assert got.loc[~good, "keep"].mean() <= 0.1
-    for view, least in (("quality_score", 0.97), ("text_score", 0.97), ("meta_score", 0.8)):  # sources and languages tell little here
+    for view, least in (("quality_score", 0.97), ("text_score", 0.97), ("meta_score", 0.9)):
         assert ((got[view] >= 0.5) == good).mean() >= least, view
+    # both views hand over documents, and more of them in every round
+    totals = [[sum(view) for view in handed] for handed in model.handed]
+    print("handed", model.handed)
+    assert len(totals) == Q.ROUNDS and all(t > 0 for t in totals[0])
+    assert all(b > a for x, y in zip(totals, totals[1:]) for a, b in zip(x, y, strict=True))
 
 
 def test_repetition_and_short_texts():
@@ -37,6 +42,8 @@ def test_without_labels_and_bad_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", *(f"1 as `{n}`" for n in names))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Q.fit(docs, none) is None
+    two = spark.createDataFrame([(2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [r["keep"] for r in Q.score_documents(docs, Q.fit(docs, two)).collect()] == [True] * 5  # no good document held apart
     assert [r["keep"] for r in Q.score_documents(docs, None).collect()] == [True] * 5
     rng = np.random.default_rng(0)
     many = [(i, ("!!! ### " * int(rng.integers(3, 30))) if i % 2 else "a plain text of words " * int(rng.integers(2, 20)), "en", "s") for i in range(200)]
@@ -68,7 +75,7 @@ def sites(n, seed):
 def plain(views, y, pool, rounds):
     """Co-training by sorted lists and sums over single rows."""
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    held = np.arange(len(y)) % 3 == 0
+    held = Q.held_apart(y)
     train = [v[~held].astype(float) for v in views]
     t, fixed = y[~held], [(v.mean(axis=0), v.std(axis=0) + 0.05) for v in train]
     z = lambda v, x: np.c_[(x - fixed[v][0]) / fixed[v][1], np.ones(len(x))]
@@ -78,19 +85,20 @@ def plain(views, y, pool, rounds):
         p = sigmoid(x @ w)
         hold = np.full(len(w), Q.PENALTY * weight.sum())
         hold[-1] = 1e-6
-        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(hold + 1e-3), x.T @ (weight * (p - label)) + hold * w)
-        return w - move * min(1, 5 / np.abs(move).max())
+        odds = np.maximum(np.abs(x @ w), 1e-6)
+        bound = np.tanh(odds / 2) / (2 * odds)
+        return w - np.linalg.solve((x * (weight * bound)[:, None]).T @ x + np.diag(hold + 1e-3), x.T @ (weight * (p - label)) + hold * w)
 
     w = [np.zeros(v.shape[1] + 1) for v in views]
     for v in (0, 1):
-        for _ in range(12):
+        for _ in range(Q.FIRST):
             w[v] = step(v, w[v], z(v, train[v]), t, each)
     given, base = [{}, {}], np.log((y[held] == 1).sum() / (y[held] == 0).sum())
     for _ in range(rounds):
         for v in (0, 1):
             a, b = Q._platt(z(v, views[v][held]) @ w[v], y[held])
             odds = np.clip(a * (z(v, pool[v]) @ w[v]) + b - base, -30, 30)
-            bins = sorted(np.floor((odds + 30) * Q.BINS))
+            bins = sorted(np.floor((o + 30) * Q.BINS) for i, o in enumerate(odds) if i not in given[v])
             quota = len(bins) / (4 * rounds)
             low = bins[int(np.ceil(quota * (1 - t.mean()))) - 1]
             high = bins[::-1][int(np.ceil(quota * t.mean())) - 1]
@@ -120,7 +128,7 @@ def test_rounds_move_labels_and_change_the_views(spark):
     assert all(sum(b) >= sum(a) for x, y in zip(model.handed, model.handed[1:]) for a, b in zip(x, y)) and sum(map(sum, model.handed[-1])) > sum(map(sum, model.handed[0]))
     order = sorted(rows[:300], key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     half = lambda x: x.astype("<f2").astype(np.float32)
-    view = lambda some: (half(np.stack([Q.text_view(r[1]) for r in some])), Q.meta_view(np.array([Q.meta_places(r[2], r[3], r[4]) for r in some])))
+    view = lambda some: (half(np.stack([Q.text_view(r[1]) for r in some])), Q.meta_view(np.array([Q.meta_places(r[1], r[2], r[3], r[4]) for r in some])))
     own, pool, y = view(order), view(rows[300:]), np.array([float(not r[5]) for r in order])
     w, handed = plain(own, y, pool, Q.ROUNDS)
     assert model.handed[-1] == handed
@@ -132,7 +140,7 @@ def test_rounds_move_labels_and_change_the_views(spark):
     rate = lambda m: float((m.score(*view(new))[0] < 0.5).mean())
     assert not alone.handed and rate(model) > 0.9 and rate(model) >= rate(alone)
     taught = lambda m: float(m.models[0].odds(view(new)[0]).mean())
-    assert taught(model) < taught(alone) - 1
+    assert taught(model) < taught(alone) - 0.1  # steps follow a bound of the loss, so they don't overshoot
 
 
 def test_cuts():
