@@ -20,8 +20,8 @@ most.
 Both views are then calibrated on the labelled documents held apart, and the calibrated
 log-odds are combined by a last logistic regression on the same documents. A document is
 rejected if its combined probability is under the cut: the largest cut up to 0.5 that
-loses at most LOSS of the good documents held apart. Scoring covers every document in one
-pass without a shuffle.
+loses at most LOSS of the n good documents held apart, with log-odds lowered by DOUBT / n, so
+that little evidence rejects little. Scoring covers every document in one pass without a shuffle.
 
 Defined results: a null text counts as empty, and null metadata is a value of its own; an
 unknown number of characters is the text's. Without labelled documents of both classes
@@ -51,13 +51,14 @@ from .sketch import word_hashes
 LABELLED, ROUNDS, STEPS, FIRST, LOSS = 6000, 3, 3, 40, 0.002
 TRIGRAMS = 256
 #: Columns of the metadata view: languages, sources, characters, lines, mean, spread and longest of their lengths, characters a word, bytes a character.
-PAGE = (16, 64, 64, 40, 48, 32, 40, 64, 24)
+PAGE = (16, 48, 40, 24, 32, 20, 24, 40, 12)
 #: Trigrams that a text is taken to have besides its own, so that a short one isn't extreme; kinds of bytes.
 PRIOR, _KINDS = 64, 6
 TEXT, META = TRIGRAMS + 3 + 4 + _KINDS + 2, sum(PAGE)
 _FIRST = np.r_[0, np.cumsum(PAGE)[:-1]]
-#: Calibrated log-odds, beyond those of the classes, from which on a view is sure; bins of a log-odd in the counts of scores; how strongly weights are held back.
-SURE, BINS, PENALTY = 2.0, 50, 2e-3
+#: Calibrated log-odds, beyond those of the classes, from which on a view is sure; bins of a log-odd in the counts of scores; how strongly weights are held back;
+#: by how much the cut's log-odds are lowered if one good document is held apart, by 1 / n of it if n are.
+SURE, BINS, PENALTY, DOUBT = 2.0, 50, 2e-3, 30
 _SPAN = 30
 
 
@@ -101,8 +102,8 @@ def meta_places(text: str | None, lang: str | None, source: str | None, n_chars:
     white = _CLASS[b] == 1
     words = int((~white & np.r_[True, white[:-1]]).sum()) if len(b) else 0
     hashed = [0 if v is None else 1 + zlib.crc32(v.encode("utf-8", "surrogatepass")) % (size - 1) for v, size in zip((lang, source), PAGE, strict=False)]
-    steps = np.log2(np.array([chars, len(lines), lines.mean(), lines.std(), lines.max()]) + 1) * (3, 2, 3, 2, 2)
-    shares = 4 * chars / max(1, words), 8 * (len(b) / max(1, chars) - 1)
+    steps = np.log2(np.array([chars, len(lines), lines.mean(), lines.std(), lines.max()]) + 1) * (2, 1.5, 2, 1.5, 1.5)
+    shares = 3 * chars / max(1, words), 6 * (len(b) / max(1, chars) - 1)
     return _FIRST + np.minimum(np.maximum(np.r_[hashed, steps, shares], 0), np.array(PAGE) - 1).astype(np.int64)
 
 
@@ -264,7 +265,7 @@ class CoTrained:
                 for v in (0, 1):  # each view learns from the other
                     mine = models[v]
                     most = [(mine.each * (mine.y == c)).sum() for c in (0, 1)]
-                    mine.step([(sums[6 * v + 3 * c + 1], sums[6 * v + 3 * c + 2].reshape(len(mine.w), -1), (min(1.0, most[c] / max(1, many[v][c])), many[v][c])) for c in (0, 1)])
+                    mine.step([(sums[6 * v + 3 * c + 1], _square(sums[6 * v + 3 * c + 2], len(mine.w)), (min(1.0, most[c] / max(1, many[v][c])), many[v][c])) for c in (0, 1)])
             self.handed.append([many[1], many[0]])
         self.models = models
         odds = [m.odds(v[held]) for m, v in zip(self.models, views, strict=True)]
@@ -273,7 +274,11 @@ class CoTrained:
         self.both = Logistic(calibrated, y[held])
         self.last = _platt(self.both.odds(calibrated), y[held])
         good = np.sort(_sigmoid(self.last[0] * self.both.odds(calibrated) + self.last[1])[y[held] > 0.5])
-        self.cut = float(min(0.5, good[int(LOSS * len(good))] * 0.999)) if judged else 0.0
+        # few good documents held apart say little of how low others may score
+        self.cut = 0.0
+        if judged:
+            cut = min(0.5, float(good[int(LOSS * len(good))]) * 0.999)
+            self.cut = float(_sigmoid(np.log(cut / (1 - cut)) - DOUBT / len(good)))
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: text view, metadata view, both."""
@@ -295,10 +300,17 @@ def _handed(views: tuple[np.ndarray, np.ndarray], known: Rounds, models: list[Lo
         for c in (0, 1):
             x = views[v][labels[1 - v] == c]
             g, h = models[v].sums(x, np.full(len(x), float(c)))
-            out += [np.array([float(len(x))]), g, h.ravel()]
+            out += [np.array([float(len(x))]), g, h[np.triu_indices(len(h))]]  # it is symmetric
     return out
 
 
+def _square(half: np.ndarray, n: int) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    out = np.zeros((n, n))
+    out[np.triu_indices(n)] = half
+    return out + np.triu(out, 1).T
+
+
 def _columns(docs: DataFrame) -> list[Column]:
     """text, lang, source and n_chars, null where there is none."""
     has = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
