@@ -9,9 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Windows of time that one slice spans at most, and rows that it should hold about.
-SLICE, SLICE_ROWS = 1000, 50_000
+from ..session import checkpointed
+
+#: Rows after which a slice of time ends with the window in which it is, slices whose maps one task composes, and slices whose entries are broadcast at most.
+SLICE_ROWS, TOGETHER, FEW = 50_000, 64, 200_000
+#: Windows of time that are counted together before single ones.
+_BLOCK = 4096
 
 
 class _Walk:
@@ -125,36 +130,58 @@ def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame
         yield int(held[0]["slice"].iloc[0]), pd.concat(held)
 
 
-def _maps(window_us: int, width: int):
+def _maps(window_us: int, starts: np.ndarray):
     """(slice, exits): one exit if the place of entry doesn't matter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, rows in _sliced(batches):
-            s = _Slice(rows, (n + 1) * width, window_us)
-            if s.own:
-                near = int(np.searchsorted(s.rows["us"].to_numpy()[: s.own], n * width + window_us))
-                exits = s.exits(near)
-                yield pd.DataFrame({"slice": [n], "exits": [exits[:1] if len(set(exits)) == 1 else exits]})
+            s = _Slice(rows, int(starts[n + 1]), window_us)
+            near = int(np.searchsorted(s.rows["us"].to_numpy()[: s.own], starts[n] + window_us))
+            exits = s.exits(near)
+            yield pd.DataFrame({"slice": [n], "exits": [exits[:1] if len(set(exits)) == 1 else exits]})
 
     return run
 
 
-def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(slice, entry) of slices in order."""
-    before, place = None, 0
-    for pdf in batches:
-        entries = []
-        for n, exits in zip(pdf["slice"].tolist(), pdf["exits"].tolist(), strict=True):
-            entry = place if before == n - 1 else 0
-            entries.append(entry)
-            before, place = n, int(exits[entry if len(exits) > 1 else 0])
-        yield pd.DataFrame({"slice": pdf["slice"], "entry": pd.Series(entries, dtype="int64")})
+def _through(exits: np.ndarray, entry):
+    """Where a map leads from an entry, or from many."""
+    return exits[entry] if len(exits) > 1 else (np.full(len(entry), exits[0]) if isinstance(entry, np.ndarray) else exits[0])
+
+
+def _composed(key: tuple, maps: pd.DataFrame) -> pd.DataFrame:
+    """The map of several slices in a row, from the first one's entries to the last one's exits."""
+    both = None
+    for exits in maps.sort_values("slice")["exits"]:
+        both = np.asarray(exits) if both is None else _through(np.asarray(exits), both)
+        if len(both) > 1 and (both == both[0]).all():
+            both = both[:1]
+    return pd.DataFrame({"slice": [key[0]], "exits": [both.tolist()]})
+
+
+def _entered(key: tuple, maps: pd.DataFrame) -> pd.DataFrame:
+    """(slice, entry) of slices in a row, of which the first one's entry is known."""
+    maps = maps.sort_values("slice")
+    place, entries = int(maps["entry"].iloc[0]), []
+    for exits in maps["exits"]:
+        entries.append(place)
+        place = int(_through(np.asarray(exits), place))
+    return pd.DataFrame({"slice": maps["slice"], "entry": entries})
 
 
-def _found(window_us: int, width: int):
+def _entries(maps: DataFrame, count: int) -> DataFrame:
+    """(slice, entry): maps are composed in groups, these again, and entries are handed down the same way."""
+    together = F.floor(F.col("slice") / TOGETHER).alias("group")
+    if count <= TOGETHER:
+        return maps.withColumn("entry", F.lit(0)).groupBy(together).applyInPandas(_entered, "slice long, entry long")
+    groups = checkpointed(maps.groupBy(together).applyInPandas(_composed, "slice long, exits array<long>"))
+    above = _entries(groups, -(-count // TOGETHER)).withColumnRenamed("slice", "group")
+    return maps.withColumn("group", together).join(above, "group").groupBy("group").applyInPandas(_entered, "slice long, entry long")
+
+
+def _found(window_us: int, starts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for n, rows in _sliced(batches):
-            s = _Slice(rows, (n + 1) * width, window_us)
+            s = _Slice(rows, int(starts[n + 1]), window_us)
             out = []
             for at in s.walk(int(rows["entry"].max())):
                 if at >= 0:
@@ -166,6 +193,22 @@ def _found(window_us: int, width: int):
     return run
 
 
+def _starts(rows: DataFrame, window_us: int) -> np.ndarray:
+    """Where slices begin, and after the last one the end of time.
+
+    Windows are counted, blocks of them first; a slice ends with the window in which its
+    SLICE_ROWS are full. A number for each slice comes to the driver.
+    """
+    cells = rows.groupBy(F.floor(F.col("us") / F.lit(window_us)).alias("cell")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("cell") / _BLOCK))
+    sums = cells.groupBy("block").agg(F.sum("n").alias("b"))
+    before = lambda of, w: F.coalesce(F.sum(of).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.withColumn("past", before("b", Window.orderBy("block"))).drop("b")
+    placed = cells.join(blocks, "block").withColumn("past", F.col("past") + before("n", Window.partitionBy("block").orderBy("cell")))
+    first = placed.groupBy(F.floor(F.col("past") / SLICE_ROWS)).agg(F.min("cell").alias("cell")).orderBy("cell")
+    starts = [r["cell"] * window_us for r in first.collect()]
+    return np.array([*starts, np.iinfo(np.int64).max], dtype=np.int64)
+
+
 CONFLICT = "first_id long, ids array<long>, file_paths array<string>, classes array<string>, window_start long, window_end long"
 
 
@@ -173,25 +216,34 @@ def timestamp_conflicts(df: DataFrame, window_minutes: float, id_col: str = "id"
     """One row per conflict, times in microseconds; none if the window isn't positive.
 
     Anchors follow each other, but a slice of time depends on what came before only by the
-    place at which the walk enters it, which lies in its first window. So slices tell first
-    where they are left for each such place, then these places are chained (a row per slice,
-    and nearly always one place), and then all slices give their conflicts on their own.
+    place at which the walk enters it, which lies in its first window. So slices, of about
+    equally many rows, tell first where they are left for each such place; these maps are
+    composed, and then all slices give their conflicts on their own.
     """
     window_us = round(window_minutes * 60_000_000)
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(class_col).cast("string"), F.lit("")).alias("class"), F.unix_micros(F.col(time_col).cast("timestamp")).alias("us")).where("us is not null")
-    seen = rows.agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")).first() if window_us > 0 else None
-    if not seen or not seen["n"]:
+    if window_us <= 0:
         return spark.createDataFrame([], CONFLICT)
-    width = min(SLICE * window_us, max(2 * window_us, (seen["hi"] - seen["lo"]) * SLICE_ROWS // seen["n"]))
-    at = F.floor(F.col("us") / F.lit(width))
-    # rows in the first window of a slice stand behind the slice before, too
-    slices = F.when(F.col("us") - at * width < window_us, F.array(at, at - 1)).otherwise(F.array(at))
-    cut = rows.withColumn("slice", F.explode(slices)).repartition("slice").sortWithinPartitions("slice")
-    maps = cut.mapInPandas(_maps(window_us, width), "slice long, exits array<long>")
-    entries = maps.repartition(1).sortWithinPartitions("slice").mapInPandas(_chained, "slice long, entry long")
-    placed = cut.join(entries, "slice").repartition("slice").sortWithinPartitions("slice")
-    return placed.mapInPandas(_found(window_us, width), CONFLICT)
+    starts = _starts(rows, window_us)
+    count = len(starts) - 1
+    if count < 2:
+        one = rows.select(F.lit(0).alias("slice"), "id", "path", "class", "us", F.lit(0).alias("entry"))
+        return one.repartition("slice").mapInPandas(_found(window_us, starts), CONFLICT) if count else spark.createDataFrame([], CONFLICT)
+
+    def slices(us: pd.Series) -> pd.Series:
+        at = np.searchsorted(starts, us.to_numpy(), side="right") - 1
+        # rows in the first window of a slice stand behind the slice before, too
+        return pd.Series([[n, n - 1] if twice else [n] for n, twice in zip(at.tolist(), (us.to_numpy() - starts[at] < window_us) & (at > 0), strict=True)], dtype=object)
+
+    cut = rows.withColumn("slice", F.explode(F.pandas_udf(slices, "array<long>")("us"))).repartition("slice").sortWithinPartitions("slice")
+    cut = checkpointed(cut.select("slice", "id", "path", "class", "us"))
+    maps = checkpointed(cut.select("slice", "id", "class", "us").mapInPandas(_maps(window_us, starts), "slice long, exits array<long>"))
+    entries = _entries(maps, count)
+    if count <= FEW:
+        entries = F.broadcast(entries)
+    placed = cut.join(entries, "slice") if count <= FEW else cut.join(entries, "slice").repartition("slice").sortWithinPartitions("slice")
+    return placed.mapInPandas(_found(window_us, starts), CONFLICT)
 
 
 def conflict_members(conflicts: DataFrame) -> DataFrame:

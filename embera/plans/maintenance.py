@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import COMIC_ARCHIVES, base_file_path, directory, file_name, has_extension, page_of_key, root
 from ..operators.search import keep_first
 from ..schemas import TABLES
+from ..session import checkpointed
+from ..sources.directories import GONE, connected_roots, file_states
 from .store import CacheStore
 
 
@@ -52,29 +52,23 @@ def missing_files(keys: DataFrame, listing: DataFrame, offline_roots: Iterable[s
     return named.join(there, ["d", "n"], "left_anti").select("base_path")
 
 
-def directory_listing(keys: DataFrame) -> DataFrame:
-    """(file_path) of what is in the keys' directories, listed on the executors, once per directory."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for d in pdf["d"]:
-                try:
-                    found += [f"{d}/{e.name}" for e in os.scandir(d or "/") if e.is_file()]
-                except OSError:
-                    pass  # a directory that is gone holds nothing
-            yield pd.DataFrame({"file_path": pd.Series(found, dtype=object)})
-
-    return keys.select(directory(F.col("base_path")).alias("d")).distinct().mapInPandas(run, "file_path string")
-
-
 def prune_missing(store: CacheStore, model: str | None = None, offline_roots: Iterable[str] = (), listing: DataFrame | None = None) -> DataFrame:
-    """Deletes the rows of files that are gone, in one commit; returns the missing base paths."""
+    """Deletes the rows of files that are gone, in one commit; returns the missing base paths.
+
+    What can't be looked at stays: files on a drive or mount that isn't connected, on a file
+    system that isn't known here, or behind missing rights. Roots are looked at with each
+    directory, and those of the missing files once more before anything is deleted. A
+    ``listing`` of existing directories may stand for the file system, as in ``missing_files``.
+    """
     keys = all_keys(store, model)
-    missing = missing_files(keys, directory_listing(keys) if listing is None else listing, offline_roots).cache()
-    doomed = {t: store.view(t, model).withColumn("base_path", base_file_path(F.col(key))).join(missing, "base_path", "left_semi").select("model_name", key) for t, (_, key) in TABLES.items()}
+    if listing is None:
+        offline = [r.lower() for r in offline_roots]
+        gone = file_states(keys).where(F.col("state") == GONE).where(~F.lower(root(F.col("base_path"))).isin(offline)).select("base_path")
+        missing = checkpointed(connected_roots(gone))
+    else:
+        missing = checkpointed(missing_files(keys, listing, offline_roots))
     if not missing.isEmpty():
-        store.delete(doomed)
+        store.delete({t: store.view(t, model).withColumn("base_path", base_file_path(F.col(key))).join(missing, "base_path", "left_semi").select("model_name", key) for t, (_, key) in TABLES.items()})
     return missing
 
 

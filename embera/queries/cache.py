@@ -12,6 +12,7 @@ from ..operators.search import in_input_order, keep_first
 from ..plans.encoding import complete_archives
 from ..plans.maintenance import migrated, missing_files
 from ..sources.containers import ordered_entries
+from ..sources.directories import file_states
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -109,6 +110,16 @@ def prune_anti_join(spark, d):
     return missing_files(keys, p.where(F.pmod("page_id", F.lit(7)) != 3).select(F.col("url").alias("file_path")), offline)
 
 
+def prune_states(spark, d):
+    """Every order names a file: a table of the folder, one that isn't beside it, one in a folder that isn't
+    there, and three that can't be looked at; the directories are listed for real."""
+    k = F.col("o_orderkey").cast("string")
+    kind = F.pmod("o_orderkey", F.lit(6)).cast("int")
+    names = F.array(F.lit(f"{d}/orders.parquet"), F.concat(F.lit(f"{d}/gone"), k, F.lit(".jpg")), F.concat(F.lit(f"{d}/nodir"), F.pmod("o_orderkey", F.lit(97)).cast("string"), F.lit("/"), k), F.concat(F.lit("J:\\pics\\"), k), F.concat(F.lit("none://bucket/"), k), F.concat(F.lit("loose"), k))
+    keys = _t(spark, d, "orders").select(kind.alias("kind"), F.get(names, kind).alias("base_path")).distinct()
+    return keys.join(file_states(keys), "base_path").groupBy("kind", "state").agg(F.count("*").alias("n"))
+
+
 def root_histogram(spark, d):
     return routing.root_histogram(_t(spark, d, "pages").withColumn("root", root(F.col("url"))), "root")
 
@@ -126,7 +137,7 @@ def page_suffix(spark, d):
     return c.select("conv_id", "turn", base_file_path(key).alias("base_path"), page_of_key(key).alias("page"))
 
 
-_NAMES = (cache_probe_status, cache_probe_semi, cache_hit_rate, cache_info, cache_diagnostics, upsert_latest, input_order, archive_complete_pack, migration_pack, prune_anti_join, root_histogram, page_order, page_suffix)
+_NAMES = (cache_probe_status, cache_probe_semi, cache_hit_rate, cache_info, cache_diagnostics, upsert_latest, input_order, archive_complete_pack, migration_pack, prune_anti_join, prune_states, root_histogram, page_order, page_suffix)
 QUERIES = {f.__name__: f for f in _NAMES} | {f"cache_probe_{h}": _variant(h) for h in ("broadcast", "merge", "shuffle_hash")}
 
 _P = """WITH c AS (SELECT 't/p' || o_orderkey || '.jpg' AS path, CASE WHEN o_orderkey % 20 = 15 THEN '2020-01-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS m, 100000 + o_orderkey % 40000 AS s FROM orders WHERE o_orderkey % 100 <> 50),
@@ -149,6 +160,7 @@ SELECT count(*) AS total, count(*) FILTER (i = 0) AS files, count(*) FILTER (i =
     "prune_anti_join": f"""WITH o AS (SELECT {_ROOT} AS r FROM pages ORDER BY page_id LIMIT 1), k AS (SELECT DISTINCT url, {_ROOT} AS r FROM pages),
 here AS (SELECT DISTINCT lower(url) AS u FROM pages WHERE page_id % 7 <> 3)
 SELECT url AS base_path FROM k WHERE lower(r) NOT IN (SELECT lower(r) FROM o) AND lower(url) NOT IN (SELECT u FROM here)""",
+    "prune_states": "SELECT CAST(o_orderkey % 6 AS INTEGER) AS kind, CASE WHEN o_orderkey % 6 = 0 THEN 'there' WHEN o_orderkey % 6 < 3 THEN 'gone' ELSE 'unknown' END AS state, CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE count(DISTINCT o_orderkey) END AS n FROM orders GROUP BY o_orderkey % 6",
     "root_histogram": f"SELECT {_ROOT} AS root, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, root LIMIT 5",
     "page_order": f"SELECT page_id, CAST(row_number() OVER (PARTITION BY {_ROOT} ORDER BY upper(regexp_extract(url, '([^/\\\\]*)$', 1)), page_id) - 1 AS INTEGER) AS page_index FROM pages",
     "page_suffix": "SELECT conv_id, turn, 'a/' || conv_id || '.cbr' AS base_path, CASE WHEN conv_id % 9 <> 0 THEN CAST(turn AS INTEGER) END AS page FROM conversations",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +21,17 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it in the folder of spark.checkpoint.dir, which all executors share.
+
+    Only a local session that names none gets a temporary folder; on a cluster that is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="embera-checkpoint-"))
+    return df.checkpoint(eager=True)

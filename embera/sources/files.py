@@ -7,58 +7,34 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import ARCHIVES, CLASS_IMAGES, SEARCH_IMAGES, has_extension
+from .directories import absolute, opened, walk
 
 #: Normalisation by channel (red, green, blue): fixed values.
 IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
 CLIP = ((0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711))
 
 
-def _listed(hidden: bool, deep: bool):
-    """Entries of directories (or single files), listed where the task runs; what can't be read gives none."""
+def listing_with_notes(spark: SparkSession, place: str, extensions: Sequence[str], recursive: bool = True, hidden: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files, notes): (file_path, last_modified, file_size) of matching files, extensions in either case, and
+    (scope, path, message) of directories that can't be read; no file is opened.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for place in pdf["file_path"]:
-                out = []
-                try:
-                    system, path = fs.FileSystem.from_uri(place)
-                    before = place.removesuffix(path)
-                    known = system.get_file_info(path)
-                    found = [known] if known.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=deep))
-                    for f in found:
-                        below = f.path[len(path) :] if f is not known else f.base_name
-                        if hidden or not any(part.startswith(".") for part in below.split("/")):
-                            out.append((before + f.path, f.type == fs.FileType.Directory, int((f.mtime_ns or 0) // 1_000_000), f.size or 0))
-                except OSError:
-                    pass
-                yield pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=kind) for i, (c, kind) in enumerate((("file_path", object), ("folder", bool), ("ms", "int64"), ("file_size", "int64")))})
-
-    return run
-
-
-def listing(spark: SparkSession, directory: str, extensions: Sequence[str], recursive: bool = True, hidden: bool = False) -> DataFrame:
-    """(file_path, last_modified, file_size) of matching files, extensions in either case; no file is opened.
-
-    Directories are listed on the executors, each folder right below ``directory`` in a task
-    of its own (of any file system that Arrow knows by its URI). Names that begin with a dot
-    count only if ``hidden``, all others always. A missing directory gives an empty table.
+    Directories are listed on the executors (see ``directories.walk``). Names that begin with
+    a dot count only if ``hidden``, all others always. A missing directory gives a note and no
+    file; a file that can't be looked at has the earliest time and size 0, so no cached row fits.
     """
-    kind = "file_path string, folder boolean, ms long, file_size long"
-    place = re.sub(r"^file:(//)?(?=/)", "", directory)
-    place = place.rstrip("/") or "/"
-    top = spark.createDataFrame([(place,)], "file_path string").mapInPandas(_listed(hidden, False), kind)
-    files = top.where(~F.col("folder"))
-    if recursive:
-        below = top.where("folder").select("file_path").repartition(8 * spark.sparkContext.defaultParallelism, "file_path")
-        files = files.union(below.mapInPandas(_listed(hidden, True), kind).where(~F.col("folder")))
-    modified = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return files.where(has_extension(F.col("file_path"), tuple(extensions))).select("file_path", modified.alias("last_modified"), "file_size")
+    found, notes = walk(spark, place, recursive, hidden)
+    modified = F.coalesce(F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("0001-01-01T00:00:00.000Z"))
+    return found.where(has_extension(F.col("file_path"), tuple(extensions))).select("file_path", modified.alias("last_modified"), F.coalesce("file_size", F.lit(0)).alias("file_size")), notes
+
+
+def listing(spark: SparkSession, place: str, extensions: Sequence[str], recursive: bool = True, hidden: bool = False) -> DataFrame:
+    """(file_path, last_modified, file_size) of matching files."""
+    return listing_with_notes(spark, place, extensions, recursive, hidden)[0]
 
 
 def with_contents(files: DataFrame, path_col: str = "file_path", at_once: int = 64 << 20) -> DataFrame:
@@ -73,8 +49,7 @@ def with_contents(files: DataFrame, path_col: str = "file_path", at_once: int =
             start, read, held = 0, [], 0
             for i, place in enumerate(pdf[path_col]):
                 try:
-                    system, path = fs.FileSystem.from_uri(place)
-                    with system.open_input_file(path) as f:
+                    with opened(place) as f:
                         read.append(f.read())
                     held += len(read[-1])
                 except (OSError, ValueError, TypeError):
@@ -105,7 +80,7 @@ def scan_top_level(spark: SparkSession, directory: str, extensions: Sequence[str
 def scan_labelled(spark: SparkSession, directory: str, extensions: Sequence[str] = CLASS_IMAGES) -> DataFrame:
     """(file_path, ..., label): the label is the name of the file's folder, one below the directory."""
     files = listing(spark, directory, extensions, True, hidden=True)
-    base = re.sub(r"^file:(//)?(?=/)", "", directory).rstrip("/") + "/"
+    base = absolute(directory).rstrip("/") + "/"
     below = F.substr("file_path", F.lit(len(base) + 1))
     return files.withColumn("label", F.regexp_extract(below, r"^([^/]+)/[^/]+$", 1)).where("label <> ''")
 
@@ -149,10 +124,9 @@ def image_sizes(spark: SparkSession, directory: str, recursive: bool = True, fir
             sizes = []
             for place in pdf["file_path"]:
                 try:
-                    system, path = fs.FileSystem.from_uri(place)
-                    with system.open_input_file(path) as f:
+                    with opened(place) as f:
                         sizes.append(header_size(f.read(first)))
-                except OSError:
+                except (OSError, ValueError):
                     sizes.append((0, 0))
             yield pdf.assign(width=pd.Series([w for w, _ in sizes], dtype="int32", index=pdf.index), height=pd.Series([h for _, h in sizes], dtype="int32", index=pdf.index))
 

@@ -172,10 +172,11 @@ def greedy(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slice_,span", [(2, 3000), (3, 100_000), (1000, 600)])
-def test_conflicts_like_the_rule(spark, monkeypatch, slice_, span):
-    monkeypatch.setattr(conflicts, "SLICE", slice_)
-    rnd = random.Random(slice_)
+@pytest.mark.parametrize("together,span", [(2, 3000), (3, 100_000), (64, 600)])
+def test_conflicts_like_the_rule(spark, monkeypatch, together, span):
+    monkeypatch.setattr(conflicts, "TOGETHER", together)  # maps are composed in several levels
+    monkeypatch.setattr(conflicts, "_BLOCK", 5)
+    rnd = random.Random(together)
     rows = [(rnd.choice("abc"), rnd.randrange(span)) for _ in range(200)]
     monkeypatch.setattr(conflicts, "SLICE_ROWS", 7)
     assert found(spark, rows) == greedy(rows, 60)
@@ -185,11 +186,39 @@ def test_conflicts_like_the_rule(spark, monkeypatch, slice_, span):
 def test_a_dense_feed_is_no_single_task(spark, monkeypatch):
     """Without any gap, slices still go by themselves, and what enters them is chained."""
     monkeypatch.setattr(conflicts, "SLICE_ROWS", 40)
+    monkeypatch.setattr(conflicts, "TOGETHER", 5)
     rnd = random.Random(1)
     rows = [(rnd.choice("aaaaab"), i * 3 + rnd.randrange(3)) for i in range(2500)]
     assert found(spark, rows) == greedy(rows, 60)
 
 
+def test_a_burst_is_cut_by_its_rows(spark):
+    """100 minutes of 50 rows a second and one stray old file: slices of about equally many rows."""
+    import numpy as np
+
+    window = 60_000_000
+    burst = spark.range(300_000).select((F.lit(1_700_000_000_000_000) + F.col("id") * 20_000).alias("us"))
+    starts = conflicts._starts(burst.union(spark.createDataFrame([(1_262_304_000_000_000,)], "us long")), window)
+    us = np.r_[1_262_304_000_000_000, 1_700_000_000_000_000 + np.arange(300_000) * 20_000]
+    held = np.bincount(np.searchsorted(starts, us, side="right") - 1)
+    assert len(held) >= 6 and held.sum() == 300_001 and held.max() <= conflicts.SLICE_ROWS + 3000
+
+
+def test_maps_compose_like_single_steps(spark):
+    rnd = random.Random(2)
+    maps = [[rnd.randrange(4) for _ in range(4)] if rnd.random() < 0.7 else [rnd.randrange(4)] for _ in range(40)]
+    place, want = 0, []
+    for m in maps:
+        want.append(place)
+        place = m[place] if len(m) > 1 else m[0]
+    df = spark.createDataFrame(list(enumerate(maps)), "slice long, exits array<long>")
+    for together in (2, 7, 64):
+        conflicts.TOGETHER, kept = together, conflicts.TOGETHER
+        got = conflicts._entries(df, len(maps)).orderBy("slice").collect()
+        conflicts.TOGETHER = kept
+        assert [r["entry"] for r in got] == want
+
+
 def test_input_order(spark):
     asked = spark.createDataFrame([("b", 2), ("a", 1), ("z", 3), ("b", 0)], "path string, place int")
     got = search.in_input_order(spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "path string, score double"), asked, "path", "place")
