@@ -3,8 +3,15 @@
 Base spans come from three patterns (assignments, access keys, long hex). Besides them,
 base64 and hex candidates are decoded and their structure is parsed before anything is
 reported: signed-token headers (jwt), DER keys whose nested lengths add up to the last
-byte (der), OpenSSH private keys (openssh) and SSH public blobs (sshkey), whose strings
-are length-prefixed.
+byte (der), OpenSSH private keys (openssh) and SSH public blobs and certificates (sshkey),
+whose strings are length-prefixed. A body may be wrapped over lines, which may be indented,
+quoted or written out, and hex may have colons or spaces between its bytes. A key ends where
+its structure says, whatever follows it.
+
+Bytes are decoded where the structure asks for them: contents are passed over by their
+lengths, and parsing stops at the first misfit. Lines of a text are indexed once for all of
+its candidates. What counts as a key: at most ELEMENTS elements, DEPTH deep, or strings; a
+private OpenSSH file of at most KEYS keys; and the public types of SSH_TYPES.
 
 Every text is scanned whole, in one pass per pattern; a task holds one batch of rows.
 Spans are [start, end) in code points. Defined results: a null text counts as empty; an
@@ -34,86 +41,228 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates to decode: first lines of base64 or base64url, which may go on over line ends, longer hex in either case.
 #: A header begins with a brace, perhaps white space, and a quotation mark: eyJ, or eyA, eyI, ew... with white space.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:ey[AIJ]|ew)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt])|(?<=-----))(?:M[A-I]|AAAA|b3Bl)[A-Za-z0-9+/_-]{22,}")
-#: A line of a body with the line end before it, which may be written out (\\n as in JSON) and indented.
-NEXT_LINE = re.compile(r"[ \t]*(?:(?:\\+r)?\\+n|\\*(?:\r\n?|\n))[ \t]*((?!--)[A-Za-z0-9+/_-]+)")
+JWT = re.compile(r"(?<![A-Za-z0-9])(?:ey[AIJ]|ew)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+BASE64 = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?:M[A-I]|AAAA|b3Bl)[A-Za-z0-9+/_-]{22,}")
+#: A line of a body with the line end before it, which may be written out (\\n as in JSON), indented and quoted.
+_LINE_END = r"[ \t]*(?:(?:\\+r)?\\+n|\\*(?:\r\n?|\n))[ \t>]*"
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:30|0000|6f70)[0-9A-Fa-f]{44,}")
-#: Keys nest a few levels deep; more than this isn't one.
-DEPTH = 32
+NEXT_LINE = re.compile(_LINE_END + r"((?!--)[A-Za-z0-9+/_-]+)")
+#: The beginning of a key in hex, at a byte; bytes may stand apart by colons or spaces.
+HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?=(?:30|00[: ]?00|6[Ff][: ]?70)(?:[: ]?[0-9A-Fa-f]{2}){10})")
+DIGITS = re.compile(r"[0-9A-Fa-f]+")
+NEXT_DIGITS = re.compile(r"(?::?" + _LINE_END + r"|[ \t]*:[ \t]*| (?=[0-9A-Fa-f]{2}(?![0-9A-Fa-f])))([0-9A-Fa-f]+)")
+#: What a key has at most: levels of nesting, elements or strings, and keys of a private file.
+DEPTH, ELEMENTS, KEYS = 32, 256, 16
 OPENSSH = b"openssh-key-v1\0"
-#: Strings of a public blob by its type, the type's name included.
-SSH_TYPES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
+#: Strings of a public blob by its type, behind the type's name: fixed values.
+SSH_TYPES = {
+    b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1, b"ecdsa-sha2-nistp256": 2, b"ecdsa-sha2-nistp384": 2, b"ecdsa-sha2-nistp521": 2,
+    b"sk-ssh-ed25519@openssh.com": 2, b"sk-ecdsa-sha2-nistp256@openssh.com": 3,
+}
+#: A certificate has a nonce before these strings, and behind them a serial number, a kind, two strings, two times and five strings.
+CERTIFICATE, _BEHIND = b"-cert-v01@openssh.com", (8, 4, 0, 0, 8, 8, 0, 0, 0, 0, 0)
+
+
+class _Lines:
+    """The letters of a run of lines, numbered from its first one; lines are looked for as far as they are asked for."""
+
+    def __init__(self, text: str, at: int, first: re.Pattern, following: re.Pattern):
+        self.text, self.at, self.following, self.over = text, at, following, False
+        self.starts: list[int] = []  # each line's place in the text
+        self.firsts: list[int] = []  # and the number of its first letter
+        self.n = 0
+        self._take(first)
+
+    def _take(self, pattern: re.Pattern) -> None:
+        m = pattern.match(self.text, self.at)
+        if m is None:
+            self.over = True
+            return
+        line = m[m.lastindex or 0]
+        self.starts.append(m.end() - len(line))
+        self.firsts.append(self.n)
+        self.n, self.at = self.n + len(line), m.end()
+
+    def reach(self, n: int) -> bool:
+        """Whether there are ``n`` letters; more than the text can hold aren't looked for."""
+        return n <= self.n + len(self.text) - self.at and self.extended(n) >= n
+
+    def extended(self, n: int) -> int:
+        while self.n < n and not self.over:
+            self._take(self.following)
+        return self.n
+
+    def number(self, place: int) -> int | None:
+        """The number of the letter at a place of the text, if it is in these lines."""
+        while self.at <= place and not self.over:
+            self._take(self.following)
+        i = bisect.bisect_right(self.starts, place) - 1
+        size = (self.firsts[i + 1] if i + 1 < len(self.firsts) else self.n) - self.firsts[i] if i >= 0 else 0
+        return self.firsts[i] + place - self.starts[i] if i >= 0 and place < self.starts[i] + size else None
+
+    def place(self, number: int) -> int:
+        i = bisect.bisect_right(self.firsts, number) - 1
+        return self.starts[i] + number - self.firsts[i]
+
+    def letters(self, a: int, b: int) -> str:
+        b, out = min(b, self.n), []
+        i = bisect.bisect_right(self.firsts, a) - 1
+        while a < b:
+            end = self.firsts[i + 1] if i + 1 < len(self.firsts) else self.n
+            start = self.starts[i] + a - self.firsts[i]
+            out.append(self.text[start : start + min(b, end) - a])
+            a, i = min(b, end), i + 1
+        return "".join(out)
+
+
+class _Body:
+    """The bytes of a base64 or hex body from a letter of some lines on, decoded where they are asked for."""
+
+    def __init__(self, lines: _Lines, first: int, bits: int):
+        self.lines, self.first, self.bits = lines, first, bits
+        self.near, self.data = 0, b""  # bytes decoded last, and where they begin
+
+    def has(self, n: int) -> bool:
+        return self.lines.reach(self.first - (-n * 8 // self.bits))
+
+    def read(self, a: int, b: int) -> bytes:
+        """Bytes a to b, fewer if the body ends before."""
+        if a < self.near or b > self.near + len(self.data):
+            self.near, self.data = a, self._decoded(a, max(b, a + 96))
+        return self.data[a - self.near : b - self.near]
+
+    def _decoded(self, a: int, b: int) -> bytes:
+        self.lines.extended(self.first - (-b * 8 // self.bits))
+        if self.bits == 4:
+            digits = self.lines.letters(self.first + 2 * a, self.first + 2 * b)
+            return bytes.fromhex(digits[: len(digits) // 2 * 2])
+        group = a // 3
+        letters = self.lines.letters(self.first + 4 * group, self.first + 4 * -(-b // 3))
+        return _decode64(letters[: len(letters) - (len(letters) % 4 == 1)])[a - 3 * group : b - 3 * group]
+
+    def number(self, at: int, size: int = 4) -> int | None:
+        data = self.read(at, at + size)
+        return int.from_bytes(data, "big") if len(data) == size else None
+
+    def skip(self, at: int) -> int | None:
+        """The end of the length-prefixed string at ``at``."""
+        n = self.number(at)
+        return at + 4 + n if n is not None and self.has(at + 4 + n) else None
+
+    def end(self, n: int) -> int | None:
+        """Where the text of the first ``n`` bytes ends, padding included; in base64 None amid other letters."""
+        at = self.lines.place(self.first - (-n * 8 // self.bits) - 1) + 1
+        if self.bits == 4:
+            return at
+        text = self.lines.text
+        if LETTERS.match(text, at) and not text.startswith("--", at):
+            return None
+        for _ in range(-n % 3):
+            at += text.startswith("=", at)
+        return at
 
 
-def der_length(data: bytes, at: int) -> tuple[int, int] | None:
-    """(start of the content, its end) of the DER element at ``at``, if its length is well formed."""
-    if at + 2 > len(data):
+def _decode64(letters: str) -> bytes:
+    return base64.b64decode(letters.replace("-", "+").replace("_", "/") + "=" * (-len(letters) % 4))
+
+
+def _element(body: _Body, at: int) -> tuple[int, int, int] | None:
+    """(tag, start of the content, its end) of the DER element at ``at``, if its length is well formed."""
+    head = body.read(at, at + 6)
+    if len(head) < 2:
         return None
-    n, start = data[at + 1], at + 2
+    n, start = head[1], at + 2
     if n & 0x80:
         size = n & 0x7F
-        if not 1 <= size <= 4 or start + size > len(data) or data[start] == 0:
+        if not 1 <= size <= 4 or len(head) < 2 + size or head[2] == 0:
             return None
-        n, start = int.from_bytes(data[start : start + size], "big"), start + size
+        n, start = int.from_bytes(head[2 : 2 + size], "big"), start + size
         if n < 0x80:
             return None
-    return (start, start + n) if start + n <= len(data) else None
+    return head[0], start, start + n
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills ``data`` and whose elements fill it in turn, with an INTEGER or
-    an algorithm identifier in front, as keys of PKCS #1, PKCS #8 and SEC 1 have."""
-    if len(data) < 24 or data[0] != 0x30 or (outer := der_length(data, 0)) is None or outer[1] != len(data):
-        return False
-    todo, elements, first = [(outer[0], outer[1], 0)], 0, None
-    while todo:
-        at, end, depth = todo.pop()
-        while at < end:
-            inner = der_length(data, at)
-            if inner is None or inner[1] > end:
-                return False
-            tag = data[at]
-            first = first if first is not None else tag
-            elements += 1
-            if tag & 0x20:
-                if depth > DEPTH:
-                    return False
-                todo.append((inner[0], inner[1], depth + 1))
-            elif tag not in (0x02, 0x03, 0x04, 0x05, 0x06) and tag & 0xC0 != 0x80:
-                return False
-            at = inner[1]
-        if at != end:
-            return False
-    return elements >= 2 and first in (0x02, 0x30)
-
-
-def _strings(data: bytes, at: int) -> int | None:
-    """Number of 32-bit length-prefixed strings from ``at`` that end just at the end."""
-    n = 0
-    while at < len(data):
-        if at + 4 > len(data):
+def der_end(body: _Body) -> int | None:
+    """The length of a key: a SEQUENCE whose elements fill it in turn, with an INTEGER or an
+    algorithm identifier in front, as keys of PKCS #1, PKCS #8 and SEC 1 have."""
+    outer = _element(body, 0)
+    if outer is None or outer[0] != 0x30 or outer[2] < 24:
+        return None
+    _, at, whole = outer
+    ends, elements, first = [whole], 0, None
+    while ends:
+        if at == ends[-1]:
+            ends.pop()
+            continue
+        inner = _element(body, at)
+        if inner is None or inner[2] > ends[-1] or elements >= ELEMENTS:
+            return None
+        tag, start, end = inner
+        if first is None:
+            first = tag
+            if tag not in (0x02, 0x30) or not body.has(whole):
+                return None
+        elements += 1
+        if tag & 0x20:
+            if len(ends) > DEPTH:
+                return None
+            ends.append(end)
+            at = start
+        elif tag in (0x02, 0x03, 0x04, 0x05, 0x06) or tag & 0xC0 == 0x80:
+            at = end
+        else:
             return None
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        n += 1
-    return n if at == len(data) else None
+    return whole if elements >= 2 else None
 
 
-def is_openssh(data: bytes) -> bool:
-    if not data.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
-    for _ in range(3):  # cipher, derivation and its options
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and _strings(data, at + 4) is not None
+def openssh_end(body: _Body) -> int | None:
+    """The length of a private OpenSSH file: cipher, derivation, its options, public blobs, the private part."""
+    at: int | None = len(OPENSSH)
+    for _ in range(3):
+        if (at := body.skip(at)) is None:
+            return None
+    keys, at = body.number(at), at + 4
+    if keys is None or keys > KEYS:
+        return None
+    for _ in range(keys + 1):
+        if (at := body.skip(at)) is None:
+            return None
+    return at
 
 
-def is_ssh_blob(data: bytes) -> bool:
-    n = int.from_bytes(data[:4], "big")
-    return data[4 : 4 + n] in SSH_TYPES and (_strings(data, 0) or 0) >= 2
+def ssh_end(body: _Body) -> int | None:
+    """The length of a public blob or certificate of a known type."""
+    size = body.number(0) or 0
+    name = body.read(4, 4 + size) if size <= 64 else b""
+    strings = SSH_TYPES.get(name.removesuffix(CERTIFICATE))
+    if strings is None and name.endswith(b"-cert-v01" + b"@openssh.com"):  # names of security keys end so themselves
+        strings = SSH_TYPES.get(name.removesuffix(CERTIFICATE) + b"@openssh.com")
+    if strings is None:
+        return None
+    sizes = (0,) * (1 + strings) + _BEHIND if name.endswith(CERTIFICATE) else (0,) * strings
+    at: int | None = 4 + size
+    for n in sizes:
+        if (at := at + n if n and body.has(at + n) else None if n else body.skip(at)) is None:
+            return None
+    for _ in range(ELEMENTS):  # comments and more strings may follow in one body
+        if body.end(at) is not None:
+            return at
+        if (at := body.skip(at)) is None:
+            return None
+    return None
+
+
+def structure_of(body: _Body) -> tuple[str, int] | None:
+    """(kind, end in the text) of the key at the body's start."""
+    head = body.read(0, 18)
+    if head[:1] == b"\x30":
+        kind, n = "der", der_end(body)
+    elif head.startswith(OPENSSH):
+        kind, n = "openssh", openssh_end(body)
+    else:
+        kind, n = "sshkey", ssh_end(body)
+    end = body.end(n) if n is not None else None
+    return (kind, end) if end is not None else None
 
 
 def is_jwt(text: str) -> bool:
@@ -128,117 +277,24 @@ def is_jwt(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _structure(data: bytes) -> str | None:
-    return "der" if is_der_key(data) else "openssh" if is_openssh(data) else "sshkey" if is_ssh_blob(data) else None
-
-
-class _Body:
-    """The bytes of a base64 body from ``at`` on, over line ends, decoded as far as they are asked for."""
-
-    def __init__(self, text: str, at: int, most: int):
-        """``most``: no more bytes than that can follow."""
-        self.text, self.at, self.most, self.over = text, at, most, False
-        self.data, self.rest, self.n = bytearray(), "", 0
-        self.firsts: list[int] = []  # number of each line's first letter
-        self.starts: list[int] = []  # and its place in the text
-
-    def _pull(self) -> None:
-        m = (NEXT_LINE if self.starts else LETTERS).match(self.text, self.at)
-        if m is None:
-            self.over = True
-            letters = self.rest[: len(self.rest) - (len(self.rest) % 4 == 1)]
-            self.rest = ""
-            self.data += _decode64(letters)
-            return
-        line = m[m.lastindex or 0]
-        self.firsts.append(self.n)
-        self.starts.append(m.end() - len(line))
-        self.n, self.at, letters = self.n + len(line), m.end(), self.rest + line
-        whole = len(letters) // 4 * 4
-        self.data += _decode64(letters[:whole])
-        self.rest = letters[whole:]
-
-    def has(self, n: int) -> bool:
-        while len(self.data) < n <= self.most and not self.over:
-            self._pull()
-        return len(self.data) >= n
-
-    def end(self, n: int) -> int | None:
-        """Where the text of the first ``n`` bytes ends, padding included; None amid other letters."""
-        last = -(-n * 4 // 3) - 1
-        i = bisect.bisect_right(self.firsts, last) - 1
-        at = self.starts[i] + last - self.firsts[i] + 1
-        if LETTERS.match(self.text, at) and not self.text.startswith("--", at):
-            return None
-        for _ in range(-n % 3):
-            at += self.text.startswith("=", at)
-        return at
-
-    def skip(self, at: int) -> int | None:
-        """The end of the length-prefixed string at ``at``."""
-        if not self.has(at + 4):
-            return None
-        end = at + 4 + int.from_bytes(self.data[at : at + 4], "big")
-        return end if self.has(end) else None
-
-
-def _decode64(letters: str) -> bytes:
-    return base64.b64decode(letters.replace("-", "+").replace("_", "/") + "=" * (-len(letters) % 4))
-
-
-def _body_end(body: _Body) -> tuple[str, int] | None:
-    """(kind, end in the text) of the key at the body's start, cut at the length that its own structure gives."""
-    head = _decode64(body.text[body.at : body.at + 24])
-    if head[0] == 0x30:
-        n = head[1]
-        size = n & 0x7F if n & 0x80 else 0
-        # without its length and the tag of a first element nothing more is decoded
-        if size > 4 or n == 0x80 or head[2 + size] not in (0x02, 0x30):
-            return None
-        n = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else n)
-        return ("der", end) if body.has(n) and is_der_key(bytes(body.data[:n])) and (end := body.end(n)) is not None else None
-    if head.startswith(OPENSSH):
-        at: int | None = len(OPENSSH)
-        for _ in range(3):  # cipher, derivation and its options
-            if (at := body.skip(at)) is None:
-                return None
-        if not body.has(at + 4):
-            return None
-        keys, at = int.from_bytes(body.data[at : at + 4], "big"), at + 4
-        for _ in range(keys + 1):  # public blobs, and the private part
-            if (at := body.skip(at)) is None:
-                return None
-        return ("openssh", end) if (end := body.end(at)) is not None else None
-    if (at := body.skip(0)) is None or (strings := SSH_TYPES.get(bytes(body.data[4:at]))) is None:
-        return None
-    n = 1
-    while n < strings or body.end(at) is None:
-        if (at := body.skip(at)) is None:
-            return None
-        n += 1
-    return "sshkey", body.end(at)
-
-
 def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans whose decoded content has the structure of a key or token."""
     if "eyJ" in text or "eyA" in text or "eyI" in text or "ew" in text:
         for m in JWT.finditer(text):
             if is_jwt(m[0]):
                 yield "jwt", m.start(), m.end()
-    done = over = 0
-    for m in BASE64.finditer(text):
-        # inner lines of a key that is found are no candidates; after a failure the next line is one
-        if m.start() < done:
-            continue
-        body = _Body(text, m.start(), over - m.start() if m.start() < over else len(text))
-        if found := _body_end(body):
-            kind, done = found
-            yield kind, m.start(), done
-        if body.over:
-            over = body.at  # lines that have been read to their end aren't read again for a longer key
-    for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := _structure(bytes.fromhex(m[0]))):
-            yield kind, m.start(), m.end()
+    for candidates, first, following, bits in ((BASE64, LETTERS, NEXT_LINE, 6), (HEX_KEY, DIGITS, NEXT_DIGITS, 4)):
+        done, lines = 0, None
+        for m in candidates.finditer(text):
+            # inner lines of a key that is found are no candidates; after a failure the next line is one
+            if m.start() < done:
+                continue
+            number = lines.number(m.start()) if lines else None
+            if number is None:
+                lines, number = _Lines(text, m.start(), first, following), 0
+            if found := structure_of(_Body(lines, number, bits)):
+                kind, done = found
+                yield kind, m.start(), done
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -13,6 +13,8 @@ def der(*parts):
 
 KEY = der(b"\x02\x01\x00", b"\x02\x20" + b"\x11" * 32, b"\x02\x20" + b"\x23" * 32)
 SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"k" * 32))
+_string = lambda x: len(x).to_bytes(4, "big") + x
+PRIVATE = S.OPENSSH + _string(b"none") * 2 + _string(b"") + (1).to_bytes(4, "big") + _string(SSH) + _string(b"p" * 64)
 JWT = ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": "1"})) + ".c2lnbmF0dXJl"
 
 
@@ -33,8 +35,13 @@ def test_base_spans():
 
 def test_structures():
     pem = base64.b64encode(KEY).decode()
-    assert S.is_der_key(KEY) and not S.is_der_key(KEY[:-1]) and not S.is_der_key(KEY + b"\0")
-    assert S.is_ssh_blob(SSH) and not S.is_ssh_blob(SSH[:-1])
+    body = lambda data: S._Body(S._Lines(data.hex(), 0, S.DIGITS, S.NEXT_DIGITS), 0, 4)
+    assert S.der_end(body(KEY)) == len(KEY) == S.der_end(body(KEY + b"\0")) and S.der_end(body(KEY[:-1])) is None
+    assert S.ssh_end(body(SSH)) == len(SSH) and S.ssh_end(body(SSH[:-1])) is None
+    for a in range(0, 40, 7):
+        for b in range(a, len(KEY) + 3, 5):
+            wide = base64.b64encode(KEY).decode().rstrip("=")
+            assert S._Body(S._Lines(wide, 0, S.LETTERS, S.NEXT_LINE), 0, 6).read(a, b) == KEY[a:b] == body(KEY).read(a, b)
     text = f"é key {pem} and {JWT} and ssh {base64.b64encode(SSH).decode()} and {KEY.hex()} end"
     kinds = [k for k, _, _ in S.confirmed(text)]
     assert sorted(kinds) == ["der", "der", "jwt", "sshkey"]
@@ -71,6 +78,64 @@ def test_keys_among_other_lines():
     assert found("\n".join([long] * 20000)) == []
 
 
+def test_hex_of_any_layout():
+    found = lambda t: [(k, t[a:b]) for k, a, b in S.confirmed(t)]
+    for key, kind in ((KEY, "der"), (SSH, "sshkey"), (PRIVATE, "openssh")):
+        plain = key.hex()
+        colons = ":".join(plain[i : i + 2] for i in range(0, len(plain), 2))
+        wrapped = lambda h, n, end: end.join(h[i : i + n] for i in range(0, len(h), n))
+        shapes = [plain, plain.upper(), colons, colons.replace(":", " "), wrapped(plain, 48, "\n"), wrapped(plain, 48, "\\n"), wrapped(plain, 50, "\n> "), wrapped(colons, 45, "\n    ")]
+        for shape in shapes:
+            for before, after in (("", ""), ("key=", " end"), ("x ", "\nzz"), ("(", ")")):
+                assert found(before + shape + after) == [(kind, shape)], (shape, before)
+        # an odd digit, or more bytes, behind it
+        for after in ("a", "0000", ":00:00"):
+            assert found(f"{colons if ':' in after else plain}{after}") == [(kind, colons if ":" in after else plain)]
+        assert found(plain[:-2]) == [] and found("5" + plain) == []
+
+
+def test_neighbours_quotes_and_other_ssh_types():
+    found = lambda t: [(k, t[a:b]) for k, a, b in S.confirmed(t)]
+    pem = base64.b64encode(KEY).decode()
+    for before in ("-", "/", "_", "+", "key-"):
+        assert found(before + pem) == [("der", pem)], before
+        assert found(before + JWT)[-1] == ("jwt", JWT), before
+    quoted = "\n> ".join(pem[i : i + 64] for i in range(0, len(pem), 64))
+    assert found(f"> {quoted}\n> bye") == [("der", quoted)]
+    s = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+    tail = (7).to_bytes(8, "big") + (1).to_bytes(4, "big") + s(b"id", b"") + b"\0" * 8 + b"\xff" * 8 + s(b"", b"", b"", SSH, b"sig" * 9)
+    blobs = [
+        s(b"sk-ssh-ed25519@openssh.com", b"k" * 32, b"ssh:"), s(b"sk-ecdsa-sha2-nistp256@openssh.com", b"nistp256", b"\4" * 65, b"ssh:"),
+        s(b"ssh-ed25519-cert-v01@openssh.com", b"n" * 32, b"k" * 32) + tail, s(b"ssh-rsa-cert-v01@openssh.com", b"n" * 32, b"\1\0\1", b"m" * 257) + tail,
+        s(b"sk-ssh-ed25519-cert-v01@openssh.com", b"n" * 32, b"k" * 32, b"ssh:") + tail, s(b"ssh-rsa", b"\1\0\1", b"m" * 257),
+    ]
+    for blob in blobs:
+        text = base64.b64encode(blob).decode()
+        assert found(f"type {text} me@host") == [("sshkey", text)], blob[:40]
+        assert found(base64.b64encode(blob[:-3]).decode()) == [] and found(blob.hex()) == [("sshkey", blob.hex())]
+
+
+def test_hostile_texts_take_no_square_of_their_length():
+    import time
+
+    def claims(n, inner):
+        """Lines that each begin a key of half the text."""
+        half = n * 49 // 2
+        line = base64.b64encode(b"\x30\x83" + half.to_bytes(3, "big") + inner(half) + b"\x02" * 49)[:64].decode()
+        return "\n".join([line] * n)
+
+    inners = [lambda h: b"\x02\x83" + (h - 5).to_bytes(3, "big"), lambda h: b"\x02\x01\x00" * 14, lambda h: b"\x30\x83" + (h - 5).to_bytes(3, "big")]
+    for inner in inners:
+        text = claims(15_400, inner)
+        assert len(text) > 1_000_000
+        began = time.process_time()
+        list(S.confirmed(text))
+        assert time.process_time() - began < 6  # seconds, with room for a slow machine
+    began = time.process_time()
+    assert list(S.confirmed("30:00:" * 60_000 + "00" * 300_000)) == []
+    assert time.process_time() - began < 6
+
+
 def test_table(spark):
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, spans int")
     for r in S.scan_secrets(df).collect():
