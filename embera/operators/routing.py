@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import os
 import shutil
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import extension, file_name, stem
+from ..session import checkpointed
 
 
 def routing_plan(classified: DataFrame, target: str, threshold: float, conflict_ids: DataFrame | None = None, id_col: str = "id") -> DataFrame:
@@ -72,24 +76,91 @@ def page_file_name(archive: str, index: str, content_extension: str):
     return F.concat(stem(F.col(archive)), F.lit("_p"), (F.col(index) + 1).cast("string"), F.col(content_extension))
 
 
-def carry_out(plan: DataFrame, move: bool = False) -> DataFrame:
-    """Copies or moves ``path`` to ``destination`` on the executors: (path, destination, done, error)."""
+def _temporary(run_id: str, source: str, target: str) -> str:
+    """The name beside ``target`` under which a file waits until it is published; the same for every attempt."""
+    mark = hashlib.sha256(f"{source}\0{target}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
+    return os.path.join(os.path.dirname(target), f".{run_id}-{mark}")
+
+
+def stage_file(source: str, target: str, run_id: str, link: bool) -> None:
+    """Puts the content of ``source`` beside ``target``; the source stays as it is. Attempts may repeat."""
+    if os.path.abspath(source) == os.path.abspath(target):
+        os.stat(source)
+        return
+    waiting = _temporary(run_id, source, target)
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    if link:
+        try:
+            os.link(source, waiting)
+            return
+        except FileExistsError:
+            return  # an attempt before
+        except OSError:
+            pass  # another file system
+    shutil.copyfile(source, waiting + "~")
+    os.replace(waiting + "~", waiting)
+
+
+def publish_file(source: str, target: str, run_id: str) -> None:
+    """Gives a staged file its name. If it isn't waiting any more, an attempt before did so."""
+    waiting = _temporary(run_id, source, target)
+    try:
+        os.replace(waiting, target)
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(waiting)  # both names were links to one file, which a rename leaves as it is
+    except FileNotFoundError:
+        if not os.path.exists(target):
+            raise
+
+
+def remove_source(source: str, target: str) -> None:
+    """Takes away the source of a published file; gone already is as good."""
+    if os.path.abspath(source) != os.path.abspath(target) and os.path.exists(target):
+        with contextlib.suppress(FileNotFoundError):
+            os.unlink(source)
+
+
+def _step(action: Callable[[str, str], None]):
+    """Rows without an error get ``action``; what it raises becomes their error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done, errors = [], []
-            for source, target in zip(pdf["path"], pdf["destination"], strict=True):
-                try:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    (shutil.move if move else shutil.copyfile)(source, target)
-                    done.append(True)
-                    errors.append(None)
-                except OSError as e:
-                    done.append(False)
-                    errors.append(str(e))
-            yield pdf.assign(done=done, error=errors)
-
-    return plan.where("destination is not null").select("path", "destination").mapInPandas(run, "path string, destination string, done boolean, error string")
+            errors = []
+            for source, target, error in zip(pdf["path"], pdf["destination"], pdf["error"], strict=True):
+                if error is None or pd.isna(error):
+                    try:
+                        action(source, target)
+                        error = None
+                    except (OSError, ValueError) as e:
+                        error = str(e)
+                errors.append(error)
+            yield pdf.assign(error=pd.Series(errors, dtype=object, index=pdf.index))
+
+    return run
+
+
+def carry_out(plan: DataFrame, move: bool = False, run_id: str | None = None) -> DataFrame:
+    """Copies or moves ``path`` to ``destination`` on the executors: (path, destination, done, error).
+
+    Three jobs, each kept when it is done: contents are staged beside their destinations
+    (linked for a move within a file system), then published by a rename, then sources of
+    moved files go. A task that fails after half of its rows and runs again repeats steps
+    that change nothing any more, so every file is reported once and none is lost; looking
+    at the result again does nothing. Of rows with one destination the last path by name
+    stays. Of a move with several destinations the source goes after all of them.
+    """
+    run_id = run_id or f"embera-{uuid.uuid4().hex[:12]}"
+    rows = plan.where("path is not null and destination is not null").select("path", "destination").distinct()
+    rows = rows.join(rows.groupBy("destination").agg(F.max("path").alias("last")), "destination")
+    kind = "path string, destination string, error string"
+    staged = checkpointed(rows.where("path = last").select("path", "destination", F.lit(None).cast("string").alias("error")).mapInPandas(_step(lambda s, t: stage_file(s, t, run_id, move)), kind))
+    published = checkpointed(staged.mapInPandas(_step(lambda s, t: publish_file(s, t, run_id)), kind))
+    if move:
+        left = published.where("error is not null").select("path").distinct()
+        gone = published.join(left, "path", "left_anti").mapInPandas(_step(remove_source), kind)
+        published = checkpointed(gone.unionByName(published.join(left, "path", "left_semi")))
+    replaced = rows.where("path <> last").select("path", "destination", F.lit(False).alias("done"), F.lit("another file has this destination").alias("error"))
+    return published.select("path", "destination", F.col("error").isNull().alias("done"), "error").unionByName(replaced)
 
 
 def cluster_plan(assigned: DataFrame, target: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -248,3 +249,33 @@ def test_names_and_history(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"x")
     plan = spark.createDataFrame([(str(tmp_path / "a.jpg"), str(tmp_path / "o" / "a.jpg")), (str(tmp_path / "no.jpg"), str(tmp_path / "o" / "n.jpg"))], "path string, destination string")
     assert [r["done"] for r in routing.carry_out(plan).orderBy("path").collect()] == [True, False] and (tmp_path / "o" / "a.jpg").read_bytes() == b"x"
+
+
+def test_a_move_that_is_tried_again_reports_every_file_once(spark, tmp_path):
+    """A task that stopped after half of its rows runs again as a whole, in each of the three steps."""
+    rows = [(str(tmp_path / "in" / f"{i}.jpg"), str(tmp_path / "out" / ("ab"[i % 2]) / f"{i}.jpg")) for i in range(10)]
+    (tmp_path / "in").mkdir()
+    for i, (source, _) in enumerate(rows):
+        open(source, "wb").write(b"%d" % i)
+    for step in (lambda s, t: routing.stage_file(s, t, "r", True), lambda s, t: routing.publish_file(s, t, "r"), routing.remove_source):
+        for source, target in rows[:5]:
+            step(source, target)
+        for source, target in rows:
+            step(source, target)
+    assert sorted(p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()) == sorted(b"%d" % i for i in range(10)) and not os.listdir(tmp_path / "in")
+    assert not [p for p in (tmp_path / "out").rglob(".r-*")]
+
+
+def test_moves_and_copies_through_the_plan(spark, tmp_path):
+    for name in ("a", "b", "c", "same"):
+        (tmp_path / name).write_bytes(name.encode())
+    p = lambda *x: str(tmp_path.joinpath(*x))
+    plan = spark.createDataFrame([(p("a"), p("o", "1")), (p("a"), p("o", "2")), (p("b"), p("o", "3")), (p("c"), p("o", "3")), (p("none"), p("o", "4")), (p("same"), p("same")), (p("b"), None)], "path string, destination string")
+    done = routing.carry_out(plan, move=True)
+    for _ in range(2):  # to look again moves nothing
+        got = {(os.path.basename(r["path"]), os.path.basename(r["destination"])): r["done"] for r in done.collect()}
+        assert got == {("a", "1"): True, ("a", "2"): True, ("b", "3"): False, ("c", "3"): True, ("none", "4"): False, ("same", "same"): True}
+    assert sorted(os.listdir(tmp_path)) == ["b", "o", "same"] and sorted(os.listdir(tmp_path / "o")) == ["1", "2", "3"]
+    assert (tmp_path / "o" / "3").read_bytes() == b"c"
+    again = routing.carry_out(spark.createDataFrame([(p("o", "1"), p("o", "2")), (p("b"), p("o", "2"))], plan.schema))
+    assert sorted(r["done"] for r in again.collect()) == [False, True] and (tmp_path / "o" / "2").read_bytes() == b"a" and (tmp_path / "b").exists()
