@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 #: Characters of text that a block of documents holds, and chunks that a task remembers.
-BLOCK_CHARS, REMEMBERED = 4_000_000, 600_000
+BLOCK_CHARS, REMEMBERED = 4_000_000, 300_000
 #: A space with white space on both sides: it may belong to the pre-token before it.
 _AMONG = regex.compile(r"\s \s")
 

@@ -13,7 +13,8 @@ a line are made distinct before lines are brought together, so a line that a thi
 rows have brings one row per site. Joins by line hash are plain equi-joins, which Spark
 broadcasts or splits by measured size; a document's removals are gathered by document.
 
-Defined results: a null text stays null; blank lines are never removed; a null source is
+Defined results: a null text stays null; blank lines are never removed; a null source (all
+of them, in a table without sources) is
 the site of the empty name; documents without doc_id come first. Repeated rows share their
 removals: a line that stays in one stays in its exact repetition of the same doc_id.
 Extra columns pass through, whatever their names (an own ``n_removed`` is replaced). An
@@ -46,7 +47,7 @@ def _key(docs: DataFrame) -> list[Column]:
 def site_lines(docs: DataFrame) -> DataFrame:
     """(k_id, k_hash, k_len, site, pos, line long): the lines that aren't blank, hashed."""
     lines = F.split(F.col("text").cast("string"), "\n")
-    rows = docs.select(*_key(docs), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(lines).alias("pos", "raw"))
+    rows = docs.select(*_key(docs), (F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")).alias("site"), F.posexplode(lines).alias("pos", "raw"))
     bare = F.trim("raw", F.lit(BLANKS))
     return rows.where(bare != "").select("k_id", "k_hash", "k_len", "site", "pos", F.xxhash64(bare).alias("line"))
 

@@ -372,8 +372,8 @@ def _pool(rest: DataFrame) -> Pool:
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for i in range(0, batch.num_rows, 4000):
-                    own = of(_rows(*(batch.slice(i, 4000).column(c).to_pylist() for c in (0, 1))))
+                for i in range(0, batch.num_rows, 1000):
+                    own = of(_rows(*(batch.slice(i, 1000).column(c).to_pylist() for c in (0, 1))))
                     total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
             if total is not None:
                 yield _sums_row(TaskContext.get().partitionId(), total)

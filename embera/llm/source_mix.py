@@ -68,8 +68,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
     Sources in order of code point take the weights in turn. A target is weight * level,
     but at most ``most`` times the source's size; the level is raised until the targets
-    make ``share`` of all sizes.
+    make ``share`` of all sizes. Weights have to be positive and finite.
     """
+    if not weights or not all(0 < float(w) < float("inf") for w in weights):
+        raise ValueError("weights of sources have to be positive and finite")
     s = _before(sizes, [F.asc_nulls_last("source")], {"place": F.lit(1)})
     s = s.withColumn("w", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
     s = s.withColumn("cap", F.col("source_size") * float(most)).withColumn("ratio", F.col("cap") / F.col("w")).select("source", "source_size", "w", "cap", "ratio")

@@ -44,3 +44,11 @@ def test_few_sites_are_enough_at_any_size(spark):
         rows = [(i, f"own {i}\n{'wide' if i < 5 else 'narrow' if i < 9 else 'rest ' + str(i)}", f"s{i % sites if i < 5 else i % 4 if i < 9 else i % sites}") for i in range(80)]
         got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
         assert {i for i, n in got.items() if n} == {1, 2, 3, 4}
+
+
+def test_a_table_without_sources_has_one_site(spark):
+    from embera.llm.line_dedup import dedup_lines
+
+    docs = spark.createDataFrame([(i, f"same line\nown {i}") for i in range(8)], "doc_id long, text string")
+    assert {r["n_removed"] for r in dedup_lines(docs).collect()} == {0}
+    assert {r["n_removed"] for r in dedup_lines(docs, min_sites=1).collect()} == {0, 1}

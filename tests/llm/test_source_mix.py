@@ -109,3 +109,10 @@ def test_many_sources_in_ranges(spark):
     want = targets(sizes)
     for r in M.source_targets(df, (3, 1, 2), 1.5, 2.0).collect():
         assert abs(r["target"] - want[r["source"]]) < 1e-6
+
+
+@pytest.mark.parametrize("weights", [(0, 1, 2), (), (1, -1), (float("nan"),), (float("inf"), 1)])
+def test_weights_of_sources_are_checked(spark, weights):
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="positive"):
+        M.mix_sources(docs, weights=weights)
