@@ -54,7 +54,8 @@ def site_lines(docs: DataFrame) -> DataFrame:
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(line, sites): lines on ``min_sites`` sites or more, with their count."""
-    sketches = lines.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    # a sketch passes over empty strings, and one site may have that name
+    sketches = lines.groupBy("line").agg(F.hll_sketch_agg(F.concat(F.lit("/"), "site"), F.lit(LG_K)).alias("sketch"))
     estimated = checkpointed(sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites / NEAR))
     near = estimated.where(F.col("sites") <= min_sites * NEAR).select("line")
     pairs = lines.select("line", "site").distinct()
