@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import to_base64
@@ -12,8 +12,10 @@ from ..functions.paths import ARCHIVES, file_name
 from ..functions.vector import is_zero
 from ..operators import search as S
 from ..operators.probe import archive_status, probe_status
-from ..sources.containers import first_pages, read_pages
-from ..sources.files import listing, scan_archives, with_contents
+from ..schemas import NOTE
+from ..session import checkpointed
+from ..sources.archives import read_archives
+from ..sources.files import listing, listing_with_notes
 from .encoding import Encoder, complete_archives, with_vectors
 from .store import CacheStore
 
@@ -21,63 +23,84 @@ HIT = "archive_path string, archive_file_name string, page_index int, page_count
 
 
 class ComicSearch:
-    """An archive with a fresh row in the cache is never opened; others are opened once, and no file but theirs is read."""
+    """An archive with a fresh row in the cache is never opened; of others only their directory and the pages in question are read.
 
-    def __init__(self, spark: SparkSession, store: CacheStore, encoder: Encoder):
-        self.spark, self.store, self.encoder = spark, store, encoder
+    After a search ``notes`` tells of what couldn't be read, and once its result has been
+    looked at, ``counters`` has the numbers of that pass: pages, and archives by status.
+    """
 
-    def _encoded(self, misses: DataFrame, covers: bool) -> DataFrame:
-        pages = read_pages(with_contents(misses.select("file_path")))
-        pages = first_pages(pages) if covers else pages
-        made = with_vectors(pages, self.encoder).where(~is_zero(F.col("embedding")))
+    def __init__(self, spark: SparkSession, store: CacheStore, encoder: Encoder, at_once: int = 1000):
+        """``at_once``: archives whose pages are encoded before the complete ones of them are saved."""
+        self.spark, self.store, self.encoder, self.at_once = spark, store, encoder, at_once
+        self.notes, self.counters = spark.createDataFrame([], NOTE), None
+
+    def _encoded(self, misses: DataFrame, pages: str | None) -> DataFrame:
+        found, notes = read_archives(misses.select("file_path"), pages)
+        self.notes = self.notes.unionByName(notes)
+        made = with_vectors(found, self.encoder).where(~is_zero(F.col("embedding")))
         meta = misses.select(F.col("file_path").alias("archive_path"), "last_modified", "file_size")
         return made.join(meta, "archive_path")
 
+    def _scanned(self, directory: str) -> DataFrame:
+        found, self.notes = listing_with_notes(self.spark, directory, ARCHIVES, True, hidden=True)
+        return found
+
     def pages(self, directory: str) -> DataFrame:
-        """(archive_path, page_index, page_count, embedding) of all pages; complete archives are saved."""
+        """(archive_path, page_index, page_count, embedding, status) of all pages.
+
+        Archives that the cache misses are encoded in waves, and the complete ones of a wave
+        are saved before the next one begins: what is done survives a stop.
+        """
         model = self.encoder.model_name
-        found = scan_archives(self.spark, directory)
-        probed = archive_status(found, self.store.view("archive_cache", model))
-        misses = probed.where("status <> 'hit'").drop("pages")
-        if not misses.isEmpty():
-            made = self._encoded(misses, covers=False).persist()
-            self.store.upsert("archive_cache", complete_archives(made).withColumn("model_name", F.lit(model)))
-            partial = made.select("archive_path", "page_index", "page_count", "embedding")
-        else:
-            partial = self.spark.createDataFrame([], "archive_path string, page_index int, page_count int, embedding array<float>")
-        hits = probed.where("status = 'hit'").select(F.col("file_path").alias("archive_path"), F.posexplode("pages").alias("page_index", "embedding"), F.size("pages").alias("page_count"))
-        return hits.select("archive_path", "page_index", "page_count", "embedding").unionByName(partial)
+        found = self._scanned(directory)
+        probed = checkpointed(archive_status(found, self.store.view("archive_cache", model)).drop("pages"))
+        misses = probed.where("status <> 'hit'")
+        waves = -(-misses.count() // self.at_once)
+        rest = self.spark.createDataFrame([], "archive_path string, page_index int, page_count int, embedding array<float>")
+        for i in range(waves):
+            made = checkpointed(self._encoded(misses.where(F.pmod(F.xxhash64("file_path"), F.lit(waves)) == i), None))
+            done = checkpointed(complete_archives(made))
+            if not done.isEmpty():
+                self.store.upsert("archive_cache", done.withColumn("model_name", F.lit(model)))
+            rest = rest.unionByName(made.join(done.select("archive_path"), "archive_path", "left_anti").select(*rest.columns))
+        again = archive_status(found, self.store.view("archive_cache", model)).where("status = 'hit'")
+        saved = again.select(F.col("file_path").alias("archive_path"), F.posexplode("pages").alias("page_index", "embedding"), F.size("pages").alias("page_count"))
+        was = probed.select(F.col("file_path").alias("archive_path"), "status")
+        return saved.select(*rest.columns).unionByName(rest).join(was, "archive_path")
 
     def covers(self, directory: str) -> DataFrame:
-        """(archive_path, page_index, page_count, embedding) of first pages.
+        """(archive_path, page_index, page_count, embedding, status) of first pages.
 
         They come from the archive table, else the cover table (their page_count is 0), else
         the archive is opened and the cover saved.
         """
         model = self.encoder.model_name
-        found = scan_archives(self.spark, directory)
+        found = self._scanned(directory)
         whole = archive_status(found, self.store.view("archive_cache", model))
         from_archives = whole.where("status = 'hit'").select(F.col("file_path").alias("archive_path"), F.lit(0).alias("page_index"), F.size("pages").alias("page_count"), F.get("pages", F.lit(0)).alias("embedding"))
         cached = self.store.view("cover_cache", model).withColumnRenamed("archive_path", "file_path")
         probed = probe_status(whole.where("status <> 'hit'").select("file_path", "last_modified", "file_size"), cached, unique=True)
         from_covers = probed.where("status = 'hit'").select(F.col("file_path").alias("archive_path"), F.lit(0).alias("page_index"), F.lit(0).alias("page_count"), "embedding")
-        out = from_archives.unionByName(from_covers)
-        misses = probed.where("status <> 'hit'").drop("embedding")
+        out = from_archives.unionByName(from_covers).withColumn("status", F.lit("hit"))
+        misses = checkpointed(probed.where("status <> 'hit'").drop("embedding"))
         if not misses.isEmpty():
-            made = self._encoded(misses, covers=True).persist()
+            made = checkpointed(self._encoded(misses, "page_index = 0").join(misses.select(F.col("file_path").alias("archive_path"), "status"), "archive_path"))
+            out = checkpointed(out)  # as it is before the new covers are saved
             self.store.upsert("cover_cache", made.select("archive_path", "last_modified", "file_size", "embedding").withColumn("model_name", F.lit(model)))
-            out = out.unionByName(made.select("archive_path", "page_index", "page_count", "embedding"))
+            out = out.unionByName(made.select("archive_path", "page_index", "page_count", "embedding", "status"))
         return out
 
     def by_vector(self, directory: str, vector: Sequence[float], all_pages: bool = False, exclude: str | None = None) -> DataFrame:
         rows = self.pages(directory) if all_pages else self.covers(directory)
         if not len(vector) or not S.dimension_matches(rows, vector):
             return self.spark.createDataFrame([], HIT)
-        scored = S.score(rows, vector)
+        self.counters = Observation()  # the result is kept before it is sorted, since a sort runs what is below it twice
+        by = {s: F.count_if(F.col("status") == s) for s in ("hit", "stale", "miss", "inconsistent")}
+        scored = S.score(rows.observe(self.counters, F.count("*").alias("pages"), *(c.alias(s) for s, c in by.items())), vector)
         if exclude is not None:
             scored = S.exclude(scored, "archive_path", exclude)
         shown = scored.select("archive_path", file_name(F.col("archive_path")).alias("archive_file_name"), "page_index", "page_count", "similarity")
-        return shown.orderBy(F.desc("similarity"), "archive_path", "page_index")
+        return checkpointed(shown).orderBy(F.desc("similarity"), "archive_path", "page_index")
 
     def by_text(self, directory: str, text: str, all_pages: bool = False) -> DataFrame:
         return self.by_vector(directory, self.encoder.encode_text(f"a photo of {text}"), all_pages)
@@ -95,7 +118,7 @@ class ComicSearch:
         if page == 0:
             got = self.covers(archive).select("embedding").limit(1).collect()
             return list(got[0]["embedding"]) if got else None
-        pages = read_pages(with_contents(found.select("file_path"))).where(F.col("page_index") == page)
+        pages, _ = read_archives(found.select("file_path"), f"page_index = {int(page)}")
         got = with_vectors(pages, self.encoder).where(~is_zero(F.col("embedding"))).select("embedding").collect()
         return list(got[0]["embedding"]) if got else None
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import to_base64, try_parse_base64
 from ..functions.paths import SEARCH_IMAGES, file_name
 from ..operators import search as S
-from ..sources.files import listing, scan_images, with_contents
+from ..schemas import NOTE
+from ..session import checkpointed
+from ..sources.files import listing, listing_with_notes, with_contents
 from .encoding import Encoder, encode_with_cache
 from .store import CacheStore
 
@@ -18,14 +20,24 @@ HIT = "file_path string, file_name string, similarity double"
 
 
 class ImageSearch:
-    """Searches images under directories, vectors from the cache first."""
+    """Searches images under directories, vectors from the cache first.
+
+    After a search ``notes`` tells of directories that couldn't be read and images that
+    couldn't be decoded, and once its result has been looked at, ``counters`` has the numbers
+    of that pass: files by status, and failures.
+    """
 
     def __init__(self, spark: SparkSession, store: CacheStore, encoder: Encoder):
         self.spark, self.store, self.encoder = spark, store, encoder
+        self.notes, self.counters = spark.createDataFrame([], NOTE), None
 
     def vectors(self, directory: str, recursive: bool = True) -> DataFrame:
         """All images' vectors; only files that the cache misses are opened."""
-        return encode_with_cache(self.store, scan_images(self.spark, directory, recursive), self.encoder, with_contents)
+        found, notes = listing_with_notes(self.spark, directory, SEARCH_IMAGES, recursive)
+        rows = encode_with_cache(self.store, found, self.encoder, with_contents)
+        failed = rows.where(F.col("embedding").isNull()).select(F.lit("encode").alias("scope"), F.col("file_path").alias("path"), F.lit("could not be decoded").alias("message"))
+        self.notes = notes.unionByName(failed)
+        return rows
 
     def by_vector(self, directory: str, vector: Sequence[float], recursive: bool = True, exclude: str | None = None) -> DataFrame:
         """(file_path, file_name, similarity), best first; empty if the query's dimension doesn't fit."""
@@ -34,10 +46,13 @@ class ImageSearch:
         rows = self.vectors(directory, recursive)
         if not S.dimension_matches(rows.where(F.col("embedding").isNotNull()), vector):
             return self.spark.createDataFrame([], HIT)
+        self.counters = Observation()  # the result is kept before it is sorted, since a sort runs what is below it twice
+        by = {s: F.count_if(F.col("status") == s) for s in ("hit", "stale", "miss")}
+        rows = rows.observe(self.counters, F.count("*").alias("files"), *(c.alias(s) for s, c in by.items()), F.count_if(F.col("embedding").isNull()).alias("failures"))
         scored = S.score(rows, vector)
         if exclude is not None:
             scored = S.exclude(scored, "file_path", exclude)
-        return S.rank(scored.select("file_path", file_name(F.col("file_path")).alias("file_name"), "similarity"), "file_path")
+        return S.rank(checkpointed(scored.select("file_path", file_name(F.col("file_path")).alias("file_name"), "similarity")), "file_path")
 
     def by_text(self, directory: str, text: str, recursive: bool = True) -> DataFrame:
         return self.by_vector(directory, self.encoder.encode_text(f"a photo of {text}"), recursive)

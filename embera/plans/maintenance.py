@@ -16,13 +16,18 @@ from .store import CacheStore
 
 
 def vacuum(store: CacheStore) -> int:
-    """Rewrites the latest rows as one base commit and removes older files; nothing changes before the log entry."""
-    old = [n for n, _ in store.commits()]
+    """Rewrites the latest rows as one base commit; nothing changes before its log entry.
+
+    Commits before the last base go. What led from that base to the new one stays until the
+    next vacuum, for readers that planned with it.
+    """
+    base = min((n for n, _ in store.commits()), default=0)
     n = store.commit({t: store.view(t).withColumn("op", F.lit("U")) for t in TABLES}, base=True)
-    for o in old:
-        for t in TABLES:
-            store._fs.delete(store._path(f"{store.root}/{t}/commit={o}"), True)
-        store._fs.delete(store._path(f"{store.root}/_log/{o}"), True)
+    for o in store.numbers():
+        if o < base:
+            for t in TABLES:
+                store._fs.delete(store._path(f"{store.root}/{t}/commit={o}"), True)
+            store._fs.delete(store._path(f"{store.root}/_log/{o}"), True)
     return n
 
 

@@ -34,9 +34,8 @@ class CacheStore:
 
     def commits(self) -> list[tuple[int, dict]]:
         """(number, entry) of the commits that count: the last base and what follows it."""
-        found = sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._path(f"{self.root}/_log")) if f.getPath().getName().isdigit())
         entries = []
-        for n in found:
+        for n in self.numbers():
             stream = self._fs.open(self._path(f"{self.root}/_log/{n}"))
             try:
                 entries.append((n, json.loads(bytes(stream.readAllBytes()).decode())))
@@ -45,9 +44,12 @@ class CacheStore:
         base = max((n for n, e in entries if e.get("base")), default=0)
         return [(n, e) for n, e in entries if n >= base]
 
+    def numbers(self) -> list[int]:
+        """All commits of the log, those before the last base too."""
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._path(f"{self.root}/_log")) if f.getPath().getName().isdigit())
+
     def _next(self) -> int:
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/_log"))]
-        return max((int(n) for n in names if n.isdigit()), default=0) + 1
+        return max(self.numbers(), default=0) + 1
 
     def commit(self, changes: dict[str, DataFrame], base: bool = False, created_at: str | None = None) -> int:
         """Writes rows (with ``op``) of several tables, then the log entry."""

@@ -5,6 +5,7 @@ import struct
 import zipfile
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from embera.plans.comic_search import ComicSearch
 from embera.plans.encoding import HashingEncoder, complete_archives
 from embera.plans.image_search import ImageSearch, search_roots
 from embera.plans.store import CacheStore
-from embera.sources import containers, files
+from embera.sources import archives, containers, files
 
 
 @pytest.fixture
@@ -98,6 +99,11 @@ def test_archives_clear_and_vacuum(spark, store):
     maintenance.vacuum(store)
     assert len(store.commits()) == 1 and sorted(map(str, store.view("archive_cache").collect())) == before
     assert maintenance.optimize(store) is None
+    planned = store.view("archive_cache")  # a reader that planned before the next vacuum
+    maintenance.vacuum(store)
+    assert sorted(map(str, planned.collect())) == before and len(store.commits()) == 1
+    maintenance.vacuum(store)
+    assert len(store.numbers()) == 2 and sorted(map(str, store.view("archive_cache").collect())) == before
     store.clear("m")
     assert [r["model_name"] for r in store.view("archive_cache").collect()] == ["n"]
     store.clear()
@@ -287,3 +293,107 @@ def test_analyses(spark):
     assert len(r) == 1 and r[0]["predicted_class"] == "dog" and round(r[0]["confidence"], 6) == 0.9 and set(r[0]["probabilities"]) == {"cat", "dog"}
     acc, metrics, _ = analysis.evaluate(spark.createDataFrame([("a", "a")], "true_label string, predicted string"), ["a"])
     assert acc.first()["accuracy"] == 1.0 and metrics.first()["f1"] == 1.0
+
+
+class Counting:
+    """A file that counts the bytes that are read from it."""
+
+    def __init__(self, f, total):
+        self.f, self.total = f, total
+
+    def read(self, n=-1):
+        data = self.f.read(n)
+        self.total[0] += len(data)
+        return data
+
+    def __getattr__(self, name):
+        return getattr(self.f, name)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.f.close()
+
+
+def test_one_page_costs_the_directory_and_its_own_bytes(spark, tmp_path, monkeypatch):
+    big = tmp_path / "big.cbz"
+    body = {f"p{i:03d}.jpg": os.urandom(20_000) for i in range(200)}
+    big.write_bytes(comic(list(body.items())))
+    total = [0]
+    monkeypatch.setattr(archives, "opened", lambda place: Counting(open(place, "rb"), total))
+    (entries,) = archives._entries(iter([pd.DataFrame({"file_path": [str(big)]})]))
+    assert len(entries) == 200 and total[0] < 30_000
+    (page,) = archives._contents(iter([entries[entries["page_index"] == 5]]))
+    assert page["content"].tolist() == [body["p005.jpg"]] and total[0] < 60_000 < 4_000_000 < big.stat().st_size
+
+
+def test_archives_by_ranges(spark, tmp_path):
+    good = comic([("z/B.jpg", b"b" * 100), ("a10.jpg", b"1"), ("A2.png", b"2"), ("n.txt", b"t"), ("e.jpg", b"")])
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("d.jpg", b"d" * 1000, zipfile.ZIP_DEFLATED)
+        z.writestr("e.jpg", b"e" * 1000, zipfile.ZIP_BZIP2)
+    bad = bytearray(good)
+    bad[bad.index(b"b" * 100)] = 0
+    rows = {"a.cbz": good, "b.cbr": good, "c.cbz": b"Rar!\x1a\x07\x01\x00....", "d.pdf": b"%PDF-1.4", "e.cbz": b"PK\x03\x04broken..", "f.cbz": packed.getvalue(), "g.cbz": bytes(bad)}
+    for name, data in rows.items():
+        (tmp_path / name).write_bytes(data)
+    files_ = spark.createDataFrame([(str(tmp_path / n),) for n in [*rows, "gone.cbz"]], "file_path string")
+    pages, notes = archives.read_archives(files_)
+    got = {(os.path.basename(r["archive_path"]), r["page_index"]): (r["entry_name"], r["page_count"], None if r["content"] is None else bytes(r["content"])) for r in pages.collect()}
+    assert got[("a.cbz", 0)] == ("a10.jpg", 3, b"1") and got[("a.cbz", 2)] == ("z/B.jpg", 3, b"b" * 100) and len(got) == 11
+    assert got[("f.cbz", 0)][2] == b"d" * 1000 and got[("f.cbz", 1)][2] == b"e" * 1000
+    assert got[("g.cbz", 2)][2] is None and got[("g.cbz", 1)][2] == b"2"  # one page is damaged, the others aren't
+    assert {os.path.basename(r["path"]) for r in notes.collect()} == {"b.cbr", "c.cbz", "d.pdf", "e.cbz", "gone.cbz"}
+    whole = containers.read_pages(files.with_contents(files_.where("file_path like '%a.cbz'")))
+    some, _ = archives.read_archives(files_.where("file_path like '%a.cbz'"), "page_index >= 1")
+    assert sorted(map(str, some.collect())) == sorted(map(str, whole.where("page_index >= 1").collect()))
+
+
+def test_a_search_that_stops_midway_has_saved_its_waves(spark, store, tmp_path):
+    d = tmp_path / "comics"
+    d.mkdir()
+    for i in range(12):
+        (d / f"{i:02d}.cbz").write_bytes(comic([("1.jpg", b"a"), ("2.jpg", b"!" if i == 7 else b"b")]))
+
+    class Stops(FakeEncoder):
+        def encode_images(self, contents):
+            if any(c[:1] == b"!" for c in contents) and not os.path.exists(self.log + ".go"):
+                raise RuntimeError("stopped")
+            return super().encode_images(contents)
+
+    encoder = Stops(tmp_path / "log")
+    s = ComicSearch(spark, store, encoder, at_once=2)
+    with pytest.raises(Exception, match="stopped"):
+        s.pages(str(d))
+    saved = {os.path.basename(r["archive_path"]) for r in store.view("archive_cache").collect()}
+    open(encoder.log + ".go", "w").close()
+    encoder.encoded()
+    rows = s.pages(str(d)).collect()
+    assert len(rows) == 23 and {r["status"] for r in rows if os.path.basename(r["archive_path"]) in saved} <= {"hit"}
+    assert encoder.encoded() == 2 * (12 - len(saved)) and len(saved) < 12
+    assert store.view("archive_cache").count() == 11
+
+
+def test_notes_and_counters_of_searches(spark, store, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    for name, data in (("a.jpg", b"a"), ("b.png", b"b"), ("bad.jpg", b"?")):
+        (d / name).write_bytes(data)
+    (d / "one.cbz").write_bytes(comic([("1.jpg", b"b"), ("2.jpg", b"a")]))
+    (d / "two.cbr").write_bytes(b"Rar!\x1a\x07\x01\x00....")
+    s = ImageSearch(spark, store, FakeEncoder(tmp_path / "log"))
+    s.by_text(str(d), "x").collect()
+    assert s.counters.get == {"files": 3, "hit": 0, "stale": 0, "miss": 3, "failures": 1}
+    s.by_text(str(d), "x").collect()
+    assert s.counters.get == {"files": 3, "hit": 2, "stale": 0, "miss": 1, "failures": 1}
+    assert [(r["scope"], os.path.basename(r["path"])) for r in s.notes.collect()] == [("encode", "bad.jpg")]
+    c = ComicSearch(spark, store, FakeEncoder(tmp_path / "log"))
+    c.by_text(str(d), "x", all_pages=True).collect()
+    assert c.counters.get == {"pages": 2, "hit": 0, "stale": 0, "miss": 2, "inconsistent": 0}
+    assert [os.path.basename(r["path"]) for r in c.notes.collect()] == ["two.cbr"]
+    c.by_text(str(d), "x", all_pages=True).collect()
+    assert c.counters.get["hit"] == 2
+    gone = ComicSearch(spark, store, FakeEncoder(tmp_path / "log"))
+    assert gone.by_text(str(tmp_path / "nowhere"), "x").collect() == [] and [r["scope"] for r in gone.notes.collect()] == ["scan"]
