@@ -20,10 +20,6 @@ def unescape_html(text: str | None) -> str | None:
     return None if text is None else re.sub(r"\s+", " ", html.unescape(html.unescape(text))).strip().lower()
 
 
-def unescaped(c: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(unescape_html), "string")(c)
-
-
 class PromptTokenizer:
     """Merges by rank on the characters of a word, whose last one carries the end mark."""
 

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.probe import probe_status, split_hits
+from ..operators.probe import first_probes, probe_status, split_hits
 from ..functions.vector import is_zero
+from ..session import checkpointed
 from .store import CacheStore
 
 
@@ -102,6 +103,25 @@ def failures(df: DataFrame, path_col: str = "file_path") -> DataFrame:
     return df.where(is_zero(F.col("embedding"))).select(F.lit("encode").alias("scope"), F.col(path_col).alias("path"), F.lit("could not be decoded").alias("message"))
 
 
+def probe_stored(store: CacheStore, probe: DataFrame, model: str, unique: bool = False, order: str | None = None) -> DataFrame:
+    """Like ``probe_status`` on the store's file cache, in two phases: keys decide, and vectors are read for hits only.
+
+    The probe's join and the choice of each key's latest row see keys, freshness and places;
+    the vectors of hits are then fetched by file and row.
+    """
+    places = store.positions("file_cache", model)
+    if places is None:
+        return probe_status(probe, store.view("file_cache", model), unique=unique, order=order)
+    first = probe if unique else first_probes(probe, order)
+    cached = places.select("file_path", F.col("last_modified").alias("_m"), F.col("file_size").alias("_s"), "_file", "_row")
+    fresh = F.col("_m").eqNullSafe(F.col("last_modified")) & F.col("_s").eqNullSafe(F.col("file_size"))
+    status = F.when(F.col("_file").isNull(), "miss").when(fresh, "hit").otherwise("stale")
+    probed = checkpointed(first.join(cached, "file_path", "left").withColumn("status", status).drop("_m", "_s"))
+    columns = [*probe.columns, "embedding", "status"]
+    hits = store.fetch("file_cache", probed.where("status = 'hit'"), "embedding").select(*columns)
+    return hits.unionByName(probed.where("status <> 'hit'").withColumn("embedding", F.lit(None).cast("array<float>")).select(*columns))
+
+
 def encode_with_cache(store: CacheStore, files: DataFrame, encoder: Encoder, contents: Callable[[DataFrame], DataFrame], wave: int | None = None) -> DataFrame:
     """(file_path, last_modified, file_size, embedding, status) of all files; misses are encoded and saved.
 

@@ -12,12 +12,22 @@ created exclusively, so a second writer fails instead of overwriting.
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import keep_first
 from ..schemas import TABLES
+from ..session import checkpoint_folder
+
+
+def store_folder(spark: SparkSession) -> str:
+    """A new folder for a store, beside the checkpoints that all executors share."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
 
 
 class CacheStore:
@@ -95,6 +105,40 @@ class CacheStore:
         every = parts[0].join(newest, keys, "left_anti").unionByName(later.join(newest, [*keys, "_commit"], "left_semi"))
         return every.where("op = 'U'").select(*columns)
 
+    def _scans(self, table: str, model: str | None) -> list[DataFrame]:
+        """Rows of each commit that counts, with ``op``, ``_commit`` and their place: ``_file`` and ``_row``."""
+        schema, _ = TABLES[table]
+        out = []
+        for n, entry in self.commits():
+            path = f"{self.root}/{table}/commit={n}"
+            if table in entry["tables"] and any(f.getPath().getName().startswith("model_name=") for f in self._fs.listStatus(self._path(path))):
+                rows = self.spark.read.schema(f"{schema}, op string").parquet(path).select("*", F.lit(n).alias("_commit"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+                out.append(rows.where(F.col("model_name") == model) if model is not None else rows)
+        return out
+
+    def positions(self, table: str, model: str | None = None, columns: Sequence[str] = ("last_modified", "file_size")) -> DataFrame | None:
+        """(model_name, key, columns, _file, _row): the places of the latest rows, without reading a vector; None without rows."""
+        scans = self._scans(table, model)
+        if not scans:
+            return None
+        keys = ["model_name", TABLES[table][1]]
+        every = [s.select(*keys, *columns, "op", "_commit", "_file", "_row") for s in scans]
+        if len(every) == 1:
+            return every[0].where("op = 'U'").drop("op", "_commit")
+        rows = reduce(DataFrame.unionByName, every)
+        last = F.max_by(F.struct(*columns, "op", "_file", "_row"), "_commit").alias("last")
+        return rows.groupBy(*keys).agg(last).where("last.op = 'U'").select(*keys, "last.*").drop("op")
+
+    def fetch(self, table: str, places: DataFrame, column: str, few: int = 1_000_000) -> DataFrame:
+        """``places`` (with _file and _row) with ``column`` of the stored rows there.
+
+        The stored rows stay where they are read if there are up to ``few`` places (counted);
+        more are joined by a shuffle of the rows that Spark's runtime filter leaves.
+        """
+        scans = self._scans(table, None)
+        stored = reduce(DataFrame.unionByName, [s.select("_file", "_row", column) for s in scans])
+        return stored.join(F.broadcast(places) if places.count() <= few else places, ["_file", "_row"]).drop("_file", "_row")
+
     # -- mutations
 
     def upsert(self, table: str, rows: DataFrame, created_at: str | None = None) -> int:

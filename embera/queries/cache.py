@@ -11,6 +11,7 @@ from ..operators import probe, routing
 from ..operators.search import in_input_order, keep_first
 from ..plans.encoding import complete_archives
 from ..plans.maintenance import migrated, missing_files
+from ..plans.store import CacheStore, store_folder
 from ..sources.containers import ordered_entries
 from ..sources.directories import file_states
 
@@ -76,6 +77,21 @@ def upsert_latest(spark, d):
     return keep_first(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
+def store_versions(spark, d):
+    """Events go through a stored cache: those of each type replace the users' rows in turn, a commit each; the
+    users that 7 divides are deleted at the end, and the view is what is left."""
+    e = _t(spark, d, "events")
+    store = CacheStore(spark, store_folder(spark))
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    path = F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".jpg"))
+    for kind in kinds:
+        mine = keep_first(e.where(F.col("event_type") == kind), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+        store.upsert("file_cache", mine.select(F.lit("m").alias("model_name"), path.alias("file_path"), F.col("event_type").alias("last_modified"), F.col("event_id").alias("file_size"), F.array(F.col("value").cast("float") + 1).alias("embedding")))
+    gone = e.where(F.pmod("user_id", F.lit(7)) == 0).select(F.lit("m").alias("model_name"), path.alias("file_path")).distinct()
+    store.delete({"file_cache": gone})
+    return store.view("file_cache", "m").select("file_path", F.col("last_modified").alias("event_type"), F.col("file_size").alias("event_id"))
+
+
 def input_order(spark, d):
     """The number of events of a user, for each event in the order of its time."""
     e = _t(spark, d, "events")
@@ -137,7 +153,7 @@ def page_suffix(spark, d):
     return c.select("conv_id", "turn", base_file_path(key).alias("base_path"), page_of_key(key).alias("page"))
 
 
-_NAMES = (cache_probe_status, cache_probe_semi, cache_hit_rate, cache_info, cache_diagnostics, upsert_latest, input_order, archive_complete_pack, migration_pack, prune_anti_join, prune_states, root_histogram, page_order, page_suffix)
+_NAMES = (cache_probe_status, cache_probe_semi, cache_hit_rate, cache_info, cache_diagnostics, upsert_latest, store_versions, input_order, archive_complete_pack, migration_pack, prune_anti_join, prune_states, root_histogram, page_order, page_suffix)
 QUERIES = {f.__name__: f for f in _NAMES} | {f"cache_probe_{h}": _variant(h) for h in ("broadcast", "merge", "shuffle_hash")}
 
 _P = """WITH c AS (SELECT 't/p' || o_orderkey || '.jpg' AS path, CASE WHEN o_orderkey % 20 = 15 THEN '2020-01-01T00:00:00Z' ELSE '2024-01-01T00:00:00Z' END AS m, 100000 + o_orderkey % 40000 AS s FROM orders WHERE o_orderkey % 100 <> 50),
@@ -154,6 +170,7 @@ e AS (SELECT i, 'm' || user_id % 3 AS m, strftime(ts, '%Y-%m-%d %H:%M:%S') AS c
 SELECT count(*) AS total, count(*) FILTER (i = 0) AS files, count(*) FILTER (i = 1) AS archives, count(*) FILTER (i = 2) AS covers, (SELECT string_agg(m, ', ' ORDER BY m) FROM (SELECT DISTINCT m FROM e)) AS models, min(c) AS oldest, max(c) AS newest FROM e""",
     "cache_diagnostics": "SELECT event_type AS model_name, count(*) AS n, 'f' || lpad(CAST(min(event_id) AS VARCHAR), 12, '0') AS first_path, 'f' || lpad(CAST(max(event_id) AS VARCHAR), 12, '0') AS last_path, count(*) FILTER (event_id % 7 = 0) AS not_utc FROM events GROUP BY event_type",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "store_versions": "SELECT 'u/' || user_id || '.jpg' AS file_path, event_type, event_id FROM events WHERE user_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type DESC, ts DESC, event_id DESC) = 1",
     "input_order": "SELECT e.event_id, e.user_id, c.n FROM events e LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY user_id) c ON e.user_id = c.user_id",
     "archive_complete_pack": "SELECT CAST(conv_id AS VARCHAR) AS archive_path, CAST(max(turn) + 1 AS INTEGER) AS page_count, string_agg(CAST(length(text) + 1 AS VARCHAR), ',' ORDER BY turn) AS pages FROM conversations GROUP BY conv_id HAVING conv_id % 3 <> 0 AND count(DISTINCT turn) = max(turn) + 1",
     "migration_pack": "SELECT 'comics/c' || conv_id || '.cbz' AS archive_path, CAST(max(turn) + 1 AS INTEGER) AS page_count, CAST(count(*) AS INTEGER) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS sum FROM conversations GROUP BY conv_id HAVING conv_id % 5 <> 0 AND conv_id % 4 <> 0 AND count(DISTINCT turn) = max(turn) + 1",

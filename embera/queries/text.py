@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths, schedule, text
-from ..functions.tokenizer import tokenized, unescaped
+from ..functions.entities import unescape_sql, unescaped
+from ..functions.tokenizer import tokenized
 from ..operators import routing
 
 
@@ -73,19 +74,29 @@ def copy_name_collisions(spark, d):
     return routing.clash_free_names(named, "name", ["page_id"], taken).select("page_id", "target_name")
 
 
+def _days(spark, d):
+    """The days of the events as epochs: (epoch, epochs, validation_accuracy), the share of purchases' values above 50 as accuracy."""
+    e = _t(spark, d, "events").select(F.to_date("ts").alias("day"), F.round(F.col("value"), 3).alias("value"))
+    first = e.agg(F.min("day").alias("first"))
+    by = e.groupBy("day").agg(F.round(F.count_if(F.col("value") > 50) / F.count("*"), 6).alias("validation_accuracy"))
+    return by.crossJoin(F.broadcast(first)).select(F.datediff("day", "first").alias("epoch"), "validation_accuracy")  # one row on the right
+
+
 def lr_schedule(spark, d):
-    e = spark.range(50).select(F.col("id").cast("int").alias("epoch"))
+    """Rates of 50 epochs' schedules for each day of the events."""
+    e = _days(spark, d).select("epoch")
     parts = [e.select(F.lit(s).alias("schedule"), "epoch", F.round(schedule.learning_rate(s, F.col("epoch"), 50, 0.01), 9).alias("rate")) for s in ("cosine", "step", "one_cycle")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def best_epoch(spark, d):
-    e = spark.range(50).select(F.col("id").cast("int").alias("epoch"), F.pmod(F.col("id") * 7, F.lit(23)).cast("double").alias("validation_accuracy"))
-    return schedule.best_epoch(e)
+    return schedule.best_epoch(_days(spark, d))
 
 
 def architectures(spark, d):
-    return schedule.architectures(spark)
+    """Each architecture with the number of parts whose tenfold size its input takes in."""
+    a, p = F.broadcast(schedule.architectures(spark)), _t(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
+    return a.join(p, F.col("p_size") * 10 >= F.col("image_size"), "left").groupBy(*a.columns).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_parts"))
 
 
 def prompt_text(spark, d):
@@ -117,7 +128,9 @@ def _size(n: str, units: str, digits: int) -> str:
     return f"CASE {out}END"
 
 
+_DAYS = "SELECT CAST(datediff('day', min(day) OVER (), day) AS INTEGER) AS epoch, validation_accuracy FROM (SELECT CAST(ts AS DATE) AS day, round(count(*) FILTER (round(value, 3) > 50) / count(*), 6) AS validation_accuracy FROM events GROUP BY 1)"
 ORACLES = {
+    "html_unescape": f"SELECT page_id, length(t) AS n_chars, sha256(t) AS sha256 FROM (SELECT page_id, lower(trim(regexp_replace(t, '[\\t-\\r\\x1c- \\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' ')) AS t FROM {unescape_sql(unescape_sql('(SELECT page_id, html AS t FROM pages)'))})",
     "path_parts": f"SELECT page_id, regexp_extract(url, '^(.*)[/\\\\][^/\\\\]*$', 1) AS directory, {_F} AS file_name, regexp_extract({_F}, '(\\.[^.]*)$', 1) AS extension, regexp_replace({_F}, '\\.[^.]*$', '') AS stem, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]+://[^/]*)', 1) AS root FROM pages",
     "dir_normalize": "SELECT page_id, 'J:\\' || regexp_replace(regexp_replace(rtrim(url), '^[a-z]+://', ''), '\\\\+$', '') AS directory FROM pages",
     "size_text": f"SELECT doc_id, {_size('n_chars', 'B KB MB GB', 1)} AS short, {_size('(n_chars * 1024)', 'B KB MB GB', 2)} AS long, {_size('(n_chars * 3)', 'B KB MB', -1)} AS fixed FROM documents",
@@ -133,8 +146,8 @@ u AS (SELECT key FROM f UNION SELECT key FROM t),
 n AS (SELECT key, unnest(range(1, (SELECT max(d) + count(*) FROM d))) AS n FROM (SELECT DISTINCT key FROM d WHERE d > 0)),
 free AS (SELECT key, n, row_number() OVER (PARTITION BY key ORDER BY n) AS d FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.key = n.key || ' (' || n.n || ')'))
 SELECT page_id, stem || CASE WHEN d > 0 THEN ' (' || n || ')' ELSE '' END || '.jpg' AS target_name FROM d LEFT JOIN free USING (key, d)""",
-    "lr_schedule": "WITH e AS (SELECT unnest(range(50)) AS epoch) SELECT s AS schedule, CAST(epoch AS INTEGER) AS epoch, round(CASE WHEN s = 'step' THEN 0.01::DOUBLE * pow(0.1::DOUBLE, epoch // 20) ELSE 0.01::DOUBLE * 0.5 * (1 + cos(pi() * epoch / 50.0::DOUBLE)) END, 9) AS rate FROM e, (VALUES ('cosine'), ('step'), ('one_cycle')) v(s)",
-    "best_epoch": "WITH e AS (SELECT CAST(x AS INTEGER) AS epoch, (x * 7 % 23)::DOUBLE AS a FROM (SELECT unnest(range(50)) AS x)) SELECT epoch, a AS validation_accuracy FROM e ORDER BY a DESC, epoch LIMIT 1",
-    "architectures": "SELECT * FROM (VALUES ('EfficientNetB0', 'EfficientNet-B0', 224, 5), ('EfficientNetB1', 'EfficientNet-B1', 224, 8), ('EfficientNetV2S', 'EfficientNetV2-S', 384, 21), ('ConvNeXtTiny', 'ConvNeXt-Tiny', 224, 29), ('MobileNetV3Large', 'MobileNetV3-Large', 224, 6)) v(architecture, display_name, image_size, params_m)",
+    "lr_schedule": f"WITH e AS ({_DAYS}) SELECT s AS schedule, epoch, round(CASE WHEN s = 'step' THEN 0.01::DOUBLE * pow(0.1::DOUBLE, epoch // 20) ELSE 0.01::DOUBLE * 0.5 * (1 + cos(pi() * epoch / 50.0::DOUBLE)) END, 9) AS rate FROM e, (VALUES ('cosine'), ('step'), ('one_cycle')) v(s)",
+    "best_epoch": f"SELECT epoch, validation_accuracy FROM ({_DAYS}) ORDER BY validation_accuracy DESC, epoch LIMIT 1",
+    "architectures": "SELECT v.*, (SELECT count(*) FROM part WHERE p_size * 10 >= image_size) AS n_parts FROM (VALUES ('EfficientNetB0', 'EfficientNet-B0', 224, 5), ('EfficientNetB1', 'EfficientNet-B1', 224, 8), ('EfficientNetV2S', 'EfficientNetV2-S', 384, 21), ('ConvNeXtTiny', 'ConvNeXt-Tiny', 224, 29), ('MobileNetV3Large', 'MobileNetV3-Large', 224, 6)) v(architecture, display_name, image_size, params_m)",
     "prompt_text": "SELECT item_id, 'a photo of ' || lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS prompt FROM benchmark",
 }

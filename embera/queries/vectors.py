@@ -108,8 +108,11 @@ def centroid_means(spark, d):
 
 
 def cluster_members(spark, d):
+    """The inverted index, a row for each member; a large label has several parts in it."""
     m = clusters.members(_table(spark, d), "vec_id", "label")
-    return m.select(F.col("cluster").alias("label"), "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    whole = m.groupBy(F.col("cluster").alias("label")).agg(F.sum("n").alias("n"))
+    rows = m.select(F.col("cluster").alias("of"), F.explode("members").alias("vec_id"))
+    return rows.join(whole, F.col("of").eqNullSafe(F.col("label"))).select("label", "vec_id", "n")
 
 
 def silhouette_by_label(spark, d):
@@ -130,16 +133,29 @@ def optimal_k(spark, d):
 
 
 def vector_hash_roundtrip(spark, d):
-    text = codec.vector_to_base64(F.col("embedding"))
-    back = _table(spark, d).withColumn("text", text).withColumn("same", F.coalesce(codec.base64_to_vector(F.col("text")) == F.col("embedding"), F.lit(False)))
-    return back.select("vec_id", F.length("text").alias("n_text"), "same")
+    """Vectors as text and back: length of the text, and number, first, last and sum of the components that come back."""
+    back = _table(spark, d).select("vec_id", codec.vector_to_base64(F.col("embedding")).alias("text")).withColumn("v", codec.base64_to_vector(F.col("text")))
+    total = F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6)
+    at = lambda i: F.get("v", i).cast("double")
+    return back.select("vec_id", F.length("text").alias("n_text"), F.size("v").alias("n"), at(F.lit(0)).alias("first"), at(F.size("v") - 1).alias("last"), total.alias("total"))
+
+
+def silhouette_by_k(spark, d):
+    """The mean silhouette of all points for 2, 3 and 4 clusters around the first vectors."""
+    e = _table(spark, d)
+    first = [list(r[0]) for r in e.orderBy("vec_id").select("embedding").limit(4).collect()]
+    out = []
+    for k in (2, 3, 4):
+        s = clusters.silhouettes(clusters.assign_nearest(e, first[:k], "embedding"), "vec_id", "cluster", "embedding")
+        out.append(s.agg(F.lit(k).alias("k"), F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette")))
+    return out[0].union(out[1]).union(out[2])
 
 
 def percent_labels(spark, d):
     return _scored(_table(spark, d)).select("vec_id", percent_text(F.col("similarity")).alias("percent"))
 
 
-_NAMES = (vec_search_topk, vec_search_threshold, vec_search_exclude_self, vec_search_multi_root_dedup, vec_score_distribution, vec_score_bands, vec_l2_normalize, vec_euclid_to_query, vec_dim_guard, zero_vector_filter, zero_shot_tags, tag_counts, nearest_centroid_assign, centroid_means, cluster_members, silhouette_by_label, kmeans_fixed_init, optimal_k, vector_hash_roundtrip, percent_labels)
+_NAMES = (vec_search_topk, vec_search_threshold, vec_search_exclude_self, vec_search_multi_root_dedup, vec_score_distribution, vec_score_bands, vec_l2_normalize, vec_euclid_to_query, vec_dim_guard, zero_vector_filter, zero_shot_tags, tag_counts, nearest_centroid_assign, centroid_means, cluster_members, silhouette_by_label, kmeans_fixed_init, optimal_k, silhouette_by_k, vector_hash_roundtrip, percent_labels)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _S = "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, round(list_dot_product(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q)"
@@ -173,10 +189,16 @@ ORACLES = {
     "tag_counts": f"{_T} SELECT 'label' || label AS tag, count(*) AS n FROM t WHERE rank <= 5 AND round(score, 5) >= 0.02 GROUP BY label",
     "nearest_centroid_assign": _C + ", d AS (SELECT vec_id, e.label, c.label AS cl, list_distance(embedding::DOUBLE[], c.c) AS d FROM embeddings e, c), b AS (SELECT vec_id, label, arg_min(cl, (d, cl)) AS cluster FROM d GROUP BY ALL) SELECT label, cluster, count(*) AS n FROM b GROUP BY ALL",
     "centroid_means": _C + " SELECT label, CAST(pos - 1 AS INTEGER) AS pos, mean FROM m",
-    "cluster_members": "SELECT label, count(*) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY label",
+    "cluster_members": "SELECT label, vec_id, count(*) OVER (PARTITION BY label) AS n FROM embeddings",
     "silhouette_by_label": """WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, own, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM p GROUP BY ALL)
 SELECT CAST(own AS BIGINT) AS label, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY own""",
-    "vector_hash_roundtrip": "SELECT vec_id, CAST(4 * ceil(len(embedding) * 4 / 3.0) AS INTEGER) AS n_text, true AS same FROM embeddings",
+    "silhouette_by_k": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM embeddings), k AS (SELECT unnest([2, 3, 4]) AS k),
+a AS MATERIALIZED (SELECT k.k, e.vec_id, any_value(e.v) AS v, arg_min(f.c, (list_distance(e.v, f.v), f.c)) AS own FROM e, k JOIN e f ON f.c < k.k GROUP BY k.k, e.vec_id),
+d AS MATERIALIZED (SELECT x.vec_id AS i, y.vec_id AS j, list_distance(x.v, y.v) AS d FROM e x JOIN e y ON x.vec_id <> y.vec_id),
+p AS (SELECT x.k, x.vec_id, x.own, y.own AS other, avg(d.d) AS d FROM a x JOIN d ON d.i = x.vec_id JOIN a y ON y.vec_id = d.j AND y.k = x.k GROUP BY ALL),
+s AS (SELECT k, vec_id, max(d) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM p GROUP BY k, vec_id)
+SELECT k, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY k""",
+    "vector_hash_roundtrip": "SELECT vec_id, CAST(4 * ceil(len(embedding) * 4 / 3.0) AS INTEGER) AS n_text, CAST(len(embedding) AS INTEGER) AS n, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
     "percent_labels": f"{_S} SELECT vec_id, printf('%.1f%%', sign(similarity) * floor(abs(similarity) * 1000 + 0.5) / 10 + 0.0) AS percent FROM s",
 }

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from embera.plans import analysis, maintenance
 from embera.plans.comic_search import ComicSearch
-from embera.plans.encoding import HashingEncoder, complete_archives
+from embera.operators.probe import probe_status
+from embera.plans.encoding import HashingEncoder, complete_archives, probe_stored
 from embera.plans.image_search import ImageSearch, search_roots
 from embera.plans.store import CacheStore
 from embera.sources import archives, containers, files
@@ -397,3 +398,38 @@ def test_notes_and_counters_of_searches(spark, store, tmp_path):
     assert c.counters.get["hit"] == 2
     gone = ComicSearch(spark, store, FakeEncoder(tmp_path / "log"))
     assert gone.by_text(str(tmp_path / "nowhere"), "x").collect() == [] and [r["scope"] for r in gone.notes.collect()] == ["scan"]
+
+
+def test_two_phases_read_vectors_of_hits_only(spark, store):
+    row = lambda i, m="t", s=1: ("m", f"p{i}", m, s, [float(i), 1.0])
+    probe = spark.createDataFrame([(f"p{i}", "t", 1) for i in (*range(0, 30, 2), 0, 77)] + [("p4", "t", 9)], "file_path string, last_modified string, file_size long")
+    late = lambda: sorted(map(str, probe_stored(store, probe, "m").select("file_path", "last_modified", "file_size", "status", "embedding").collect()))
+    plain = lambda: sorted(map(str, probe_status(probe, store.view("file_cache", "m")).select("file_path", "last_modified", "file_size", "status", "embedding").collect()))
+    assert late() == plain()
+    store.upsert("file_cache", spark.createDataFrame([row(i) for i in range(20)], FILE))
+    assert late() == plain()
+    store.upsert("file_cache", spark.createDataFrame([row(2, "old"), row(4, s=9), ("n", "p6", "t", 5, [1.0])], FILE))
+    store.delete({"file_cache": spark.createDataFrame([("m", "p8")], "model_name string, file_path string")})
+    assert late() == plain() and "status='stale'" in str(late())
+    maintenance.vacuum(store)
+    assert late() == plain()
+    plan = store.positions("file_cache", "m")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "embedding" not in plan
+    plan = store.fetch("file_cache", spark.createDataFrame([("f", 1)], "_file string, _row long"), "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # vectors stay where they are read
+
+
+def test_entities_like_the_library(spark):
+    import html
+
+    from embera.functions.entities import unescape, unescaped
+    from embera.functions.tokenizer import unescape_html
+
+    texts = ["", "no &", "&amp;amp; &lt;b&gt;", "&notit; &notin; &not &ampx &unknown; &amp", "&#65;&#x41;&#X1F600;&#0;&#128;&#159;&#55296;&#1114112;&#99999999999999;&#xFFFFFFFFFF;", "&#13;a&#11;b&#xFDD0;c&#x1FFFF;", "&CounterClockwiseContourIntegral; &NotEqualTilde;", "&&amp;;&;&#;&#x;&#xg;", "A &nbsp; B\x1c\u2003c \u3000", "&copy2024 &COPY;&Copy;", "&#00065; &#x00000041 &ThickSpace;x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = df.select("i", unescape(F.col("t")).alias("once"), unescaped(F.col("t")).alias("twice")).collect()
+    for r in rows:
+        t = texts[r["i"]]
+        assert r["once"] == (None if t is None else html.unescape(t)), t
+        assert r["twice"] == unescape_html(t), t
+    assert "Python" not in df.select(unescaped(F.col("t")))._jdf.queryExecution().toString()
