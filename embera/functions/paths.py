@@ -90,6 +90,12 @@ def container_family(path: Column) -> Column:
     return F.when(e.isin(".cbz", ".zip"), "ZIP").when(e.isin(".cbr", ".rar"), "RAR").when(e.isin(".cb7", ".7z"), "7Z").when(e == ".cbt", "TAR").when(e == ".pdf", "PDF")
 
 
+def pdf_image_extension(content: Column) -> Column:
+    """Extension of an image in a PDF file, one of the four kinds that stand in there as files; null if none fits."""
+    h = F.hex(F.substring(content, 1, 8))
+    return F.when(h.startswith("FFD8FF"), ".jpg").when(h.startswith("89504E47"), ".png").when(h.startswith("424D"), ".bmp").when(h.startswith("49492A00") | h.startswith("4D4D002A"), ".tif")
+
+
 def sniff_extension(content: Column) -> Column:
     """Image extension from magic bytes; .jpg if none fits."""
     h = F.hex(F.substring(content, 1, 12))

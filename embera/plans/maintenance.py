@@ -18,13 +18,15 @@ from .store import CacheStore
 def vacuum(store: CacheStore) -> int:
     """Rewrites the latest rows as one base commit; nothing changes before its log entry.
 
-    Commits before the last base go. What led from that base to the new one stays until the
+    Commits before the last base go, and those that have been merged. What led from that base to the new one stays until the
     next vacuum, for readers that planned with it.
     """
-    base = min((n for n, _ in store.commits()), default=0)
+    counted = [n for n, _ in store.commits()]
+    base = min(counted, default=0)
+    merged = [n for n in store.numbers() if n > base and n not in counted]
     n = store.commit({t: store.view(t).withColumn("op", F.lit("U")) for t in TABLES}, base=True)
     for o in store.numbers():
-        if o < base:
+        if o < base or o in merged:
             for t in TABLES:
                 store._fs.delete(store._path(f"{store.root}/{t}/commit={o}"), True)
             store._fs.delete(store._path(f"{store.root}/_log/{o}"), True)
@@ -32,8 +34,16 @@ def vacuum(store: CacheStore) -> int:
 
 
 def optimize(store: CacheStore, most: int = 20) -> int | None:
-    """Compacts once there are more than ``most`` commits; the rows stay the same."""
-    return vacuum(store) if len(store.commits()) > most else None
+    """Compacts once there are more than ``most`` commits; the rows stay the same.
+
+    Only the commits after the base are put together, as long as they are a quarter of it at
+    most; beyond that everything is rewritten. So a row is rewritten a few times, not with
+    every round of small commits.
+    """
+    numbers = [n for n, _ in store.commits()]
+    if len(numbers) <= most:
+        return None
+    return store.merge() if 4 * store.size(numbers[1:]) <= store.size(numbers[:1]) else vacuum(store)
 
 
 def all_keys(store: CacheStore, model: str | None = None) -> DataFrame:

@@ -52,7 +52,8 @@ class CacheStore:
             finally:
                 stream.close()
         base = max((n for n, e in entries if e.get("base")), default=0)
-        return [(n, e) for n, e in entries if n >= base]
+        merged = {n for _, e in entries for n in e.get("replaces", ())}
+        return [(n, e) for n, e in entries if n >= base and n not in merged]
 
     def numbers(self) -> list[int]:
         """All commits of the log, those before the last base too."""
@@ -61,8 +62,8 @@ class CacheStore:
     def _next(self) -> int:
         return max(self.numbers(), default=0) + 1
 
-    def commit(self, changes: dict[str, DataFrame], base: bool = False, created_at: str | None = None) -> int:
-        """Writes rows (with ``op``) of several tables, then the log entry."""
+    def commit(self, changes: dict[str, DataFrame], base: bool = False, created_at: str | None = None, replaces: Sequence[int] = ()) -> int:
+        """Writes rows (with ``op``) of several tables, then the log entry; it may stand for the commits that it ``replaces``."""
         n = self._next()
         for table, rows in changes.items():
             schema, key = TABLES[table]
@@ -75,7 +76,7 @@ class CacheStore:
             kinds = dict(x.split(" ", 1) for x in schema.split(", "))
             full.select(*(F.col(c).cast(kinds[c]).alias(c) for c in columns), "op").write.mode("overwrite").partitionBy("model_name").parquet(f"{self.root}/{table}/commit={n}")
         out = self._fs.create(self._path(f"{self.root}/_log/{n}"), False)  # fails if another writer was there first
-        out.write(bytearray(json.dumps({"tables": sorted(changes), "base": base}).encode()))
+        out.write(bytearray(json.dumps({"tables": sorted(changes), "base": base, "replaces": list(replaces)}).encode()))
         out.close()
         return n
 
@@ -139,6 +140,25 @@ class CacheStore:
         stored = reduce(DataFrame.unionByName, [s.select("_file", "_row", column) for s in scans])
         return stored.join(F.broadcast(places) if places.count() <= few else places, ["_file", "_row"]).drop("_file", "_row")
 
+    def size(self, numbers: Sequence[int]) -> int:
+        """Bytes of these commits' files."""
+        paths = [self._path(f"{self.root}/{t}/commit={n}") for n in numbers for t in TABLES]
+        return sum(self._fs.getContentSummary(p).getLength() for p in paths if self._fs.exists(p))
+
+    def merge(self) -> int:
+        """Puts the commits after the first one together: of each key the latest row, deletions too. The first isn't read."""
+        later = [n for n, _ in self.commits()[1:]]
+        changes = {}
+        for table, (_, key) in TABLES.items():
+            scans = [s.where(F.col("_commit").isin(later)) for s in self._scans(table, None)]
+            if not scans:
+                continue
+            rows = reduce(DataFrame.unionByName, scans).drop("_file", "_row")
+            keys = ["model_name", key]
+            newest = rows.groupBy(*keys).agg(F.max("_commit").alias("_commit"))
+            changes[table] = rows.join(newest, [*keys, "_commit"], "left_semi").drop("_commit")
+        return self.commit(changes, replaces=later)
+
     # -- mutations
 
     def upsert(self, table: str, rows: DataFrame, created_at: str | None = None) -> int:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import PAGE_IMAGES
+from ..session import checkpointed
 from .containers import BROKEN, PAGE, READERS, classify_containers, container_notes, page_order, read_pages
 from .directories import opened
 from .files import with_contents
@@ -124,8 +125,8 @@ def read_archives(files: DataFrame, pages: str | None = None) -> tuple[DataFrame
     ZIP files are read by ranges. Of other families those with a registered reader are read
     as a whole, and notes tell of the rest.
     """
-    classified = classify_containers(with_heads(files)).cache()
-    entries = zip_entries(classified.where("family = 'ZIP' and content is not null"))
+    classified = checkpointed(classify_containers(with_heads(files)))
+    entries = checkpointed(zip_entries(classified.where("family = 'ZIP' and content is not null")))
     wanted = entries if pages is None else entries.where(pages)
     others = [f for f in READERS if f != "ZIP"]
     out = page_contents(wanted)

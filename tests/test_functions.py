@@ -112,3 +112,9 @@ def test_tokenizer():
     assert t.encode("a photo of a beach") == [320, 1125, 539, 320, 2117]
     long = t.tokenize("word " * 200)
     assert len(long) == 77 and long[-1] == 49407
+
+
+def test_images_in_pdf_files(spark):
+    kinds = {b"\xff\xd8\xff\xe0": ".jpg", b"\x89PNG\r\n": ".png", b"BM1234": ".bmp", b"II*\0": ".tif", b"MM\0*": ".tif", b"GIF89a": None, b"": None}
+    for head, want in kinds.items():
+        assert one(spark, paths.pdf_image_extension(F.col("c")), c=head) == want

@@ -433,3 +433,28 @@ def test_entities_like_the_library(spark):
         assert r["once"] == (None if t is None else html.unescape(t)), t
         assert r["twice"] == unescape_html(t), t
     assert "Python" not in df.select(unescaped(F.col("t")))._jdf.queryExecution().toString()
+
+
+def test_small_commits_are_merged_without_the_base(spark, store):
+    row = lambda i, s=1: ("m", f"p{i}", "t", s, [float(i)] * 64)
+    store.upsert("file_cache", spark.createDataFrame([row(i) for i in range(3000)], FILE))
+    for n in range(4):
+        store.upsert("file_cache", spark.createDataFrame([row(n, 2), row(100 + n, 2), row(9000 + n)], FILE))
+    store.delete({"file_cache": spark.createDataFrame([("m", "p1"), ("m", "p9000")], "model_name string, file_path string")})
+    store.upsert("cover_cache", spark.createDataFrame([("m", "a.cbz", "t", 1, [1.0])], FILE.replace("file_path", "archive_path")))
+    before = {t: sorted(map(str, store.view(t).collect())) for t in ("file_cache", "cover_cache")}
+    maintenance.vacuum(store)
+    for n in range(3):
+        store.upsert("file_cache", spark.createDataFrame([row(n + 50, 3)], FILE))
+    store.delete({"file_cache": spark.createDataFrame([("m", "p51")], "model_name string, file_path string")})
+    want = sorted(map(str, store.view("file_cache").collect()))
+    base = store.commits()[0][0]
+    planned = store.view("file_cache")
+    assert maintenance.optimize(store, most=3) is not None and maintenance.optimize(store, most=3) is None
+    assert [n for n, _ in store.commits()][0] == base and len(store.commits()) == 2
+    assert sorted(map(str, store.view("file_cache").collect())) == want == sorted(map(str, planned.collect()))
+    assert sorted(map(str, store.view("cover_cache").collect())) == before["cover_cache"]
+    store.upsert("file_cache", spark.createDataFrame([row(51, 4)], FILE))
+    assert store.view("file_cache").where("file_path = 'p51'").count() == 1
+    maintenance.vacuum(store)
+    assert len(store.view("file_cache").collect()) == len(want) + 1
