@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import euclidean, vector_literal
+from ..session import checkpointed
 
 #: Measured points that one block of pairwise distances holds.
 BLOCK = 20_000
@@ -127,17 +128,17 @@ def members(assigned: DataFrame, id_col: str, cluster_col: str = "cluster") -> D
 
 
 class _Sums:
-    """Distances of a block's measured points to rows of each cluster, added up as rows stream by."""
+    """Distances of a block's measured points to rows of each cluster of each labelling, added up as rows stream by."""
 
     def __init__(self, left: list[tuple]):
         order = sorted(left, key=lambda r: r[0])
         self.ids, self.points = np.array([r[0] for r in order]), np.array([r[2] for r in order], dtype=float)
         self.squares = (self.points**2).sum(axis=1)
-        self.totals: dict[int, np.ndarray] = {}
-        self.counts: dict[int, np.ndarray] = {}
+        self.totals: dict[tuple[int, int], np.ndarray] = {}
+        self.counts: dict[tuple[int, int], np.ndarray] = {}
 
     def add(self, right: list[tuple]) -> None:
-        own, cluster, x = np.array([r[0] for r in right]), np.array([r[1] for r in right]), np.array([r[2] for r in right], dtype=float)
+        own, clusters, x = np.array([r[0] for r in right]), np.array([list(r[1]) for r in right]), np.array([r[2] for r in right], dtype=float)
         for i in range(0, len(self.ids), 2000):
             part = slice(i, i + 2000)
             squares = self.squares[part, None] + (x**2).sum(axis=1)[None]
@@ -146,15 +147,17 @@ class _Sums:
                 d[a, b] = ((self.points[i + a] - x[b]) ** 2).sum()
             same = self.ids[part, None] == own[None]
             d = np.where(same, 0, np.sqrt(d))
-            for c in np.unique(cluster).tolist():
-                if c not in self.totals:
-                    self.totals[c], self.counts[c] = np.zeros(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
-                self.totals[c][part] += d[:, cluster == c].sum(axis=1)
-                self.counts[c][part] += (~same[:, cluster == c]).sum(axis=1)
+            for labelling, cluster in enumerate(clusters.T):
+                for c in np.unique(cluster).tolist():
+                    at = labelling, c
+                    if at not in self.totals:
+                        self.totals[at], self.counts[at] = np.zeros(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
+                    self.totals[at][part] += d[:, cluster == c].sum(axis=1)
+                    self.counts[at][part] += (~same[:, cluster == c]).sum(axis=1)
 
     def rows(self) -> Iterator[pd.DataFrame]:
-        for c, total in self.totals.items():
-            yield pd.DataFrame({"id": self.ids, "other": np.int64(c), "total": total, "n": self.counts[c]})
+        for (labelling, c), total in self.totals.items():
+            yield pd.DataFrame({"id": self.ids, "labelling": np.int32(labelling), "other": np.int64(c), "total": total, "n": self.counts[labelling, c]})
 
 
 def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +172,7 @@ def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         right = []
 
     for pdf in batches:
-        for block, part, side, id_, cluster, v in zip(*(pdf[c].tolist() for c in ("block", "part", "side", "id", "cluster", "v")), strict=True):
+        for block, part, side, id_, cluster, v in zip(*(pdf[c].tolist() for c in ("block", "part", "side", "id", "clusters", "v")), strict=True):
             if (block, part) != key:
                 settle()
                 if sums:
@@ -186,30 +189,38 @@ def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from sums.rows()
 
 
-def silhouettes(df: DataFrame, id_col: str, cluster_col: str = "cluster", vector_col: str = "features", at: DataFrame | None = None) -> DataFrame:
-    """(id, cluster, silhouette) by Euclidean distance; points alone in their cluster are left out.
+def silhouettes_of(df: DataFrame, id_col: str, clusters_col: str = "clusters", vector_col: str = "features", at: DataFrame | None = None) -> DataFrame:
+    """(id, labelling, cluster, silhouette) by Euclidean distance, for several labellings in one pass; points alone
+    in their cluster are left out.
 
-    All rows count for the distances. The points that are measured (``at``, a table of their
-    ids; all, if none) are cut into blocks of about BLOCK, and every block meets all rows,
-    which stream by in its tasks: a row is copied once per block, and sums per point and
-    cluster come out, never pairs.
+    ``clusters_col`` is an array of a row's cluster in each labelling. All rows count for the
+    distances, which are computed once. The points that are measured (``at``, a table of
+    their ids; all, if none) are cut into blocks of about BLOCK, and every block meets all
+    rows, which stream by in its tasks: a row is copied once per block, and sums per point
+    and cluster come out, never pairs.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(cluster_col).cast("long").alias("cluster"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(clusters_col).cast("array<long>").alias("clusters"), F.col(vector_col).cast("array<double>").alias("v"))
     chosen = rows if at is None else rows.join(at.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
     blocks = max(1, -(-chosen.count() // BLOCK))
     parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))  # few blocks: several tasks share one
     own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = chosen.select(own(blocks, 1).alias("block"), each(parts).alias("part"), F.lit(0).alias("side"), "id", "cluster", "v")
-    right = rows.select(each(blocks).alias("block"), own(parts, 2).alias("part"), F.lit(1).alias("side"), "id", "cluster", "v")
+    left = chosen.select(own(blocks, 1).alias("block"), each(parts).alias("part"), F.lit(0).alias("side"), "id", "clusters", "v")
+    right = rows.select(each(blocks).alias("block"), own(parts, 2).alias("part"), F.lit(1).alias("side"), "id", "clusters", "v")
     both = left.union(right).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side")
-    sums = both.mapInPandas(_block_sums, "id long, other long, total double, n long").groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = both.mapInPandas(_block_sums, "id long, labelling int, other long, total double, n long").groupBy("id", "labelling", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.col("total") / F.col("n")
-    mine = chosen.select("id", F.col("cluster").alias("own"))
-    by = sums.where("n > 0").join(mine, "id").groupBy("id", F.col("own").alias("cluster")).agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"))
+    mine = chosen.select("id", F.posexplode("clusters").alias("labelling", "own"))
+    by = sums.where("n > 0").join(mine, ["id", "labelling"]).groupBy("id", "labelling", F.col("own").alias("cluster")).agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"))
     top = F.greatest("a", "b")
-    return by.where("a is not null and b is not null").select("id", "cluster", F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("silhouette"))
+    return by.where("a is not null and b is not null").select("id", "labelling", "cluster", F.when(top > 0, (F.col("b") - F.col("a")) / top).otherwise(0.0).alias("silhouette"))
+
+
+def silhouettes(df: DataFrame, id_col: str, cluster_col: str = "cluster", vector_col: str = "features", at: DataFrame | None = None) -> DataFrame:
+    """(id, cluster, silhouette) of one labelling; see ``silhouettes_of``."""
+    rows = df.select(F.col(id_col).alias("id"), F.array(F.col(cluster_col).cast("long")).alias("clusters"), F.col(vector_col).alias("v"))
+    return silhouettes_of(rows, "id", "clusters", "v", None if at is None else at.select(F.col(id_col).alias("id"))).drop("labelling")
 
 
 #: Points whose silhouettes choose k.
@@ -222,17 +233,24 @@ def optimal_k(df: DataFrame, id_col: str, max_k: int = 10, seed: int = 42, vecto
     Silhouettes are taken of ``measured`` points chosen by hash, among all points, or of all
     points if it is None.
     """
-    df = df.persist()
     n = df.count()
     if n <= 2:
         return 2
+    df = df.persist()
     at = df.select(id_col).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(measured) if measured is not None and n > measured else None
     start = plus_plus(df, min(max_k, n - 1), seed, vector_col)  # its first k are those that k draws give
-    best, chosen, tried = None, 2, range(2, len(start) + 1)
+    tried = range(2, len(start) + 1)
+    assigned, names = df.select(id_col, vector_col), []
     for k, centroids in zip(tried, lloyd_many(df, [start[:k] for k in tried], 50, vector_col), strict=True):
-        assigned = assign_nearest(df, centroids, vector_col)
-        value = silhouettes(assigned, id_col, "cluster", vector_col, at).agg(F.avg("silhouette")).first()[0]
-        if value is not None and (best is None or value > best + 1e-12):
-            best, chosen = value, k
+        assigned = assign_nearest(assigned, centroids, vector_col).withColumnRenamed("cluster", f"in {k}")
+        names.append(F.col(f"in {k}").cast("long"))
+    best, chosen = None, 2
+    if names:
+        measured_points = silhouettes_of(checkpointed(assigned.select(id_col, vector_col, F.array(*names).alias("clusters"))), id_col, "clusters", vector_col, at)
+        values = {r["labelling"]: r["value"] for r in measured_points.groupBy("labelling").agg(F.avg("silhouette").alias("value")).collect()}  # a row for each k
+        for place, k in enumerate(tried):
+            value = values.get(place)
+            if value is not None and (best is None or value > best + 1e-12):
+                best, chosen = value, k
     df.unpersist()
     return chosen

@@ -9,6 +9,7 @@ from ..functions import codec
 from ..functions.text import percent_text, score_band
 from ..functions.vector import euclidean, is_zero, l2_normalize, norm, vector_literal
 from ..operators import clusters, search, tags
+from ..session import checkpointed
 
 
 def _table(spark: SparkSession, d: str) -> DataFrame:
@@ -144,11 +145,10 @@ def silhouette_by_k(spark, d):
     """The mean silhouette of all points for 2, 3 and 4 clusters around the first vectors."""
     e = _table(spark, d)
     first = [list(r[0]) for r in e.orderBy("vec_id").select("embedding").limit(4).collect()]
-    out = []
     for k in (2, 3, 4):
-        s = clusters.silhouettes(clusters.assign_nearest(e, first[:k], "embedding"), "vec_id", "cluster", "embedding")
-        out.append(s.agg(F.lit(k).alias("k"), F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette")))
-    return out[0].union(out[1]).union(out[2])
+        e = clusters.assign_nearest(e, first[:k], "embedding").withColumnRenamed("cluster", f"c{k}")
+    s = clusters.silhouettes_of(checkpointed(e.select("vec_id", "embedding", F.array(*(F.col(f"c{k}").cast("long") for k in (2, 3, 4))).alias("clusters"))), "vec_id", "clusters", "embedding")
+    return s.groupBy((F.col("labelling") + 2).alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
 
 
 def percent_labels(spark, d):
