@@ -1,6 +1,6 @@
 """Pages of archives by byte ranges: the directory of an archive first, then just the entries that are asked for.
 
-``page_entries`` reads the ends of ZIP files and gives a row for each page, without content.
+``zip_entries`` reads the ends of ZIP files and gives a row for each page, without content.
 Filters on these rows (one page, first pages, some archives) decide what ``page_contents``
 reads: the bytes of one entry at a time, wherever its row was dealt. So a page costs its
 archive's directory and its own bytes, and a large archive is spread over tasks.
