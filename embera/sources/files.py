@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+import os
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import ARCHIVES, CLASS_IMAGES, SEARCH_IMAGES, has_extension
-from .directories import absolute, opened, walk
+from ..session import checkpoint_folder, checkpointed
+from .directories import absolute, is_local, opened, walk
 
 #: Normalisation by channel (red, green, blue): fixed values.
 IMAGENET = ((0.485, 0.456, 0.406), (0.229, 0.224, 0.225))
@@ -156,16 +159,53 @@ def image_tensor(data: bytes, height: int, width: int, channels: int, size: int,
     return ((out - np.float32(mean)) / np.float32(std)).transpose(2, 0, 1)
 
 
-def image_tensors(spark: SparkSession, directory: str, size: int, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
-    """(file_path, tensor): 3 * size * size floats by channel, row and column; null for what Spark can't decode."""
+def _kept(folder: str):
+    """Contents as files of ``folder``, named by their digest: ``image`` is the name, null without content."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = []
+            for content in pdf["content"]:
+                name = hashlib.sha256(content).hexdigest() if content is not None and len(content) else None
+                if name is not None and not os.path.exists(f"{folder}/{name}"):
+                    with open(f"{folder}/.{name}-{uuid.uuid4().hex}", "wb") as f:
+                        f.write(content)
+                    os.replace(f.name, f"{folder}/{name}")
+                names.append(name)
+            yield pdf.drop(columns="content").assign(image=pd.Series(names, dtype=object, index=pdf.index))
+
+    return run
+
+
+def with_tensors(images: DataFrame, size: int, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
+    """``images`` with ``tensor`` in place of ``content``: 3 * size * size floats by channel, row and column.
+
+    Contents of any origin (files, pages of archives) are decoded by Spark's image reader;
+    for that they are kept once, by digest, in a folder beside the checkpoints, which all
+    executors have to reach by its path. The tensor of what can't be decoded is null.
+    """
+    spark = images.sparkSession
+    checkpoint_folder(spark)
+    folder = absolute(f"{spark.sparkContext.getCheckpointDir()}/images-{uuid.uuid4().hex}")
+    if not is_local(folder):
+        raise ValueError("images are decoded through a shared folder that has a path")
+    os.makedirs(folder)
+    rest = [f for f in images.schema.fields if f.name != "content"]
+    named = checkpointed(images.select(*(f"`{f.name}`" for f in rest), F.col("content").cast("binary").alias("content")).mapInPandas(_kept(folder), T.StructType([*rest, T.StructField("image", T.StringType())])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 16):
                 part = pdf.iloc[i : i + 16]
                 made = [image_tensor(*x, size, mean, std) for x in zip(part["data"], part["height"].tolist(), part["width"].tolist(), part["nChannels"].tolist(), strict=True)]
-                yield pd.DataFrame({"file_path": part["file_path"], "tensor": pd.Series([None if t is None else t.ravel().tolist() for t in made], dtype=object, index=part.index)})
+                yield pd.DataFrame({"of": part["name"], "tensor": pd.Series([None if t is None else t.ravel().tolist() for t in made], dtype=object, index=part.index)})
 
-    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(directory)
-    rows = images.where(has_extension(F.col("image.origin"), SEARCH_IMAGES)).select(F.regexp_replace("image.origin", r"^file:(//)?(?=/)", "").alias("file_path"), "image.data", "image.height", "image.width", "image.nChannels")
-    return rows.mapInPandas(run, "file_path string, tensor array<float>")
+    decoded = spark.read.format("image").option("dropInvalid", "false").load(folder)
+    rows = decoded.select(F.regexp_extract("image.origin", "([^/]+)$", 1).alias("name"), "image.data", "image.height", "image.width", "image.nChannels")
+    tensors = rows.mapInPandas(run, "of string, tensor array<float>")
+    return named.join(tensors, F.col("image") == F.col("of"), "left").drop("image", "of")
+
+
+def image_tensors(spark: SparkSession, directory: str, size: int, mean: Sequence[float], std: Sequence[float]) -> DataFrame:
+    """(file_path, tensor) of a directory's images; see ``with_tensors``."""
+    return with_tensors(with_contents(scan_images(spark, directory).select("file_path")), size, mean, std)

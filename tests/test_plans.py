@@ -458,3 +458,17 @@ def test_small_commits_are_merged_without_the_base(spark, store):
     assert store.view("file_cache").where("file_path = 'p51'").count() == 1
     maintenance.vacuum(store)
     assert len(store.view("file_cache").collect()) == len(want) + 1
+
+
+def test_tensors_of_pages_and_odd_names(spark, tmp_path):
+    image = png(6, 4)
+    (tmp_path / "_x.png").write_bytes(image)
+    (tmp_path / "bad.jpg").write_bytes(b"no image")
+    (tmp_path / "a.cbz").write_bytes(comic([("1.png", image), ("2.png", png(3, 3)), ("3.jpg", b"?")]))
+    how = (2, (0, 0, 0), (1, 1, 1))
+    by_file = {os.path.basename(r["file_path"]): r["tensor"] for r in files.image_tensors(spark, str(tmp_path), *how).collect()}
+    assert set(by_file) == {"_x.png", "bad.jpg"} and by_file["bad.jpg"] is None and len(by_file["_x.png"]) == 12
+    pages, _ = archives.read_archives(spark.createDataFrame([(str(tmp_path / "a.cbz"),)], "file_path string"))
+    made = {r["page_index"]: r["tensor"] for r in files.with_tensors(pages, *how).collect()}
+    assert made[0] == by_file["_x.png"] and made[1] is not None and made[2] is None
+    assert files.image_tensors(spark, str(tmp_path / "none"), *how).collect() == []
