@@ -204,17 +204,17 @@ class Model:
                 done = at.pop()
         return "".join(out), [*at, done]
 
-    def merged(self, text: str) -> list[tuple[int, int]]:
-        """(id, characters) of the pieces of normalised text, by merges in the order of scores."""
+    def merged(self, text: str) -> list[int]:
+        """Id and characters of each piece of normalised text, one after the other, by merges in the order of scores."""
         if not text:
             return []
         beside, known, cuts = self.beside, self.known.room(), [0]
         cuts += [end for end, both in enumerate(map(add, text, text[1:]), 1) if both not in beside]
-        out: list[tuple[int, int]] = []
+        out: list[int] = []
         for start, end in zip(cuts, [*cuts[1:], len(text)], strict=True):
             part = text[start:end]
             if (found := known.get(part)) is None:
-                found = known[part] = self.known.older.get(part) or self._merged(part)
+                found = known[part] = self.known.older.get(part) or tuple(x for pair in self._merged(part) for x in pair)
             out += found
         return out
 
@@ -293,7 +293,8 @@ class Codec:
         """Ids and source lengths of a unit's pieces, as pairs of unsigned 32-bit integers."""
         text, at = self.model.normalise(source, first)
         out, place = array("I"), 0
-        for piece, size in self.model.merged(text):
+        pieces = iter(self.model.merged(text))
+        for piece, size in zip(pieces, pieces, strict=True):
             out.append(piece)
             out.append(at[place + size] - at[place])
             place += size
