@@ -3,34 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import checkpoint_folder, checkpointed
+
+__all__ = ["checkpoint_folder", "checkpointed", "small_batches", "table", "tokenizer_file"]
+
 #: Bytes of rows in one Arrow batch, about.
 BATCH_BYTES = 4 << 20
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Name the folder of checkpoints to Spark: the one in spark.checkpoint.dir, which all executors share.
-
-    Only a local session that names none (tests, a laptop) gets a temporary one; on a cluster that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="embera-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the checkpoint folder, so that the rows outlive a lost executor."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after bounding what its session sends to Python at once.
 
