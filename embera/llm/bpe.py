@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 #: Characters of text that a block of documents holds, and chunks that a task remembers.
-BLOCK_CHARS, REMEMBERED = 4_000_000, 300_000
+BLOCK_CHARS, REMEMBERED = 4_000_000, 600_000
 #: A space with white space on both sides: it may belong to the pre-token before it.
 _AMONG = regex.compile(r"\s \s")
 
@@ -117,7 +117,8 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
 class Codec:
     """Encodes blocks of texts and decodes ids, with one vocabulary; lives in a task."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.merges = Merges(parse_ranks(data))
         self.pattern = regex.compile(pattern)
         self.plain = r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
@@ -138,7 +139,7 @@ class Codec:
     def _encode_pieces(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks, as little-endian unsigned 32-bit integers."""
         split = list(map(self._split, chunks))
-        if len(self.pieces) > REMEMBERED:
+        if len(self.pieces) > self.remembered:
             self.pieces.clear()
         new = list(set().union(*split) - self.pieces.keys())
         whole = self.merges.ranks.get
@@ -154,7 +155,7 @@ class Codec:
         so texts split there; texts with other spaces are taken by white-space runs instead."""
         parts = [t.split(" ") for t in texts]
         odd = {i for i, p in enumerate(parts) if "" in p or _AMONG.search(texts[i])}
-        if len(self.chunks) > REMEMBERED:  # keep what this block needs
+        if len(self.chunks) > self.remembered:  # keep what this block needs
             self.chunks = {c: self.chunks[c] for c in set().union(*(p[1:] for p in parts)) & self.chunks.keys()}
         new = set().union(*(p[1:] for i, p in enumerate(parts) if i not in odd)) - self.chunks.keys()
         heads = list({p[0] for i, p in enumerate(parts) if i not in odd})
@@ -183,25 +184,27 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, texts
 
 
-_CODECS: dict[tuple[bytes, str], Codec] = {}
+_CODECS: dict[tuple[bytes, str, int], Codec] = {}
 
 
-def _codec(data: bytes, pattern: str) -> Codec:
-    if (data, pattern) not in _CODECS:  # Python workers are used again by later tasks
+def _codec(data: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
+    key = data, pattern, remembered
+    if key not in _CODECS:  # Python workers are used again by later tasks
         _CODECS.clear()
-        _CODECS[data, pattern] = Codec(data, pattern)
-    return _CODECS[data, pattern]
+        _CODECS[key] = Codec(*key)
+    return _CODECS[key]
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_tokens, ids): ids is binary, little-endian unsigned 32-bit integers.
 
     With ``check`` the ids are decoded again in the same pass and come back as ``decoded``.
+    Workers remember what ``remembered`` chunks and pieces give: fewer take less memory and more time.
     """
     shared = small_batches(docs).sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, remembered)
         for batch in batches:
             for start, texts in _blocks(batch.column(1)):
                 ids = list(codec.encode(texts))

@@ -30,12 +30,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
-def encoded(docs: DataFrame) -> DataFrame:
+def encoded(docs: DataFrame, **how) -> DataFrame:
     import public_tokenizers
 
     from . import bpe
 
-    coded = bpe.encode(docs, tokenizer_file(), public_tokenizers.PATTERN, check=True)
+    coded = bpe.encode(docs, tokenizer_file(), public_tokenizers.PATTERN, check=True, **how)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
