@@ -117,8 +117,8 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
 class Codec:
     """Encodes blocks of texts and decodes ids, with one vocabulary; lives in a task."""
 
-    def __init__(self, data: bytes, pattern: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
+    def __init__(self, data: bytes, pattern: str, remembered: int | None = None):
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.merges = Merges(parse_ranks(data))
         self.pattern = regex.compile(pattern)
         self.plain = r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
@@ -184,10 +184,10 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, texts
 
 
-_CODECS: dict[tuple[bytes, str, int], Codec] = {}
+_CODECS: dict[tuple[bytes, str, int | None], Codec] = {}
 
 
-def _codec(data: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
+def _codec(data: bytes, pattern: str, remembered: int | None = None) -> Codec:
     key = data, pattern, remembered
     if key not in _CODECS:  # Python workers are used again by later tasks
         _CODECS.clear()
@@ -195,7 +195,7 @@ def _codec(data: bytes, pattern: str, remembered: int = REMEMBERED) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False, remembered: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): ids is binary, little-endian unsigned 32-bit integers.
 
     With ``check`` the ids are decoded again in the same pass and come back as ``decoded``.
