@@ -45,7 +45,9 @@ def tile_text(width: Column, height: Column, size: Column) -> Column:
 
 
 def percent_text(score: Column) -> Column:
-    return F.format_string("%.1f%%", F.round(score * 100, 1).cast("double"))
+    """12.3%: half away from zero, decided on thousandths (``score * 100`` of 0.0045 is a bit under 0.45), and no -0.0%."""
+    score = score.cast("double")
+    return F.format_string("%.1f%%", F.signum(score) * F.floor(F.abs(score) * 1000 + 0.5) / 10 + 0.0)
 
 
 def page_label(index: Column, count: Column) -> Column:

@@ -90,6 +90,13 @@ def test_display(spark):
     assert unescape_html(" A &amp;amp;  b ") == "a & b"
 
 
+def test_percent_text_halves_go_away_from_zero(spark):
+    halves = spark.range(-1000, 1000).select(((F.col("id") * 1000 + 500) / 1e6).alias("s"))
+    got = halves.select("s", text.percent_text(F.col("s")).alias("t")).collect()
+    assert [r["t"] for r in got] == [f"{math.copysign(math.floor(abs(r['s']) * 1000 + 0.5) / 10, r['s']):.1f}%" for r in got]
+    assert [one(spark, text.percent_text(F.col("s")), s=x) for x in (0.0045, -0.9165, -0.0001, 0.0)] == ["0.5%", "-91.7%", "0.0%", "0.0%"]
+
+
 def test_schedule(spark):
     e = spark.range(50).select(F.col("id").alias("e"), *(schedule.learning_rate(s, F.col("id"), 50, 0.1).alias(s) for s in ("cosine", "step", "one_cycle"))).collect()
     for r in e:
