@@ -15,13 +15,22 @@ def first_probes(probe: DataFrame, order: str | None = None) -> DataFrame:
     return probe.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-#: Bytes of a cache (by Spark's own estimate) up to which a broadcast hint is followed.
-BROADCAST = 256 << 20
+#: Bytes of a cache's rows up to which a broadcast hint is followed; the driver takes several times as much to build their table.
+BROADCAST = 32 << 20
+#: Bytes of a row besides its texts and vectors: pointers, lengths, the key of a hash table.
+ROW = 64
+
+
+def _row_bytes(df: DataFrame) -> int:
+    """Bytes of all rows, measured in one pass; the estimate that Spark makes of compressed files is many times less."""
+    own = lambda c, kind: F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 8 if kind.startswith("array") else F.lit(8)
+    each = sum((F.coalesce(own(F.col(c), kind), F.lit(0)) for c, kind in df.dtypes), F.lit(ROW))
+    return df.agg(F.sum(each).alias("bytes")).first()["bytes"] or 0
 
 
 def _hinted(cache: DataFrame, hint: str | None) -> DataFrame:
-    """``cache`` with a join hint; one that asks for a broadcast counts only if the cache is small enough."""
-    if hint is None or (hint == "broadcast" and int(str(cache._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST):
+    """``cache`` with a join hint; one that asks for a broadcast counts only if the cache is small enough, by Spark's estimate and then as measured."""
+    if hint is None or (hint == "broadcast" and (int(str(cache._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST or _row_bytes(cache) > BROADCAST)):
         return cache
     return cache.hint(hint)
 

@@ -64,6 +64,16 @@ def test_probe(spark, monkeypatch):
     assert {r["file_path"]: r["status"] for r in probe.archive_status(asked, boxes).collect()} == {"a": "hit", "b": "inconsistent", "c": "stale", "d": "miss"}
 
 
+def test_broadcast_hint_goes_by_measured_rows(spark, tmp_path):
+    """Files of few bytes (runs of equal values) that hold many rows."""
+    spark.range(50_000).select(F.lit("a" * 1000).alias("file_path"), F.lit("1").alias("last_modified"), F.lit(1).cast("long").alias("file_size")).write.parquet(str(tmp_path / "cache"))
+    cache, files = spark.read.parquet(str(tmp_path / "cache")), spark.createDataFrame([("b", "1", 1)], "file_path string, last_modified string, file_size long")
+    assert int(str(cache._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+    joined = lambda: probe.probe_status(files, cache, "broadcast", unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in joined()
+    assert "strategy=broadcast" in probe.probe_status(files, cache.limit(100), "broadcast", unique=True)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def points(spark, groups):
     return spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(groups)], "id long, features array<double>")
 
