@@ -6,14 +6,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import euclidean, vector_literal
 from ..session import checkpointed
 
-#: Measured points that one block of pairwise distances holds.
-BLOCK = 20_000
+#: Measured points that one block of pairwise distances holds, rows that meet it in one task, and how many of both are multiplied at once.
+BLOCK, PART, STEP = 30_000, 30_000, 1000
 
 
 def assign_nearest(df: DataFrame, centroids: Sequence[Sequence[float]], vector_col: str = "features") -> DataFrame:
@@ -128,63 +130,88 @@ def members(assigned: DataFrame, id_col: str, cluster_col: str = "cluster") -> D
 
 
 class _Sums:
-    """Distances of a block's measured points to rows of each cluster of each labelling, added up as rows stream by."""
+    """Distances of a block's measured points to rows of each cluster of each labelling, added up as rows stream by.
 
-    def __init__(self, left: list[tuple]):
-        order = sorted(left, key=lambda r: r[0])
-        self.ids, self.points = np.array([r[0] for r in order]), np.array([r[2] for r in order], dtype=float)
+    A column stands for each cluster of each labelling that was seen; sums over clusters are
+    products with their 0/1 columns.
+    """
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.points = ids[order], points[order]
         self.squares = (self.points**2).sum(axis=1)
-        self.totals: dict[tuple[int, int], np.ndarray] = {}
-        self.counts: dict[tuple[int, int], np.ndarray] = {}
-
-    def add(self, right: list[tuple]) -> None:
-        own, clusters, x = np.array([r[0] for r in right]), np.array([list(r[1]) for r in right]), np.array([r[2] for r in right], dtype=float)
-        for i in range(0, len(self.ids), 2000):
-            part = slice(i, i + 2000)
-            squares = self.squares[part, None] + (x**2).sum(axis=1)[None]
-            d = squares - 2 * self.points[part] @ x.T
-            for a, b in zip(*np.nonzero(d <= 1e-6 * squares), strict=True):  # where the product loses too many digits
-                d[a, b] = ((self.points[i + a] - x[b]) ** 2).sum()
-            same = self.ids[part, None] == own[None]
-            d = np.where(same, 0, np.sqrt(d))
-            for labelling, cluster in enumerate(clusters.T):
-                for c in np.unique(cluster).tolist():
-                    at = labelling, c
-                    if at not in self.totals:
-                        self.totals[at], self.counts[at] = np.zeros(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
-                    self.totals[at][part] += d[:, cluster == c].sum(axis=1)
-                    self.counts[at][part] += (~same[:, cluster == c]).sum(axis=1)
-
-    def rows(self) -> Iterator[pd.DataFrame]:
-        for (labelling, c), total in self.totals.items():
-            yield pd.DataFrame({"id": self.ids, "labelling": np.int32(labelling), "other": np.int64(c), "total": total, "n": self.counts[labelling, c]})
-
-
-def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        self.at: dict[tuple[int, int], int] = {}
+        self.totals, self.counts = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+
+    def _columns(self, clusters: np.ndarray) -> np.ndarray:
+        """0/1 by row and column; a row without a cluster (NaN) in a labelling counts in none of it."""
+        marks = []
+        for labelling, of in enumerate(clusters.T):
+            for c in np.unique(of[~np.isnan(of)]).tolist():
+                marks.append((self.at.setdefault((labelling, int(c)), len(self.at)), of == c))
+        if more := len(self.at) - self.totals.shape[1]:
+            self.totals, self.counts = (np.hstack([x, np.zeros((len(self.ids), more), dtype=x.dtype)]) for x in (self.totals, self.counts))
+        out = np.zeros((len(clusters), len(self.at)))
+        for column, rows in marks:
+            out[rows, column] = 1
+        return out
+
+    def add(self, own: np.ndarray, clusters: np.ndarray, x: np.ndarray) -> None:
+        columns, far = self._columns(clusters), (x**2).sum(axis=1)
+        lo, hi = np.searchsorted(self.ids, own), np.searchsorted(self.ids, own, side="right")
+        same = np.repeat(np.arange(len(own)), hi - lo)  # measured points (by place) that are a row themselves
+        place = np.arange(len(same)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[same]
+        self.counts += columns.sum(axis=0).astype(np.int64)
+        np.subtract.at(self.counts, place, columns[same].astype(np.int64))
+        for i in range(0, len(self.ids), STEP):
+            part = slice(i, i + STEP)
+            d = self.points[part] @ x.T
+            d *= -2
+            d += self.squares[part, None]
+            d += far
+            mine = (place >= i) & (place < i + STEP)
+            d[place[mine] - i, same[mine]] = np.inf
+            if d.min() <= 1e-6 * (self.squares[part].max() + far.max()):  # else the product has digits enough everywhere
+                for a, b in zip(*np.nonzero(d <= 1e-6 * (self.squares[part, None] + far)), strict=True):
+                    d[a, b] = ((self.points[i + a] - x[b]) ** 2).sum()
+            d[place[mine] - i, same[mine]] = 0
+            self.totals[part] += np.sqrt(d, out=d) @ columns
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for (labelling, c), at in self.at.items():
+            n = len(self.ids)
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(np.full(n, labelling, dtype=np.int32)), pa.array(np.full(n, c)), pa.array(self.totals[:, at]), pa.array(self.counts[:, at])], names=["id", "labelling", "other", "total", "n"])
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows; null items are NaN."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    width = len(flat) // len(lists) if len(lists) else 0
+    if pc.any(pc.not_equal(pc.list_value_length(lists), width)).as_py():
+        raise ValueError("vectors of different lengths have no distance")
+    return flat.reshape(len(lists), width)
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells (block, part) one after another, measured points first; the other rows stream by."""
-    key, left, right, sums = None, [], [], None
-
-    def settle() -> None:
-        nonlocal sums, right
-        if left and right:
-            sums = sums or _Sums(left)
-            sums.add(right)
-        right = []
-
-    for pdf in batches:
-        for block, part, side, id_, cluster, v in zip(*(pdf[c].tolist() for c in ("block", "part", "side", "id", "clusters", "v")), strict=True):
+    key, left, sums = None, [], None
+    for batch in batches:
+        cell = np.stack([batch.column(c).to_numpy() for c in (0, 1, 2)], axis=1)  # block, part, side
+        cuts = [0, *(np.nonzero((cell[1:] != cell[:-1]).any(axis=1))[0] + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            block, part, side = cell[lo].tolist()
             if (block, part) != key:
-                settle()
                 if sums:
                     yield from sums.rows()
                 key, left, sums = (block, part), [], None
-            if side:
-                right.append((id_, cluster, v))
-                if len(right) == 1000:
-                    settle()
-            else:
-                left.append((id_, cluster, v))
-    settle()
+            ids, clusters, points = batch.column(3).slice(lo, hi - lo).to_numpy(), _matrix(batch.column(4).slice(lo, hi - lo)), _matrix(batch.column(5).slice(lo, hi - lo))
+            if not side:
+                left.append((ids, points))
+            elif left or sums:
+                if sums is None:
+                    sums, left = _Sums(np.concatenate([x[0] for x in left]), np.concatenate([x[1] for x in left])), []
+                for i in range(0, hi - lo, STEP):
+                    sums.add(ids[i : i + STEP], clusters[i : i + STEP], points[i : i + STEP])
     if sums:
         yield from sums.rows()
 
@@ -193,23 +220,27 @@ def silhouettes_of(df: DataFrame, id_col: str, clusters_col: str = "clusters", v
     """(id, labelling, cluster, silhouette) by Euclidean distance, for several labellings in one pass; points alone
     in their cluster are left out.
 
-    ``clusters_col`` is an array of a row's cluster in each labelling. All rows count for the
+    ``clusters_col`` is an array of a row's cluster in each labelling; a null one is in none.
+    Null vectors have no distance and count for nothing. All other rows count for the
     distances, which are computed once. The points that are measured (``at``, a table of
-    their ids; all, if none) are cut into blocks of about BLOCK, and every block meets all
-    rows, which stream by in its tasks: a row is copied once per block, and sums per point
-    and cluster come out, never pairs.
+    their ids; all, if none) are cut into blocks of about BLOCK, all rows into parts of PART
+    at most, and a task has one block and one part, whose rows stream by: its work and memory
+    are bounded, whatever the table. Sums per point and cluster come out, never pairs. The
+    number of tasks grows with the square of the rows, as the distances do.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(clusters_col).cast("array<long>").alias("clusters"), F.col(vector_col).cast("array<double>").alias("v"))
+    vectors = F.col(vector_col) if df.schema[vector_col].dataType.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")  # floats move as they are
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(clusters_col).cast("array<long>").alias("clusters"), vectors.alias("v")).where("v is not null")
     chosen = rows if at is None else rows.join(at.select(F.col(id_col).cast("long").alias("id")), "id", "left_semi")
-    blocks = max(1, -(-chosen.count() // BLOCK))
-    parts = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))  # few blocks: several tasks share one
+    n = rows.count()
+    blocks = max(1, -(-(n if at is None else chosen.count()) // BLOCK))
+    parts = max(1, -(-n // PART), -(-2 * spark.sparkContext.defaultParallelism // blocks))  # few blocks: several tasks share one
     own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = chosen.select(own(blocks, 1).alias("block"), each(parts).alias("part"), F.lit(0).alias("side"), "id", "clusters", "v")
     right = rows.select(each(blocks).alias("block"), own(parts, 2).alias("part"), F.lit(1).alias("side"), "id", "clusters", "v")
-    both = left.union(right).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "side")
-    sums = both.mapInPandas(_block_sums, "id long, labelling int, other long, total double, n long").groupBy("id", "labelling", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    both = left.union(right).repartitionById(blocks * parts, F.col("block") * parts + F.col("part")).sortWithinPartitions("block", "part", "side")
+    sums = both.mapInArrow(_block_sums, "id long, labelling int, other long, total double, n long").groupBy("id", "labelling", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean = F.col("total") / F.col("n")
     mine = chosen.select("id", F.posexplode("clusters").alias("labelling", "own"))
     by = sums.where("n > 0").join(mine, ["id", "labelling"]).groupBy("id", "labelling", F.col("own").alias("cluster")).agg(F.max(F.when(F.col("own") == F.col("other"), mean)).alias("a"), F.min(F.when(F.col("own") != F.col("other"), mean)).alias("b"))

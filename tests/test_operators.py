@@ -126,6 +126,26 @@ def test_silhouette(spark, monkeypatch, block):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_silhouette_tasks_are_bounded(spark, monkeypatch):
+    """A task has a block of points and a part of the rows; null clusters, null vectors and one point twice count as in SQL."""
+    monkeypatch.setattr(clusters, "BLOCK", 5)
+    monkeypatch.setattr(clusters, "PART", 6)
+    monkeypatch.setattr(clusters, "STEP", 2)
+    rng = np.random.default_rng(3)
+    x, label = rng.standard_normal((60, 3)).astype(np.float32), rng.integers(0, 3, 60).tolist()
+    x[7], label[8], label[9] = x[6], None, None
+    rows = [(i, label[i], None if i == 10 else x[i].tolist()) for i in range(60)]
+    out = clusters.silhouettes(spark.createDataFrame(rows, "id long, cluster int, features array<float>"), "id")
+    want = {}
+    for i in set(range(60)) - {8, 9, 10}:
+        d = {c: [np.linalg.norm(x[j].astype(float) - x[i]) for j in range(60) if label[j] == c and j not in (i, 10)] for c in range(3)}
+        a, b = np.mean(d[label[i]]), min(np.mean(d[c]) for c in d if c != label[i])
+        want[i] = (b - a) / max(a, b)
+    got = {r["id"]: r["silhouette"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(", 120\n") >= 1  # 59 rows: 12 blocks, 10 parts
+
+
 def test_tags(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("z", [0.0, 0.0])], "file_path string, embedding array<float>")
     got = tags.preselect(tags.generate_tags(df, [("x", [1, 0]), ("y", [1, 0]), ("w", [0.3, 0]), ("x", [1, 0])], top_k=2))
