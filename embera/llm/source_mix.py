@@ -92,7 +92,10 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: Sequ
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     d = d.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), document_key(F.col("doc_id"), F.col("text"), seed).alias("u"))
-    d = d.join(quality.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("weight").cast("double").alias("weight")), "doc_id", "left") if quality is not None else d.withColumn("weight", F.lit(1.0))
+    if quality is None:
+        d = d.withColumn("weight", F.lit(1.0))
+    else:  # never broadcast: Spark's estimate of the weights, from compressed files, is many times less than their rows take of the driver
+        d = d.join(quality.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("weight").cast("double").alias("weight")).hint("merge"), "doc_id", "left")
     known = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") < float("inf"))
     d = d.withColumn("weight", F.greatest(F.when(known, F.col("weight")).otherwise(F.lit(1.0)), F.lit(1e-9)))
     d = checkpointed(d.withColumn("key", -F.log("u") / F.col("weight")).drop("u"))

@@ -116,3 +116,17 @@ def test_weights_of_sources_are_checked(spark, weights):
     docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
     with pytest.raises(ValueError, match="positive"):
         M.mix_sources(docs, weights=weights)
+
+
+@pytest.mark.parametrize("summed", [False, True])
+def test_weights_are_not_broadcast(spark, monkeypatch, tmp_path, summed):
+    """Compressed files of weights are small, whatever their rows take of the driver."""
+    plans, kept = [], M.checkpointed
+    monkeypatch.setattr(M, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, 1.0, 0.25) as weight").write.parquet(f"{tmp_path}/weights")
+    weight = spark.read.parquet(f"{tmp_path}/weights")
+    weight = weight.groupBy("doc_id").agg({"weight": "avg"}).toDF("doc_id", "weight") if summed else weight
+    docs = spark.range(2000, 5000).selectExpr("id as doc_id", "'a b c' as text", "concat('s', id % 3) as source")
+    got = M.mix_sources(docs, weight).collect()
+    assert len(got) == 3000 and sum(r["taken"] for r in got) == pytest.approx(1.5 * 9000, abs=3)
+    assert "doc_id" in plans[0] and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
